@@ -21,7 +21,7 @@ from .common import Scratch, arrow_map, texts
 
 DIGEST = 32
 #: Digests of a bucket, about; a bucket's table is held by the task that looks up in it.
-BUCKET = 20_000
+BUCKET = 1_000
 #: A digest with more than this share of all rows is dealt over several copies of its bucket.
 HOT_SHARE = 1 / 1000
 
@@ -188,7 +188,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
     ``history`` (doc_id, digest) is what earlier runs kept; without it the table's own
     distinct digests are the history. A group's winner is the row with the largest doc_id;
-    of rows that share it, one is kept. With a history, its winner stands and the new rows of
+    rows that share it all stay. With a history, its winner stands and the new rows of
     the group go. Null texts are empty texts; rows without doc_id take part and lose against
     any other; an empty table gives an empty one.
     """
