@@ -328,4 +328,4 @@ def components(postings: DataFrame, ok: PairFilter, contents: Callable[[DataFram
     between = more.join(name[0], "a", "left").join(name[1], "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
     again = connected_components(between, scratch)
     every = first.unionByName(between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(first.select("id"), "id", "left_anti").select("id", F.col("id").alias("root")))
-    return scratch.save(every.join(again.withColumnsRenamed({"id": "root", "root": "top"}), "root", "left").select("id", F.coalesce("top", "root").alias("root")), "components")
+    return scratch.save(every.join(again.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")), "components")
