@@ -42,7 +42,7 @@ def resample(frames: DataFrame, fps: Column, keep: list[str]) -> DataFrame:
     slot = F.floor(F.col("pts_us") * fps / F.lit(1e6)).cast("long")
     best = frames.select("clip", slot.alias("slot"), F.struct("pts_us", "frame_idx", *keep).alias("f")).groupBy("clip", "slot").agg(F.max("f").alias("f"))
     until = F.coalesce(F.lead("slot").over(Window.partitionBy("clip").orderBy("slot")) - 1, F.col("slot"))
-    shown = best.select("clip", F.explode(F.sequence("slot", until)).alias("slot"), "f")
+    shown = best.withColumn("until", until).select("clip", F.explode(F.sequence("slot", "until")).alias("slot"), "f")
     return shown.select("clip", "slot", "f.frame_idx", *[F.col(f"f.{c}") for c in keep])
 
 

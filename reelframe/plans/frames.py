@@ -9,7 +9,7 @@ from ..sources import views as V
 from .registry import query
 
 
-@query("fps_resample", V.over("v_frames") + """, best AS (SELECT clip, (pts_us * 2.0 // 1e6)::BIGINT AS slot, max((pts_us, frame_idx, event_id, value)) AS f FROM v_frames GROUP BY 1, 2),
+@query("fps_resample", V.over("v_frames") + """, best AS (SELECT clip, floor(pts_us * 2.0 / 1e6)::BIGINT AS slot, max((pts_us, frame_idx, event_id, value)) AS f FROM v_frames GROUP BY 1, 2),
 grid AS (SELECT clip, unnest(range(min(slot), max(slot) + 1)) AS slot FROM best GROUP BY clip)
 SELECT g.clip, g.slot, b.f[2] AS frame_idx, b.f[3] AS event_id, b.f[4] AS value FROM grid g ASOF JOIN (SELECT clip, slot, f FROM best) b ON g.clip = b.clip AND g.slot >= b.slot""".replace("f[2]", "f.b").replace("f[3]", "f.c").replace("f[4]", "f.d").replace("max((pts_us, frame_idx, event_id, value))", "max({'a': pts_us, 'b': frame_idx, 'c': event_id, 'd': value})"))
 def fps_resample(spark, d):
@@ -95,7 +95,7 @@ def frame_timings(spark, d):
     return c.select("clip", "i", at(F.col("i")).alias("start_ms"), (at(F.col("i") + 1) - at(F.col("i"))).alias("duration_ms"))
 
 
-@query("proxy", V.over("v_frames") + """, best AS (SELECT clip, (pts_us * 15.0 // 1e6)::BIGINT AS slot, max({'a': pts_us, 'b': frame_idx, 'c': event_id}) AS f FROM v_frames WHERE pts_us < 10000000 GROUP BY 1, 2),
+@query("proxy", V.over("v_frames") + """, best AS (SELECT clip, floor(pts_us * 15.0 / 1e6)::BIGINT AS slot, max({'a': pts_us, 'b': frame_idx, 'c': event_id}) AS f FROM v_frames WHERE pts_us < 10000000 GROUP BY 1, 2),
 grid AS (SELECT clip, unnest(range(min(slot), max(slot) + 1)) AS slot FROM best GROUP BY clip)
 SELECT g.clip, g.slot, b.f.b AS frame_idx, b.f.c AS event_id FROM grid g ASOF JOIN best b ON g.clip = b.clip AND g.slot >= b.slot""")
 def proxy(spark, d):
