@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import frames, pixels, planner, store  # noqa: F401, E402, I001  (registering)
+from . import fitting, frames, jobs, pixels, planner, store  # noqa: F401, E402, I001  (registering)
 
 __all__ = ["ORACLES", "QUERIES"]
