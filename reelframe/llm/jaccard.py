@@ -9,7 +9,7 @@ the cost of both on the sizes at hand. Equal sets are one class from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -254,18 +254,34 @@ def postings(docs: DataFrame, n: int, t: Threshold, large: int, frequent: Freque
     return docs.select("text").mapInArrow(run, POSTED)
 
 
-def contents(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
-    """(id, content) of the documents in ``wanted``: set number and elements."""
+#: Parts that a sketch counts a set's elements in.
+PARTS = 256
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Elements of a set by part of the hash range: the smaller counts of two sets sum to no less than their overlap."""
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS).astype(np.uint32).tobytes()
+
+
+def contents(docs: DataFrame, n: int, wanted: Members, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(id, content) of the documents in ``wanted``: set number and what ``form`` makes of the set; a task gives a set once."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             on = sent.value.has(batch.column(0).fill_null(0).to_numpy())
             batch = batch.filter(pa.array(on))
             if not batch.num_rows:
                 continue
-            got = [(set_id(s), s.tobytes()) for _, s in _batches(batch.column(1), n) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([c for _, c in got], pa.binary())], ["id", "content"])
+            got = {}
+            for _, s in _batches(batch.column(1), n):
+                if len(s) and (i := set_id(s)) not in seen:
+                    seen.add(i)
+                    got[i] = form(s)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], ["id", "content"])
 
     return docs.mapInArrow(run, "id long, content binary")
 
@@ -296,16 +312,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     large = t.boundary(sizes, scanned)
     nodes = scratch.save(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "nodes")
 
-    def fetch(ids: DataFrame, count: int) -> DataFrame:
-        own = ids.join(nodes, ids["id"] == nodes["sid"]).select(F.coalesce(nodes["doc_id"], F.lit(0)).alias("id"))
-        return contents(docs, n, members(own, count)).dropDuplicates(["id"]).join(ids, "id", "left_semi")
+    def fetch(form: Callable[[np.ndarray], bytes]):
+        def one(ids: DataFrame, count: int) -> DataFrame:
+            own = ids.join(nodes, ids["id"] == nodes["sid"]).select(F.coalesce(nodes["doc_id"], F.lit(0)).alias("id"))
+            return contents(docs, n, members(own, count), form)
+
+        return one
+
+    def may_link(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        return int(np.minimum(a, b).sum()) >= t.overlap(int(a.sum()), int(b.sum()))
 
-    def same(x: bytes, y: bytes) -> bool:
+    def links(x: bytes, y: bytes) -> bool:
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return t.den * both >= t.num * (len(a) + len(b) - both)
+        return len(np.intersect1d(a, b, assume_unique=True)) >= t.overlap(len(a), len(b))
 
-    linked = components(postings(docs, n, t, large, frequent), t.filter, fetch, same, scratch)
+    checks = [(fetch(sketch), may_link), (fetch(np.ndarray.tobytes), links)]
+    linked = components(postings(docs, n, t, large, frequent), t.filter, checks, scratch)
     rooted = nodes.join(linked, nodes["sid"] == linked["id"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(names, "root").select("sid", "component_id")

@@ -299,25 +299,31 @@ def verified(pairs: DataFrame, contents: DataFrame, same: Callable[[bytes, bytes
     return joined.mapInArrow(run, "a long, b long")
 
 
-def components(postings: DataFrame, ok: PairFilter, contents: Callable[[DataFrame, int], DataFrame], same: Callable[[bytes, bytes], bool], scratch: Scratch) -> DataFrame:
+#: (contents(ids, n): (id, content) for a table of n ids, same(content, content): whether the pair stays).
+Check = tuple[Callable[[DataFrame, int], DataFrame], Callable[[bytes, bytes], bool]]
+
+
+def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch: Scratch) -> DataFrame:
     """(id, root) of all items with a link.
 
     ``postings`` (key, id, p, q): two similar items share a key and pass ``ok`` there.
-    ``contents(ids, n)`` gives (id, content) for a table of n ids.
+    Candidates pass through ``checks`` in turn, cheap contents first; the last one decides.
     """
     listed = scratch.save(first_round(postings, ok), "listed")
     back = listed.where("kind = 1").drop("kind")
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "candidates")
-        ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        n = ids.count()
-        if not n:
-            return pairs
-        held = scratch.save(contents(ids, n), "contents")
-        links = scratch.save(verified(pairs, held, same), "links")
-        scratch.drop(held, ids, pairs)
-        return links
+        for contents, same in checks:
+            ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+            n = ids.count()
+            if not n:
+                return pairs
+            held = scratch.save(contents(ids, n), "contents")
+            left = scratch.save(verified(pairs, held, same).distinct(), "links")
+            scratch.drop(held, ids, pairs)
+            pairs = left
+        return pairs
 
     links = check(listed.where("kind = 0").select(F.col("key").alias("a"), F.col("id").alias("b")).distinct())
     first = connected_components(links, scratch)
