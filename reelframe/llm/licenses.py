@@ -66,7 +66,7 @@ KNOWN = [
 ]
 #: Spellings that licence matching takes as equal, after lower-casing and as whole words.
 EQUIVALENT = [
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub licence", "sublicense"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub licence", "sublicense"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"),
     ("authorised", "authorized"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"),
     ("favour", "favor"), ("organisation", "organization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"),
 ]
