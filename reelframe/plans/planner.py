@@ -47,12 +47,15 @@ _FIT = "['contain', 'cover', 'exact'][n % 3 + 1]"
 _BIND = f"(CASE WHEN {_FIT} = 'cover' THEN box_w * h >= box_h * w ELSE box_w * h <= box_h * w END)"
 _SIZE_W = f"CASE WHEN {_FIT} = 'exact' THEN box_w WHEN {_BIND} THEN box_w ELSE {_BY_H} END"
 _SIZE_H = f"CASE WHEN {_FIT} = 'exact' THEN box_h WHEN {_BIND} THEN {_BY_W} ELSE box_h END"
-FIT = F.element_at(F.array(F.lit("contain"), F.lit("cover"), F.lit("exact")), (F.col("n") % 3 + 1).cast("int"))
+
+
+def fit_mode():
+    return F.element_at(F.array(F.lit("contain"), F.lit("cover"), F.lit("exact")), (F.col("n") % 3 + 1).cast("int"))
 
 
 @query("scaled_size", R + f"SELECT {_KEYS}, {_SIZE_W} AS out_w, {_SIZE_H} AS out_h FROM v_recipes")
 def scaled_size(spark, d):
-    w, h = P.scaled_size(F.col("w"), F.col("h"), F.col("box_w"), F.col("box_h"), FIT)
+    w, h = P.scaled_size(F.col("w"), F.col("h"), F.col("box_w"), F.col("box_h"), fit_mode())
     return recipes(spark, d).select(*KEYS, w.alias("out_w"), h.alias("out_h"))
 
 
@@ -60,8 +63,8 @@ def scaled_size(spark, d):
 FROM (SELECT *, {_FIT} AS fit, {_SIZE_W} AS sw, {_SIZE_H} AS sh FROM v_recipes)""")
 def output_fit(spark, d):
     """What is cropped (cover) or padded (contain) after scaling, so that the box is met exactly."""
-    w, h = P.scaled_size(F.col("w"), F.col("h"), F.col("box_w"), F.col("box_h"), FIT)
-    r = recipes(spark, d).select("*", FIT.alias("fit"), w.alias("sw"), h.alias("sh"))
+    w, h = P.scaled_size(F.col("w"), F.col("h"), F.col("box_w"), F.col("box_h"), fit_mode())
+    r = recipes(spark, d).select("*", fit_mode().alias("fit"), w.alias("sw"), h.alias("sh"))
     on = lambda fit, x: F.when(F.col("fit") == fit, x).otherwise(F.lit(0).cast("long"))
     return r.select(*KEYS, on("cover", F.col("sw") - F.col("box_w")).alias("crop_x2"), on("cover", F.col("sh") - F.col("box_h")).alias("crop_y2"), on("contain", F.col("box_w") - F.col("sw")).alias("pad_w"), on("contain", F.col("box_h") - F.col("sh")).alias("pad_h"))
 
@@ -105,7 +108,7 @@ def plan_duration(spark, d):
 @query("plan_summary", R + f"""SELECT {_KEYS}, out_w AS width, out_h AS height, out_fps, greatest(1, floor(out_duration * out_fps + 1e-4))::BIGINT AS frames, out_duration FROM
 (SELECT *, {_SIZE_W} AS out_w, {_SIZE_H} AS out_h, {_snap('NULL')} AS out_fps, (duration - start) / speed AS out_duration FROM v_recipes WHERE start < duration)""")
 def plan_summary(spark, d):
-    w, h = P.scaled_size(F.col("w"), F.col("h"), F.col("box_w"), F.col("box_h"), FIT)
+    w, h = P.scaled_size(F.col("w"), F.col("h"), F.col("box_w"), F.col("box_h"), fit_mode())
     r = recipes(spark, d).where("start < duration").select(*KEYS, w.alias("width"), h.alias("height"), P.snap_fps(F.col("fps"), F.lit(None).cast("double"), F.col("format")).alias("out_fps"), ((F.col("duration") - F.col("start")) / F.col("speed")).alias("out_duration"))
     return r.withColumn("frames", frame_count(F.col("out_duration"), F.col("out_fps")))
 
@@ -332,3 +335,17 @@ _HEX = "CASE n % 4 WHEN 0 THEN '#' ELSE '' END || CASE q % 3 WHEN 0 THEN 'FF00AA
 def normalize_hex(spark, d):
     raw = F.concat(F.when(F.col("n") % 4 == 0, "#").otherwise(""), F.when(F.col("q") % 3 == 0, "FF00AA").when(F.col("q") % 3 == 1, "313338cc").otherwise("xyz"))
     return recipes(spark, d).select(raw.alias("raw")).distinct().select("raw", P.normalize_hex(F.col("raw")).alias("colour"))
+
+
+@query("sequence_scan", R + """, m AS (SELECT *, max(w) OVER (PARTITION BY k1) AS mw, max(h) OVER (PARTITION BY k1) AS mh, row_number() OVER (PARTITION BY k1 ORDER BY k4, k2, k3, q) - 1 AS i FROM v_recipes),
+s AS (SELECT *, CASE WHEN mw * h <= mh * w THEN mw ELSE greatest(1, (w * mh * 2 + h) // (h * 2)) END AS sw, CASE WHEN mw * h <= mh * w THEN greatest(1, (h * mw * 2 + w) // (w * 2)) ELSE mh END AS sh FROM m)
+SELECT k1, i, sw, sh, (mw - sw) // 2 AS x, (mh - sh) // 2 AS y FROM s""")
+def sequence_scan(spark, d):
+    """Frames of a sequence in order, each scaled into the largest one and centred on it."""
+    from pyspark.sql import Window
+
+    per = Window.partitionBy("k1")
+    r = recipes(spark, d).select("*", F.max("w").over(per).alias("mw"), F.max("h").over(per).alias("mh"), (F.row_number().over(per.orderBy("k4", "k2", "k3", "q")) - 1).cast("long").alias("i"))
+    sw, sh = P.scaled_size(F.col("w"), F.col("h"), F.col("mw"), F.col("mh"), F.lit("contain"))
+    r = r.select("k1", "i", "mw", "mh", sw.alias("sw"), sh.alias("sh"))
+    return r.select("k1", "i", "sw", "sh", div(F.col("mw") - F.col("sw"), 2).alias("x"), div(F.col("mh") - F.col("sh"), 2).alias("y"))

@@ -189,3 +189,21 @@ def test_rasters():
 def test_unknown_codec():
     with pytest.raises(CodecUnavailable):
         plugin("webp")
+
+
+def test_engine(spark, tmp_path, sf_dir):
+    from reelframe.engine import Engine
+    from reelframe.sources import views
+
+    engine = Engine(spark)
+    data = gif.write(frames(), np.zeros((16, 3), np.uint8), [5, 5, 5])
+    for name in ("a.gif", "b.gif", "note.txt"):
+        (tmp_path / name).write_bytes(data if name != "note.txt" else b"hello")
+    found = {r["format"]: r for r in engine.ingest(f"file://{tmp_path}").collect()}
+    assert set(found) == {"gif", None} and found["gif"]["ext"] == "gif"
+    assert engine.ingest(f"file://{tmp_path}", engine.ingest(f"file://{tmp_path}")).count() == 0
+    plan = spark.createDataFrame([(1280, 720, 30.0, 10.0, 0.0, 1.0, 320, 320, "cover", "gif"), (16, 16, 30.0, 1.0, 2.0, 1.0, 8, 8, "exact", "gif")], "w long, h long, fps double, duration double, start double, speed double, box_w long, box_h long, fit string, format string")
+    got = {r["w"]: (r["out_w"], r["out_frames"], r["error"]) for r in engine.plan(plan).collect()}
+    assert got[1280] == (569, 300, None) and got[16][2] == "trim"
+    out = engine.render(views.channels(spark, sf_dir).where("clip < 2 and frame_idx < 3"), 4, 4, "gif").collect()
+    assert len(out) == 2 and all(r["ok"] for r in out)
