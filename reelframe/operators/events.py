@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_MS = 100
+#: Events that a subscriber's buffer holds.
+BUFFER = 32
 SCHEMA = "job long, seq long, ts_ms long, stage string, percent long"
 
 

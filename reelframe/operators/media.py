@@ -42,13 +42,13 @@ def _encode(fmt: str, frames: list[np.ndarray], colors: int) -> bytes:
     return plugin(fmt)(frames)
 
 
-def encode_clips(px: DataFrame, w: int, h: int, fmt: str, colors: int = 64, most_frames: int = 2000) -> DataFrame:
+def encode_clips(px: DataFrame, w: int, h: int, fmt: str, colors: int = 64) -> DataFrame:
     """One file a clip (clip, format, content). A clip's frames are one file, so they meet in one task; plans bound their bytes."""
     if fmt not in BUILT_IN:
         plugin(fmt)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx").head(most_frames)
+        pdf = pdf.sort_values("frame_idx")
         frames = [np.frombuffer(b, np.uint8).reshape(h, w, 4) for b in pdf["rgba"]]
         return pd.DataFrame({"clip": [key[0]], "format": [fmt], "content": [_encode(fmt, frames, colors)]})
 

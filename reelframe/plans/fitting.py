@@ -73,16 +73,16 @@ def ladder_preset(spark, d):
     return T.ladders(spark)
 
 
-@query("ladder_realise", R + f", m AS (SELECT DISTINCT fps AS mfps, greatest(w, h) AS side FROM v_recipes WHERE k2 % 50 = 0), {_LADDER_TABLE} SELECT mfps, side, ladder, idx, CASE WHEN fps < mfps - 1e-6 THEN fps END AS fps, colors, CASE WHEN px < side THEN px END AS px FROM m, ladders WHERE ladder = 'emote_gif'")
+@query("ladder_realise", R + f", m AS (SELECT DISTINCT fps AS mfps, greatest(w, h) AS side FROM v_recipes), {_LADDER_TABLE} SELECT mfps, side, ladder, idx, CASE WHEN fps < mfps - 1e-6 THEN fps END AS fps, colors, CASE WHEN px < side THEN px END AS px FROM m, ladders WHERE ladder = 'emote_gif'")
 def ladder_realise(spark, d):
     """A ladder for a master: no rate above its own, no size above its longer side. The ladder is a table of fixed size."""
-    m = V.recipes(spark, d).where("k2 % 50 = 0").select(F.col("fps").alias("mfps"), F.greatest("w", "h").alias("side")).distinct()
+    m = V.recipes(spark, d).select(F.col("fps").alias("mfps"), F.greatest("w", "h").alias("side")).distinct()
     return T.realise(m, "emote_gif").select("mfps", "side", "ladder", "idx", "fps", "colors", "px")
 
 
-@query("ladder_dedupe", R + f", m AS (SELECT DISTINCT fps AS mfps, greatest(w, h) AS side FROM v_recipes WHERE k2 % 50 = 0), {_LADDER_TABLE}, r AS (SELECT mfps, side, idx, CASE WHEN fps < mfps - 1e-6 THEN fps END AS fps, colors, CASE WHEN px < side THEN px END AS px, dither FROM m, ladders WHERE ladder = 'emote_webp') SELECT mfps, side, min(idx) AS idx, fps, px FROM r GROUP BY mfps, side, fps, colors, px, dither")
+@query("ladder_dedupe", R + f", m AS (SELECT DISTINCT fps AS mfps, greatest(w, h) AS side FROM v_recipes), {_LADDER_TABLE}, r AS (SELECT mfps, side, idx, CASE WHEN fps < mfps - 1e-6 THEN fps END AS fps, colors, CASE WHEN px < side THEN px END AS px, dither FROM m, ladders WHERE ladder = 'emote_webp') SELECT mfps, side, min(idx) AS idx, fps, px FROM r GROUP BY mfps, side, fps, colors, px, dither")
 def ladder_dedupe(spark, d):
-    m = V.recipes(spark, d).where("k2 % 50 = 0").select(F.col("fps").alias("mfps"), F.greatest("w", "h").alias("side")).distinct()
+    m = V.recipes(spark, d).select(F.col("fps").alias("mfps"), F.greatest("w", "h").alias("side")).distinct()
     return T.distinct_rungs(T.realise(m, "emote_webp"), ["mfps", "side"]).select("mfps", "side", "idx", "fps", "px")
 
 

@@ -51,17 +51,17 @@ def drop_rate_map(spark, d):
 _DELAYS = "floor((i + 1) * 100.0::DOUBLE / fps + 0.5::DOUBLE)::BIGINT - floor(i * 100.0::DOUBLE / fps + 0.5::DOUBLE)::BIGINT"
 
 
-@query("gif_centiseconds", V.over("v_clips") + f""", g AS (SELECT clip, fps, unnest(range(least(frames, 200))) AS i FROM v_clips)
+@query("gif_centiseconds", V.over("v_clips") + f""", g AS (SELECT clip, fps, unnest(range(frames)) AS i FROM v_clips)
 SELECT clip, i::INT AS i, {_DELAYS} AS delay FROM g""")
 def gif_centiseconds(spark, d):
     c = V.clips(spark, d)
-    return c.select("clip", F.posexplode(T.centiseconds(F.col("fps"), F.least(F.col("frames"), F.lit(200)))).alias("i", "delay"))
+    return c.select("clip", F.posexplode(T.centiseconds(F.col("fps"), F.col("frames"))).alias("i", "delay"))
 
 
-@query("gif_delays", V.over("v_clips") + f""", g AS (SELECT clip, fps, unnest(range(least(frames, 200))) AS i FROM v_clips), x AS (SELECT clip, {_DELAYS} AS delay FROM g)
+@query("gif_delays", V.over("v_clips") + f""", g AS (SELECT clip, fps, unnest(range(frames)) AS i FROM v_clips), x AS (SELECT clip, {_DELAYS} AS delay FROM g)
 SELECT clip, min(delay) AS shortest, max(delay) AS longest, sum(delay)::BIGINT AS total FROM x GROUP BY clip""")
 def gif_delays(spark, d):
-    c = V.clips(spark, d).select("clip", T.centiseconds(F.col("fps"), F.least(F.col("frames"), F.lit(200))).alias("v"))
+    c = V.clips(spark, d).select("clip", T.centiseconds(F.col("fps"), F.col("frames")).alias("v"))
     return c.select("clip", F.array_min("v").alias("shortest"), F.array_max("v").alias("longest"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 

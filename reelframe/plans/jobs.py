@@ -57,9 +57,9 @@ def event_coalesce(spark, d):
     return E.coalesce_events(V.log(spark, d)).select("job", "seq", "ts_ms", "stage")
 
 
-@query("event_buffer", L + "SELECT job, seq, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq DESC) AS r FROM v_log) WHERE r <= 2")
+@query("event_buffer", L + "SELECT job, seq, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq DESC) AS r FROM v_log) WHERE r <= 32")
 def event_buffer(spark, d):
-    return E.last_events(V.log(spark, d), 2).select("job", "seq", "ts_ms")
+    return E.last_events(V.log(spark, d), E.BUFFER).select("job", "seq", "ts_ms")
 
 
 @query("progress_monotone", L + "SELECT job, seq, stage, max(percent) OVER (PARTITION BY job, stage ORDER BY seq) AS percent FROM v_log")

@@ -19,10 +19,10 @@ def blob_dedupe(spark, d):
     return S.put_blobs(V.blobs(spark, d))
 
 
-@query("blob_lookup", B + "SELECT w.hash, b.name, b.size, CASE WHEN b.info_version = 6 THEN b.lang END AS info FROM (SELECT DISTINCT hash FROM v_blobs WHERE doc_id % 3 = 0) w JOIN v_blobs b ON b.hash = w.hash WHERE b.ext <> 'bin'")
+@query("blob_lookup", B + "SELECT w.hash, b.name, b.size, CASE WHEN b.info_version = 6 THEN b.lang END AS info FROM (SELECT DISTINCT hash FROM v_blobs) w JOIN v_blobs b ON b.hash = w.hash WHERE b.ext <> 'bin'")
 def blob_lookup(spark, d):
     b = V.blobs(spark, d)
-    return S.get_blobs(b, b.where("doc_id % 3 = 0").select("hash").distinct())
+    return S.get_blobs(b, b.select("hash").distinct())
 
 
 @query("sequence_hash", B + """, s AS (SELECT source, lang, string_agg(hash, '' ORDER BY name, doc_id) AS h, count(*) AS frames FROM v_blobs GROUP BY source, lang)
@@ -53,10 +53,10 @@ _SNIFF = "CASE WHEN h LIKE '89504e470d0a1a0a%' THEN 'png' WHEN h LIKE 'ffd8ff%'
 def _content():
     k = F.col("page_id") % 8
     magic = F.when(k == 0, "474946383961").when(k == 1, "89504e470d0a1a0a").when(k == 2, "52494646000000005745425056503858").when(k == 3, "ffd8ffe0").when(k == 4, "000000206674797061766966").when(k == 5, "424d3600").otherwise("")
-    return F.concat(F.unhex(magic), F.encode(F.substring(F.coalesce("html", F.lit("")), 1, 40), "utf-8"))
+    return F.concat(F.unhex(magic), F.encode(F.substring(F.coalesce("html", F.lit("")), 1, 512), "utf-8"))
 
 
-@query("sniff_format", f"SELECT page_id, {_SNIFF} AS format FROM (SELECT page_id, {_MAGIC} || lower(hex(encode(coalesce(html, '')[1:40]))) AS h FROM pages)")
+@query("sniff_format", f"SELECT page_id, {_SNIFF} AS format FROM (SELECT page_id, {_MAGIC} || lower(hex(encode(coalesce(html, '')[1:512]))) AS h FROM pages)")
 def sniff_format(spark, d):
     return V.read(spark, d, "pages").select("page_id", N.sniff(_content()).alias("format"))
 
