@@ -9,7 +9,7 @@ the cost of both on the sizes at hand. Equal sets are one class from the start.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
@@ -154,11 +154,11 @@ class Frequent:
         return out
 
 
-ROWS = "kind int, doc_id long, n long, sid long"
+ROWS = "kind int, doc_id long, n long, sid long, mark binary"
 
 
 def measure(docs: DataFrame, n: int) -> DataFrame:
-    """Kind 0: doc_id, set size and set number of every row. Kind 1: sid is an element that a task has met n times."""
+    """Kind 0: doc_id, set size, set number and mark of every row. Kind 1: sid is an element that a task has met n times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -167,19 +167,20 @@ def measure(docs: DataFrame, n: int) -> DataFrame:
         def counted() -> pa.RecordBatch:
             keys, count = np.unique(np.concatenate(held), return_counts=True)
             on = count >= 3
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(int(on.sum()), np.int32)), pa.nulls(int(on.sum()), pa.int64()), pa.array(count[on].astype(np.int64)), pa.array(keys[on].view(np.int64))], ["kind", "doc_id", "n", "sid"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(int(on.sum()), np.int32)), pa.nulls(int(on.sum()), pa.int64()), pa.array(count[on].astype(np.int64)), pa.array(keys[on].view(np.int64)), pa.nulls(int(on.sum()), pa.binary())], ["kind", "doc_id", "n", "sid", "mark"])
 
         for batch in batches:
-            size, sid = [], []
+            size, sid, marks = [], [], []
             for _, s in _batches(batch.column(1), n):
                 size.append(len(s))
                 sid.append(set_id(s) if len(s) else None)
+                marks.append(mark(s) if len(s) else None)
                 held.append(s)
                 have += len(s)
                 if have >= COUNT_AT:
                     yield counted()
                     held, have = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), np.int32)), batch.column(0), pa.array(size, pa.int64()), pa.array(sid, pa.int64())], ["kind", "doc_id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), np.int32)), batch.column(0), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), pa.array(marks, pa.binary())], ["kind", "doc_id", "n", "sid", "mark"])
         if held:
             yield counted()
 
@@ -254,17 +255,29 @@ def postings(docs: DataFrame, n: int, t: Threshold, large: int, frequent: Freque
     return docs.select("text").mapInArrow(run, POSTED)
 
 
-#: Parts that a sketch counts a set's elements in.
-PARTS = 256
+def mark(s: np.ndarray) -> bytes:
+    """A set's size and parity bits: how often, odd or even, its elements fall on each of at least as many places.
+
+    Two sets' bits differ on no more places than the sets differ in elements.
+    """
+    places = max(256, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return len(s).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Elements of a set by part of the hash range: the smaller counts of two sets sum to no less than their overlap."""
-    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS).astype(np.uint32).tobytes()
+def differ(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """(size, size, elements that the two sets differ in at least) from two marks; the longer bits are folded onto the shorter's places."""
+    if len(x) > len(y):
+        x, y = y, x
+    u, v, places = int.from_bytes(x[4:], "little"), int.from_bytes(y[4:], "little"), 8 * (len(y) - 4)
+    while places > 8 * (len(x) - 4):
+        places //= 2
+        v = (v >> places) ^ (v & ((1 << places) - 1))
+    return int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little"), (u ^ v).bit_count()
 
 
-def contents(docs: DataFrame, n: int, wanted: Members, form: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """(id, content) of the documents in ``wanted``: set number and what ``form`` makes of the set; a task gives a set once."""
+def contents(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
+    """(id, content) of the documents in ``wanted``: set number and elements; a task gives a set once."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +291,7 @@ def contents(docs: DataFrame, n: int, wanted: Members, form: Callable[[np.ndarra
             for _, s in _batches(batch.column(1), n):
                 if len(s) and (i := set_id(s)) not in seen:
                     seen.add(i)
-                    got[i] = form(s)
+                    got[i] = s.tobytes()
             if len(seen) > 1_000_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], ["id", "content"])
@@ -310,25 +323,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     sizes = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, 2 * SMALLEST_LARGE)).groupBy("n").count().collect()}
     scanned = float((frequent.counts.astype(float) ** 2).sum()) / max(1, total)
     large = t.boundary(sizes, scanned)
-    nodes = scratch.save(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "nodes")
-
-    def fetch(form: Callable[[np.ndarray], bytes]):
-        def one(ids: DataFrame, count: int) -> DataFrame:
-            own = ids.join(nodes, ids["id"] == nodes["sid"]).select(F.coalesce(nodes["doc_id"], F.lit(0)).alias("id"))
-            return contents(docs, n, members(own, count), form)
+    nodes = scratch.save(measured.where("kind = 0 AND sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark")), "nodes")
+    marks = nodes.select(F.col("sid").alias("id"), F.col("mark").alias("content"))
 
-        return one
+    def sets(ids: DataFrame, count: int) -> DataFrame:
+        own = ids.join(nodes, ids["id"] == nodes["sid"]).select(F.coalesce(nodes["doc_id"], F.lit(0)).alias("id"))
+        return contents(docs, n, members(own, count))
 
     def may_link(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        return int(np.minimum(a, b).sum()) >= t.overlap(int(a.sum()), int(b.sum()))
+        a, b, apart = differ(x, y)
+        return apart <= a + b - 2 * t.overlap(a, b)
 
     def links(x: bytes, y: bytes) -> bool:
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         return len(np.intersect1d(a, b, assume_unique=True)) >= t.overlap(len(a), len(b))
 
-    checks = [(fetch(sketch), may_link), (fetch(np.ndarray.tobytes), links)]
-    linked = components(postings(docs, n, t, large, frequent), t.filter, checks, scratch)
+    checks = [(lambda ids, count: marks.join(ids, "id", "left_semi"), may_link), (sets, links)]
+    linked = components(postings(docs, n, t, large, frequent), t.filter, checks, scratch, marks)
     rooted = nodes.join(linked, nodes["sid"] == linked["id"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(names, "root").select("sid", "component_id")

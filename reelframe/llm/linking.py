@@ -184,22 +184,27 @@ def first_round(postings: DataFrame, ok: PairFilter) -> DataFrame:
     return dealt.mapInArrow(run, LISTED)
 
 
-def second_round(back: DataFrame, components: DataFrame, ok: PairFilter) -> DataFrame:
+def second_round(back: DataFrame, components: DataFrame, ok: PairFilter, marks: DataFrame | None = None, may: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
     """Pairs (a, b) of the lists in ``back`` that pass the filter and lie in different components.
 
-    A list of over PIECE members is dealt out as pairs of blocks, each pair a group of its own.
+    With ``marks`` (id, content) a pair also has to pass ``may`` on the two small contents. A
+    list of over PIECE members is dealt out as pairs of blocks, each pair a group of its own.
     """
     named = back.join(components, "id", "left").select("key", "id", "p", "q", F.coalesce("root", "id").alias("root"))
+    if marks is not None:
+        named = named.join(marks.withColumnRenamed("content", "mark"), "id")
+    else:
+        named = named.withColumn("mark", F.lit(None).cast("binary"))
     lists = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     blocks = F.ceil(F.col("n") / PIECE).cast("int")
     split = named.join(lists.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "p", "q", "root")
+    split = split.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "p", "q", "root", "mark")
     dealt = split.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, (x, y) in _groups(batches):
-            ids, p, q, root, own = t["id"], t["p"], t["q"], t["root"], t["own"]
+            ids, p, q, root, own, marks_of = t["id"], t["p"], t["q"], t["root"], t["own"], t["mark"]
             a_side = np.flatnonzero(own == x)
             b_side = np.flatnonzero(own == y)
             out = []
@@ -208,6 +213,8 @@ def second_round(back: DataFrame, components: DataFrame, ok: PairFilter) -> Data
                 others = others[root[others] != root[i]]
                 if len(others):
                     good = others[ok((p[i], q[i]), (p[others], q[others]))]
+                    if may is not None and len(good):
+                        good = good[[may(marks_of[i], marks_of[k]) for k in good.tolist()]]
                     if len(good):
                         out.append(np.stack((np.full(len(good), ids[i]), ids[good]), 1))
             if out:
@@ -303,11 +310,13 @@ def verified(pairs: DataFrame, contents: DataFrame, same: Callable[[bytes, bytes
 Check = tuple[Callable[[DataFrame, int], DataFrame], Callable[[bytes, bytes], bool]]
 
 
-def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch: Scratch) -> DataFrame:
+def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch: Scratch, marks: DataFrame | None = None) -> DataFrame:
     """(id, root) of all items with a link.
 
     ``postings`` (key, id, p, q): two similar items share a key and pass ``ok`` there.
     Candidates pass through ``checks`` in turn, cheap contents first; the last one decides.
+    Where all items' contents of the first check are one small table, ``marks``, the second
+    round uses them inside the lists, before it makes a pair.
     """
     listed = scratch.save(first_round(postings, ok), "listed")
     back = listed.where("kind = 1").drop("kind")
@@ -327,7 +336,7 @@ def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch
 
     links = check(listed.where("kind = 0").select(F.col("key").alias("a"), F.col("id").alias("b")).distinct())
     first = connected_components(links, scratch)
-    more = check(second_round(back, first, ok))
+    more = check(second_round(back, first, ok, marks, checks[0][1] if marks is not None else None))
     if more.isEmpty():
         return first
     name = first.withColumnsRenamed({"id": "a", "root": "x"}), first.withColumnsRenamed({"id": "b", "root": "y"})
