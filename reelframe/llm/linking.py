@@ -21,25 +21,55 @@ from .common import Scratch, mix64
 
 #: Members of a list that are held at once; longer lists are taken in such pieces.
 PIECE = 2048
-#: Lists up to this length get all their pairs tested in one step.
-SHORT = 64
+#: Lists up to this length get all their pairs tested, many lists side by side.
+SHORT = 128
 
 #: ok(payload of one or more items, payload of others) -> which pairs pass; payloads are two integer arrays.
 PairFilter = Callable[[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], np.ndarray]
 
 
+#: Edges that one task takes at once; with so few left, more rounds over all partitions would only cost their start.
+FINISH = 10_000
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """(id, to) of at most FINISH edges, by union-find in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(a: int) -> int:
+            up.setdefault(a, a)
+            while up[a] != a:
+                up[a] = up[up[a]]
+                a = up[a]
+            return a
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(a) for a in up], pa.int64())], ["id", "to"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, "id long, to long")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) for every end of ``edges`` (a, b): one root a component.
 
     Contraction: each node moves to the least of itself and its neighbours, edges follow, and
     what remains is contracted again. From the third round on a fresh hash orders the nodes,
     so that the number of rounds is logarithmic whatever the numbering. Each round is one
-    aggregation and two joins over a shrinking table.
+    aggregation and two joins over a shrinking table; the last FINISH edges are one task's.
     """
     e = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
     turn = 0
-    while not e.isEmpty():
+    while left := e.count():
+        if left <= FINISH:
+            maps.append(scratch.save(_finish(e), "moves"))
+            break
+
         def rank(c: str, turn=turn):
             return F.struct((F.xxhash64(F.lit(turn), c) if turn > 1 else F.lit(0).cast("long")).alias("order"), F.col(c).alias("id"))
 
@@ -58,7 +88,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     for move in maps[1:]:
         step = move.withColumnsRenamed({"id": "root", "to": "next"})
         out = out.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-    return scratch.save(out, "components")
+    return scratch.save(out, "components") if len(maps) > 1 else out
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -110,17 +140,30 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
     return out
 
 
+def _passing(key_start: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray, ok: PairFilter) -> tuple[np.ndarray, np.ndarray]:
+    """All passing pairs inside many short lists at once: every place against the one d further on, for growing d."""
+    of = np.repeat(np.arange(len(size)), size)
+    at = np.repeat(key_start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(of))
+    end = (key_start + size)[of]
+    left, right = [], []
+    d = 1
+    while len(at):
+        on = at + d < end
+        at, end = at[on], end[on]
+        if not len(at):
+            break
+        good = ok((p[at], q[at]), (p[at + d], q[at + d]))
+        left.append(at[good])
+        right.append(at[good] + d)
+        d += 1
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _first_links(ids: np.ndarray, p: np.ndarray, q: np.ndarray, ok: PairFilter) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
-    """Spanning pairs of one list, and whether a filtered pair may be left out."""
-    n = len(ids)
-    if n <= SHORT:
-        good = ok((p[:, None], q[:, None]), (p[None, :], q[None, :]))
-        i, j = np.nonzero(np.triu(good, 1))
-        if not len(i):
-            return [], False
-        keep = _forest(i, j, n)
-        return [(ids[i[keep]], ids[j[keep]])], len(keep) < len(i)
-    out, left, rest = [], False, np.arange(n)
+    """Spanning pairs of one long list, leader by leader, and whether a filtered pair may be left out."""
+    out, left, rest = [], False, np.arange(len(ids))
     while len(rest) > 1:
         lead, others = rest[0], rest[1:]
         good = ok((p[lead], q[lead]), (p[others], q[others]))
@@ -149,11 +192,23 @@ def first_round(postings: DataFrame, ok: PairFilter) -> DataFrame:
             # A list that began in an earlier stretch goes on here.
             goes_on = np.zeros(len(start), bool)
             goes_on[0] = carried is not None and carried[0] == key[0]
-            two = start[(size == 2) & ~goes_on]
-            if len(two):
-                good = ok((p[two], q[two]), (p[two + 1], q[two + 1]))
-                pairs.append((ids[two[good]], ids[two[good] + 1]))
-            many = (size > 2) | goes_on
+            short = (size > 1) & (size <= SHORT) & ~goes_on
+            if short.any():
+                i, j = _passing(start[short], size[short], p, q, ok)
+                differ = ids[i] != ids[j]
+                i, j = i[differ], j[differ]
+                if len(i):
+                    places, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+                    keep = _forest(at[: len(i)], at[len(i) :], len(places))
+                    pairs.append((ids[i[keep]], ids[j[keep]]))
+                    # Pairs beyond the forest are for later, with the members that they concern.
+                    spare = np.ones(len(i), bool)
+                    spare[keep] = False
+                    if spare.any():
+                        run = np.searchsorted(start, i, "right")
+                        again_in = np.isin(run, run[spare])
+                        back.append(np.unique(np.concatenate((i[again_in], j[again_in]))))
+            many = (size > SHORT) | goes_on
             for s, n in zip(start[many].tolist(), size[many].tolist(), strict=True):
                 for at in range(s, s + n, PIECE):
                     on = np.arange(at, min(at + PIECE, s + n))

@@ -228,7 +228,9 @@ def test_boundary_follows_cost():
     assert t.overlap(19, 19) == 18 and t.prefix(20) == 3
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("finish", [0, 50, 10**6])
+def test_connected_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(linking, "FINISH", finish)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5001), (5001, 5000), (7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")
     got = defaultdict(set)
