@@ -22,7 +22,7 @@ from .common import Scratch, mix64
 #: Members of a list that are held at once; longer lists are taken in such pieces.
 PIECE = 2048
 #: Lists up to this length get all their pairs tested, many lists side by side.
-SHORT = 128
+SHORT = 1024
 
 #: ok(payload of one or more items, payload of others) -> which pairs pass; payloads are two integer arrays.
 PairFilter = Callable[[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], np.ndarray]
