@@ -294,6 +294,23 @@ def test_line_dedup_odd_rows(docs, nothing, rows):
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("many", [10**9, 0])
+def test_line_dedup_finds_edit_similar_lines(spark, monkeypatch, many):
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    rnd = random.Random(5)
+    pairs = []
+    for k in (8, 12, 20, 40, 60) * 8:
+        w = ["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 8))) for _ in range(k)]
+        v = list(w)
+        v[rnd.randrange(k)] = "changed"
+        pairs.append((" ".join(w), " ".join(v)))
+    assert all(line_dedup.similar(a.encode(), b.encode()) for a, b in pairs)
+    rows = [(side * 1000 + i, p[side]) for i, p in enumerate(pairs) for side in (0, 1)]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), report=True).collect()}
+    assert [got[i] for i in range(len(pairs))] == [1] * len(pairs)
+    assert [got[1000 + i] for i in range(len(pairs))] == [0] * len(pairs)
+
+
 # -- decontamination -----------------------------------------------------------------------
 def test_decontamination(spark, docs, nothing):
     rnd = random.Random(4)
