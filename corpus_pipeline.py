@@ -21,7 +21,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that loses all its words goes too, one that had none stays."""
-    out = line_dedup.line_dedup(docs, report=True)
+    out = line_dedup.line_dedup(docs, min_words=1, report=True)
     emptied = (F.col("n_kept") < F.col("n_lines")) & F.col("text").rlike(r"^\s*$")
     left = out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_kept") < F.col("n_lines"), F.length("text")).otherwise(F.col("n_chars")))
     return left.select(docs.columns)

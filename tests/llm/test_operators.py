@@ -311,6 +311,20 @@ def test_line_dedup_finds_edit_similar_lines(spark, monkeypatch, many):
     assert [got[1000 + i] for i in range(len(pairs))] == [0] * len(pairs)
 
 
+def test_line_dedup_queries_compare_all_lines(spark, tmp_path):
+    import corpus_pipeline
+    from reelframe.llm import registry
+
+    wide = "这是一行很长的文字没有任何空格所以只算一个词但是它必须被去重"
+    data = [(1, f"All rights reserved.\n{wide}\n--\n", "x", "y", 1), (2, f"all rights reserved\n{wide[:-1]}了\n--\n", "x", "y", 1)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_kept"]) for r in registry.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 4), 2: (4, 2)}
+    left = {r["doc_id"] for r in corpus_pipeline.without_repeated_lines(spark, table, str(tmp_path)).collect()}
+    assert 1 in left
+
+
 # -- decontamination -----------------------------------------------------------------------
 def test_decontamination(spark, docs, nothing):
     rnd = random.Random(4)
