@@ -34,7 +34,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), 10)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), 10, nameless=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ class WuManber:
         return w[end - 1] if block == 1 else w[end - 2] * self.base + w[end - 1]
 
     def search(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[int]]:
-        """(words of the text, spans of words inside occurrences, items with occurrences)."""
+        """(words of the text, spans of words inside occurrences, items with occurrences; None stands for items without id)."""
         own = split_words(text)
         get = self.ids.get
         seq = [get(w, 0) for w in own]
@@ -107,12 +107,12 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int, nameless: bool) -> Iterator[list[tuple[int, bytes]]]:
     """Benchmark items in groups of bounded size, each small enough to send to every task."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")).toLocalIterator(prefetchPartitions=False)
     have, size = [], 0
     for item_id, text in rows:
-        if item_id is None:
+        if item_id is None and not nameless:
             continue
         if have and size + len(text) > block_bytes:
             yield have
@@ -122,19 +122,19 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
     yield have
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """For every row of ``docs``: its columns, n_words, hit (flat starts and ends of hit spans, in words), items (sorted ids).
 
     A benchmark of up to ``block_bytes`` is one table and one pass; a larger one is searched
     block by block, spans and items of a row being carried along. Null and empty texts have no
-    words; items without id or words match nothing; repeated items all count; an empty
-    benchmark hits nothing.
+    words; items without words match nothing; items without id match nothing, or with
+    ``nameless`` are searched as well and count as one item, a null in items; repeated items all count; an empty benchmark hits nothing.
     """
     sc = docs.sparkSession.sparkContext
     keep = docs.columns
     out = docs
     at = keep.index("text")
-    for k, items in enumerate(_blocks(benchmark, block_bytes)):
+    for k, items in enumerate(_blocks(benchmark, block_bytes, nameless)):
         sent = sc.broadcast(items)
         more = k > 0
 
@@ -151,7 +151,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_byte
                         who |= set(before[0][1][i])
                     n_words.append(n)
                     hit.append(_merge(spans))
-                    found.append(sorted(who))
+                    found.append(sorted(who, key=lambda x: (x is None, x or 0)))
                 cols = [*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
 
@@ -160,16 +160,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_byte
     return out.toDF(*keep, "n_words", "hit", "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, nameless: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
-    found = find_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, width)
+    found = find_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, width, nameless=nameless)
     n_hit = F.aggregate(F.sequence(F.lit(0), F.size("hit") - 2, F.lit(2)), F.lit(0).cast("long"), lambda s, i: s + F.element_at("hit", i + 2) - F.element_at("hit", i + 1))
     out = found.select("doc_id", "n_words", F.when(F.size("hit") > 0, n_hit).otherwise(0).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, nameless: bool = False) -> DataFrame:
     """The rows of ``docs`` without a hit, columns as they were."""
-    return find_hits(docs, benchmark, width).where(F.size("hit") == 0).select(docs.columns)
+    return find_hits(docs, benchmark, width, nameless=nameless).where(F.size("hit") == 0).select(docs.columns)
 
 

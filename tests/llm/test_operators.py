@@ -366,6 +366,16 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_decontamination_items_without_id(spark):
+    table = spark.createDataFrame([(1, "so k1 k2 k3 on"), (2, "k1 k2"), (3, "m1 m2 and k1 k2 k3")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "k1 k2 k3"), (7, "m1 m2")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(table, bench, nameless=True).collect()}
+    none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
+    assert got == {1: (3, 1, none, True), 2: (0, 0, none, False), 3: (5, 2, seven, True)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(table, bench, nameless=True).collect()] == [2]
+    assert {r["doc_id"]: len(r["items"]) for r in decontaminate.find_hits(table, bench, 10, 6, nameless=True).collect()} == {1: 1, 2: 0, 3: 2}
+
+
 # -- secrets -------------------------------------------------------------------------------
 def test_secrets(docs, nothing, rows):
     base = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
