@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of one batch for Python, and the session's setting for it.
+BATCH_BYTES, BATCH_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Words of a text for shingles: everything between ASCII white space.
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -23,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (unit tests) a local folder takes its place.
+    Where the session names none, a session of one machine (unit tests) sets a local folder;
+    a cluster raises, since each executor would write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -31,22 +37,48 @@ def shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = "file://" + os.path.join(tempfile.gettempdir(), "reelframe-shared")
     spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Where the session doesn't set it, bound the bytes of a batch for Python."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 class Scratch:
     """Intermediate tables of one query in the shared folder.
 
     Writing a table cuts the lineage: a lost executor costs a reread, not a rerun of
-    everything before. ``drop`` frees tables that nothing reads any more.
+    everything before. ``drop`` frees tables that nothing reads any more; ``drop_since``
+    frees all tables of the queries begun after a ``mark``, once their results are written.
     """
 
+    _roots: list[str] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._roots.append(self.root)
+        # Batches for Python are bounded in bytes too, so that very long texts come few at a time.
+        bounded_batches(spark)
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls._roots)
+
+    @classmethod
+    def drop_since(cls, spark: SparkSession, mark: int) -> None:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for root in cls._roots[mark:]:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+        del cls._roots[mark:]
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -75,18 +107,41 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in wide.to_pylist()]
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, barrier_rows: int = 0) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``barrier_rows`` rows, so that a batch of long texts stays small in memory."""
+def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for ``mapInArrow`` whose freed memory goes back to the system when a task ends: workers live on for later stages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = barrier_rows or max(1, batch.num_rows)
-            for at in range(0, batch.num_rows, step):
-                out = fn(batch.slice(at, step))
-                if out is not None and out.num_rows:
-                    yield out
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
-    return df.mapInArrow(run, schema)
+
+def by_bytes(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches of rows with at most ``most`` bytes together; a larger row stands alone."""
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    at, rows = 0, len(sizes)
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def sliced(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts have at most ``most`` bytes together."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    for a, b in by_bytes(sizes, most):
+        yield batch.slice(a, b - a)
 
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -105,18 +160,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[bool, np.ndarray] = {}
+#: Powers that a worker keeps: 8 MB each way. A longer buffer has its own made.
+POWERS_KEPT = 1 << 20
 
 
 def _power(n: int, inverse: bool) -> np.ndarray:
-    key = "i" if inverse else "p"
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        base = np.full(size, _P_INV if inverse else _P, np.uint64)
-        base[0] = 1
-        _powers[key] = have = np.multiply.accumulate(base)
-    return have[:n]
+    have = _powers.get(inverse)
+    if have is not None and len(have) >= n:
+        return have[:n]
+    base = np.full(max(n, POWERS_KEPT), _P_INV if inverse else _P, np.uint64)
+    base[0] = 1
+    made = np.multiply.accumulate(base)
+    if n <= POWERS_KEPT:
+        _powers[inverse] = made
+    return made[:n]
 
 
 def words(data: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,6 +220,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - base
 
 
+def fresh(base: str, names: list[str]) -> str:
+    """``base`` as a column name that none of ``names`` clashes with, whatever their case."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def first_value(df: DataFrame, default=0):
     row = df.first()
     return default if row is None or row[0] is None else row[0]

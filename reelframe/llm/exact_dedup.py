@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, texts
+from .common import Scratch, released, texts
 
 DIGEST = 32
 #: Digests of a bucket, about; a bucket's table is held by the task that looks up in it.
@@ -87,12 +87,13 @@ class PerfectHash:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id and the SHA-256 of each whole text in UTF-8, A-Z lower-cased; null counts as empty."""
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [hashlib.sha256(t.lower()).digest() for t in texts(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "digest"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [hashlib.sha256(t.lower()).digest() for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "digest"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, one, "doc_id long, digest binary", 2000)
+    return rows.mapInArrow(released(run), "doc_id long, digest binary")
 
 
 def _bucket(buckets: int):

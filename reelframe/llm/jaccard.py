@@ -17,17 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Scratch, buffers, mix64, words
+from .common import LOWER, SPACE, Scratch, buffers, mix64, released, words
 from .linking import Members, components, members
 
 #: Rows of this many elements are counted at once for frequent elements.
-COUNT_AT = 4_000_000
+COUNT_AT = 1_000_000
 #: Elements whose frequency is known to all tasks, at most.
 FREQUENT = 1 << 20
 #: Sizes that may count as small.
 SMALLEST_LARGE = 64
 #: Bytes of text whose n-grams are made at once.
-STEP = 4 << 20
+STEP = 1 << 20
+#: Numbers of sets that a task remembers to have given already.
+SEEN = 200_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -184,7 +186,7 @@ def measure(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield counted()
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(released(run), ROWS)
 
 
 def _subset_keys(s: np.ndarray, t: Threshold, large: int) -> np.ndarray:
@@ -235,7 +237,7 @@ def postings(docs: DataFrame, n: int, t: Threshold, large: int, frequent: Freque
                 i = set_id(s)
                 if i in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(i)
                 if a < large:
@@ -252,7 +254,7 @@ def postings(docs: DataFrame, n: int, t: Threshold, large: int, frequent: Freque
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (sid, size, pos))], ["key", "id", "p", "q"])
 
-    return docs.select("text").mapInArrow(run, POSTED)
+    return docs.select("text").mapInArrow(released(run), POSTED)
 
 
 def mark(s: np.ndarray) -> bytes:
@@ -292,11 +294,11 @@ def contents(docs: DataFrame, n: int, wanted: Members) -> DataFrame:
                 if len(s) and (i := set_id(s)) not in seen:
                     seen.add(i)
                     got[i] = s.tobytes()
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], ["id", "content"])
 
-    return docs.mapInArrow(run, "id long, content binary")
+    return docs.mapInArrow(released(run), "id long, content binary")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -338,8 +340,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         return len(np.intersect1d(a, b, assume_unique=True)) >= t.overlap(len(a), len(b))
 
-    checks = [(lambda ids, count: marks.join(ids, "id", "left_semi"), may_link), (sets, links)]
-    linked = components(postings(docs, n, t, large, frequent), t.filter, checks, scratch, marks)
+    def each(same):
+        return lambda xs, ys: np.fromiter((same(x, y) for x, y in zip(xs, ys, strict=True)), bool, len(xs))
+
+    checks = [(lambda ids, count: marks.join(ids, "id", "left_semi"), each(may_link)), (sets, each(links))]
+    linked = components(postings(docs, n, t, large, frequent), t.filter, checks, scratch, marks, may_link)
     rooted = nodes.join(linked, nodes["sid"] == linked["id"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(names, "root").select("sid", "component_id")

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .common import Scratch, mix64, released, sliced
 
 #: Members of a list that are held at once; longer lists are taken in such pieces.
 PIECE = 2048
+#: Bytes of first contents that are verified at once.
+VERIFIED = 2 << 20
 #: Lists up to this length get all their pairs tested, many lists side by side.
 SHORT = 1024
 
@@ -236,7 +238,7 @@ def first_round(postings: DataFrame, ok: PairFilter) -> DataFrame:
                 on = np.concatenate(back)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(on), np.int32)), pa.array(key[on]), pa.array(ids[on]), pa.array(p[on]), pa.array(q[on])], ["kind", "key", "id", "p", "q"])
 
-    return dealt.mapInArrow(run, LISTED)
+    return dealt.mapInArrow(released(run), LISTED)
 
 
 def second_round(back: DataFrame, components: DataFrame, ok: PairFilter, marks: DataFrame | None = None, may: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
@@ -276,7 +278,7 @@ def second_round(back: DataFrame, components: DataFrame, ok: PairFilter, marks:
                 both = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], tuple[int, int]]]:
@@ -346,7 +348,7 @@ def members(ids: DataFrame, n: int) -> Members:
     return Members(bits)
 
 
-def verified(pairs: DataFrame, contents: DataFrame, same: Callable[[bytes, bytes], bool]) -> DataFrame:
+def verified(pairs: DataFrame, contents: DataFrame, same: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
     """The pairs (a, b) whose contents (id, content) are similar."""
     left = contents.withColumnsRenamed({"id": "a", "content": "content_a"})
     right = contents.withColumnsRenamed({"id": "b", "content": "content_b"})
@@ -354,24 +356,24 @@ def verified(pairs: DataFrame, contents: DataFrame, same: Callable[[bytes, bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("content_a"), batch.column("content_b")
-            good = pa.array([same(x[i].as_buffer().to_pybytes(), y[i].as_buffer().to_pybytes()) for i in range(batch.num_rows)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
+            for some in sliced(batch, 2, VERIFIED):
+                good = same(some.column(2).to_pylist(), some.column(3).to_pylist())
+                yield some.select(["a", "b"]).filter(pa.array(np.asarray(good, bool)))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(released(run), "a long, b long")
 
 
-#: (contents(ids, n): (id, content) for a table of n ids, same(content, content): whether the pair stays).
-Check = tuple[Callable[[DataFrame, int], DataFrame], Callable[[bytes, bytes], bool]]
+#: (contents(ids, n): (id, content) for a table of n ids, same(contents, contents): which pairs stay).
+Check = tuple[Callable[[DataFrame, int], DataFrame], Callable[[list[bytes], list[bytes]], np.ndarray]]
 
 
-def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch: Scratch, marks: DataFrame | None = None) -> DataFrame:
+def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch: Scratch, marks: DataFrame | None = None, may: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
     """(id, root) of all items with a link.
 
     ``postings`` (key, id, p, q): two similar items share a key and pass ``ok`` there.
     Candidates pass through ``checks`` in turn, cheap contents first; the last one decides.
-    Where all items' contents of the first check are one small table, ``marks``, the second
-    round uses them inside the lists, before it makes a pair.
+    Where all items have a small content of their own, ``marks`` (id, content), the second
+    round asks ``may`` about two of them inside the lists, before it makes a pair.
     """
     listed = scratch.save(first_round(postings, ok), "listed")
     back = listed.where("kind = 1").drop("kind")
@@ -391,7 +393,7 @@ def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch
 
     links = check(listed.where("kind = 0").select(F.col("key").alias("a"), F.col("id").alias("b")).distinct())
     first = connected_components(links, scratch)
-    more = check(second_round(back, first, ok, marks, checks[0][1] if marks is not None else None))
+    more = check(second_round(back, first, ok, marks, may))
     if more.isEmpty():
         return first
     name = first.withColumnsRenamed({"id": "a", "root": "x"}), first.withColumnsRenamed({"id": "b", "root": "y"})

@@ -16,7 +16,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1, report=True)
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), report="counts").select("doc_id", "counts.*", "text")
     return out.select("doc_id", "n_lines", "n_kept", (F.col("n_lines") - F.col("n_kept")).alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
 
 
