@@ -8,17 +8,18 @@ words confirms an occurrence.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import bounded_batches, fresh, mix64, release, texts
 
-#: Bytes of benchmark texts that one search table is built from; larger benchmarks are searched in blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark texts that one search table is built from; larger benchmarks are searched in blocks of this size. A table takes about 30 bytes a word beside its vocabulary.
+BLOCK_BYTES = 8 << 20
+FOUND = "struct<n_words: bigint, hit: array<int>, items: array<bigint>>"
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -28,58 +29,102 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+#: Spreads a block's two word numbers over the slots.
+_SPREAD = 1_000_003
+
+
+class _Group:
+    """Tables for the windows of ``m`` words that begin at ``start`` of ``flat``; ``who`` are their items' places."""
+
+    def __init__(self, flat: np.ndarray, m: int, start: np.ndarray, who: np.ndarray):
+        self.m, self.block = m, min(2, m)
+        at = start[:, None] + np.arange(m)
+        h = np.zeros(len(start), np.uint64)
+        for k in range(m):
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + flat[start + k].astype(np.uint64))
+        order = np.lexsort((who, h))
+        h, start, who, at = h[order], start[order], who[order], at[order]
+        # Windows alike in all words are one entry with several items.
+        new = np.ones(len(start), bool)
+        new[1:] = (h[1:] != h[:-1]) | (flat[at[1:]] != flat[at[:-1]]).any(axis=1)
+        entry = np.cumsum(new) - 1
+        more = np.ones(len(start), bool)
+        more[1:] = new[1:] | (who[1:] != who[:-1])
+        first, who, entry = start[new], who[more], entry[more]
+        slots = 1 << max(8, (4 * m * len(first)).bit_length())
+        self.mask = min(slots, 1 << 24) - 1
+        # Shift table: how far the scan may go on when a block with this slot ends where it stands.
+        shift = np.full(self.mask + 1, min(255, m - self.block + 1), np.uint8)
+        for end in range(self.block, m + 1):
+            np.minimum.at(shift, self._slot(flat, first + end), min(255, m - end))
+        self.shift = shift.tobytes()
+        # Buckets: entries by the slot of their last block.
+        slot = self._slot(flat, first + m)
+        by_slot = np.argsort(slot, kind="stable")
+        self.bucket = memoryview(np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=self.mask + 1)))).astype(np.int32))
+        self.first = memoryview(first[by_slot].astype(np.int32))
+        n_who = np.bincount(entry, minlength=len(first))
+        begin = np.cumsum(n_who) - n_who
+        self.who_at = memoryview(np.stack((begin[by_slot], (begin + n_who)[by_slot]), 1).astype(np.int32).ravel())
+        self.who = who.astype(np.int32)
+
+    def _slot(self, flat: np.ndarray, end: np.ndarray) -> np.ndarray:
+        before = flat[end - 2].astype(np.int64) if self.block == 2 else 0
+        return (before * _SPREAD + flat[end - 1]) & self.mask
+
+
 class WuManber:
-    """Search tables for the windows of some items."""
+    """Search tables for the windows of some items, as flat arrays."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int = 10):
         self.ids: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        for item_id, text in items:
-            own = [self.ids.setdefault(w, len(self.ids) + 1) for w in split_words(text)]
-            m = min(width, len(own))
-            for i in range(len(own) - m + 1 if m else 0):
-                windows[m][tuple(own[i : i + m])].add(item_id)
-        self.base = len(self.ids) + 1
-        self.groups = [self._tables(m, w) for m, w in sorted(windows.items())]
-
-    def _tables(self, m: int, windows: dict[tuple[int, ...], set[int]]):
-        block = min(2, m)
-        shift: dict[int, int] = {}
-        suffix: dict[int, list[tuple[tuple[int, ...], frozenset[int]]]] = defaultdict(list)
-        for w, items in windows.items():
-            for end in range(block, m + 1):
-                key = self._key(w, end, block)
-                shift[key] = min(shift.get(key, m), m - end)
-            suffix[self._key(w, m, block)].append((w, frozenset(items)))
-        return m, block, shift, dict(suffix)
-
-    def _key(self, w, end: int, block: int) -> int:
-        return w[end - 1] if block == 1 else w[end - 2] * self.base + w[end - 1]
+        self.items = [item_id for item_id, _ in items]
+        own = [[self.ids.setdefault(w, len(self.ids) + 1) for w in split_words(text)] for _, text in items]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter((w for x in own for w in x), np.int32, int(size.sum()))
+        begin = np.cumsum(size) - size
+        length = np.minimum(size, width)
+        self.groups = []
+        for m in np.unique(length[length > 0]).tolist():
+            at = np.flatnonzero(length == m)
+            n = size[at] - m + 1
+            start = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            self.groups.append(_Group(flat, m, start, np.repeat(at, n)))
+        self.flat = flat.tobytes()
+
+    def nbytes(self) -> int:
+        """Bytes of the tables, without the vocabulary."""
+        return len(self.flat) + sum(len(g.shift) + g.bucket.nbytes + g.first.nbytes + g.who_at.nbytes + g.who.nbytes for g in self.groups)
 
     def search(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[int]]:
         """(words of the text, spans of words inside occurrences, items with occurrences; None stands for items without id)."""
         own = split_words(text)
         get = self.ids.get
-        seq = [get(w, 0) for w in own]
-        n, base, spans, items = len(seq), self.base, [], set()
-        for m, block, shift, suffix in self.groups:
+        seq = np.fromiter((get(w, 0) for w in own), np.int32, len(own))
+        n, spans, items = len(seq), [], set()
+        if not seq.any():
+            return n, spans, items
+        known, words, flat = seq.tolist(), seq.tobytes(), self.flat
+        blocks = [0, *(seq[:-1].astype(np.int64) * _SPREAD + seq[1:]).tolist()]
+        for g in self.groups:
+            m, mask, shift, bucket, first = g.m, g.mask, g.shift, g.bucket, g.first
+            key = known if g.block == 1 else blocks
             at = m
-            jump = m - block + 1
             while at <= n:
-                last = seq[at - 1]
-                if not last:  # no window holds this word
+                if not known[at - 1]:  # no window holds this word
                     at += m
                     continue
-                key = last if block == 1 else seq[at - 2] * base + last
-                step = shift.get(key, jump)
+                slot = key[at - 1] & mask
+                step = shift[slot]
                 if step:
                     at += step
                     continue
-                here = tuple(seq[at - m : at])
-                for w, who in suffix[key]:
-                    if w == here:
+                here = words[4 * (at - m) : 4 * at]
+                for k in range(bucket[slot], bucket[slot + 1]):
+                    p = 4 * first[k]
+                    if flat[p : p + 4 * m] == here:
                         spans.append((at - m, at))
-                        items |= who
+                        items.update(self.items[i] for i in g.who[g.who_at[2 * k] : g.who_at[2 * k + 1]].tolist())
                 at += 1
         return n, spans, items
 
@@ -122,54 +167,55 @@ def _blocks(benchmark: DataFrame, block_bytes: int, nameless: bool) -> Iterator[
     yield have
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
-    """For every row of ``docs``: its columns, n_words, hit (flat starts and ends of hit spans, in words), items (sorted ids).
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, nameless: bool = False, into: str = "found") -> DataFrame:
+    """``docs`` with a last column ``into``, a struct: n_words, hit (flat starts and ends of hit spans, in words), items (sorted ids).
 
     A benchmark of up to ``block_bytes`` is one table and one pass; a larger one is searched
     block by block, spans and items of a row being carried along. Null and empty texts have no
-    words; items without words match nothing; items without id match nothing, or with
-    ``nameless`` are searched as well and count as one item, a null in items; repeated items all count; an empty benchmark hits nothing.
+    words; very long texts are searched whole; items without words match nothing; items without
+    id match nothing, or with ``nameless`` are searched as well and count as one item, a null in
+    items; repeated items all count, repeated rows are searched each; an empty benchmark hits
+    nothing and an empty table gives an empty one. ``into`` must not clash with a column of ``docs``.
     """
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    keep = docs.columns
-    out = docs
-    at = keep.index("text")
-    for k, items in enumerate(_blocks(benchmark, block_bytes, nameless)):
-        sent = sc.broadcast(items)
-        more = k > 0
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, more=more) -> Iterator[pa.RecordBatch]:
-            table = _table(sent.value, width)
-            for batch in batches:
-                n_words, hit, found = [], [], []
-                before = [(batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist())] if more else None
-                for i, t in enumerate(texts(batch.column(at))):
-                    n, spans, who = table.search(t)
-                    if before:
-                        old = before[0][0][i]
-                        spans += list(zip(old[::2], old[1::2], strict=True))
-                        who |= set(before[0][1][i])
-                    n_words.append(n)
-                    hit.append(_merge(spans))
-                    found.append(sorted(who, key=lambda x: (x is None, x or 0)))
-                cols = [*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
-
-        schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + f", c{len(keep)} long, c{len(keep) + 1} array<int>, c{len(keep) + 2} array<long>"
-        out = out.toDF(*[f"c{i}" for i in range(len(out.columns))]).mapInArrow(run, schema)
-    return out.toDF(*keep, "n_words", "hit", "items")
+    out = docs.withColumn(into, F.lit(None).cast(FOUND))
+    for items in _blocks(benchmark, block_bytes, nameless):
+        out = out.withColumn(into, _search(sc.broadcast(items), width)(F.col("text").cast("string"), F.col(into)))
+    return out
+
+
+def _search(sent, width: int):
+    """The search as a function of the text and what earlier blocks have found."""
+
+    @F.arrow_udf(FOUND)
+    def searched(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        table = _table(sent.value, width)
+        for text, before in columns:
+            n_words, hit, found = [], [], []
+            for t, old in zip(texts(text), before.to_pylist(), strict=True):
+                n, spans, who = table.search(t)
+                if old:
+                    spans += list(zip(old["hit"][::2], old["hit"][1::2], strict=True))
+                    who |= set(old["items"])
+                n_words.append(n)
+                hit.append(_merge(spans))
+                found.append(sorted(who, key=lambda x: (x is None, x or 0)))
+            yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["n_words", "hit", "items"])
+        release()
+
+    return searched
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, nameless: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
-    found = find_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, width, nameless=nameless)
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``; odd rows as in ``find_hits``."""
+    found = find_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, width, nameless=nameless).select("doc_id", "found.*")
     n_hit = F.aggregate(F.sequence(F.lit(0), F.size("hit") - 2, F.lit(2)), F.lit(0).cast("long"), lambda s, i: s + F.element_at("hit", i + 2) - F.element_at("hit", i + 1))
     out = found.select("doc_id", "n_words", F.when(F.size("hit") > 0, n_hit).otherwise(0).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, nameless: bool = False) -> DataFrame:
-    """The rows of ``docs`` without a hit, columns as they were."""
-    return find_hits(docs, benchmark, width, nameless=nameless).where(F.size("hit") == 0).select(docs.columns)
-
-
+    """The rows of ``docs`` without a hit, columns as they were, whatever their names; odd rows as in ``find_hits``."""
+    name = fresh("found", docs.columns)
+    return find_hits(docs, benchmark, width, nameless=nameless, into=name).where(F.size(f"{name}.hit") == 0).select(docs.columns)
