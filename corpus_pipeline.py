@@ -10,35 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelframe.llm import decontaminate, jaccard, line_dedup, packing, toxicity
-from reelframe.llm.common import Scratch, table
+from reelframe.llm.common import Scratch, fresh, table
 from reelframe.llm.registry import vocabulary
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pattern grammar rejects go."""
+    """Documents that the pattern grammar rejects go; null and empty texts have no clause to reject and are scored as empty."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that loses all its words goes too, one that had none stays."""
-    out = line_dedup.line_dedup(docs, min_words=1, report=True)
-    emptied = (F.col("n_kept") < F.col("n_lines")) & F.col("text").rlike(r"^\s*$")
-    left = out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_kept") < F.col("n_lines"), F.length("text")).otherwise(F.col("n_chars")))
-    return left.select(docs.columns)
+    """Repeated lines go; a document that loses all its words goes too, one that had none stays.
+
+    n_chars follows the text. Null and empty texts stay as they are, repeated rows are treated
+    alike, an empty table gives an empty one; extra columns may have any name.
+    """
+    counts, names = fresh("counts", docs.columns), docs.columns
+    out = line_dedup.line_dedup(docs, report=counts)
+    lost = F.col(f"{counts}.n_kept") < F.col(f"{counts}.n_lines")
+    left = out.where(~F.coalesce(lost & F.col("text").rlike(r"^\s*$"), F.lit(False)))
+    if "n_chars" in names:
+        left = left.withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return left.select(names)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays, the one with the smallest doc_id: five-word shingles, similarity of 0.8 or more.
+
+    Texts without words are like nothing and stay, and so do rows without doc_id; rows that share a doc_id stay together.
+    """
     return jaccard.one_per_component(docs, n=5, threshold=(8, 10))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
+    """Documents that hold ten consecutive words of a benchmark item, or the whole of a shorter one, go; null and empty texts stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), 10, nameless=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' token pieces, packed into sequences of 2048."""
+    """All documents' token pieces, packed into sequences of 2048; null and empty texts are their end id alone, repeated rows are packed each."""
     out = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), 2048, 0)
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
@@ -56,9 +66,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each from the Parquet files of the one before."""
+    """The stages in order over ``documents``, each from the Parquet files of the one before.
+
+    A stage's own scratch tables go once its result is written, and its input with them.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        mark, before = Scratch.mark(), docs
+        docs = scratch.save(stage(spark, before, sf_dir), name)
+        Scratch.drop_since(spark, mark)
+        scratch.drop(before)
     return docs

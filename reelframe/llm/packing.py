@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts
+from .common import Scratch, released, texts
 from .tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -58,7 +58,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                     cols, names = [*cols, pa.array(out["ids"], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -132,7 +132,7 @@ def _pack(df: DataFrame, parts: int, round_no: int, capacity: int, salt: int) ->
                 rows = rows.append_column(name, pa.array(v))
             yield from rows.to_batches()
 
-    return dealt.mapInArrow(run, PACKED)
+    return dealt.mapInArrow(released(run), PACKED)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, per_partition: int = 60_000, rounds: int = 3, scratch: Scratch | None = None) -> DataFrame:

@@ -17,10 +17,12 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pre-tokens whose ids a worker keeps; beyond it the table starts afresh.
-PIECES_KEPT = 500_000
-#: Texts are taken in slices of about this many bytes.
-SLICE_BYTES = 8 << 20
+from .common import by_bytes
+
+#: Distinct pre-tokens whose ids a worker keeps (about 15 MB), and the longest kept; beyond it the table starts afresh.
+PIECES_KEPT, PIECE_BYTES = 60_000, 48
+#: Texts are taken in slices of at most this many bytes.
+SLICE_BYTES = 1 << 20
 
 BREAK, LETTER, NUMBER, BLANK, WHITE, OTHER = range(6)
 _WHITE = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -178,14 +180,9 @@ class Encoder:
         return "Σ" in s or not unicodedata.is_normalized("NFC", s) or not unicodedata.is_normalized("NFC", s.lower())
 
     def slices(self, batch: list[bytes]):
-        at, size = 0, 0
-        for i, t in enumerate(batch):
-            size += len(t)
-            if size >= SLICE_BYTES:
-                yield batch[at : i + 1]
-                at, size = i + 1, 0
-        if at < len(batch):
-            yield batch[at:]
+        sizes = np.fromiter(map(len, batch), np.int64, len(batch))
+        for a, b in by_bytes(sizes, SLICE_BYTES):
+            yield batch[a:b]
 
     def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, start of each text's ids among them: one more than texts)."""
@@ -212,13 +209,15 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offs), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         kept, flat, size, end = self.kept, [], [], self.end
-        if len(kept) > PIECES_KEPT:
+        if len(kept) >= PIECES_KEPT:
             kept.clear()
         encode = self.core.encode_single_piece
         for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
             got = kept.get(p)
             if got is None:
-                got = kept[p] = encode(p + end)
+                got = encode(p + end)
+                if len(p) <= PIECE_BYTES and len(kept) < PIECES_KEPT:
+                    kept[p] = got
             flat += got
             size.append(len(got))
         index = coded.indices.to_numpy()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import Scratch, bounded_batches, fresh, release, texts
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hash of their doc_id.
 FIT_ROWS = 20_000
@@ -30,6 +30,8 @@ FIT_ROWS = 20_000
 PREFIXES = (4, 5, 6, 7)
 #: A beginning enters the lexicon with this many toxic documents and this log-odds, at least.
 MIN_DOCS, MIN_ODDS = 4, 2.5
+#: Classes of words that a worker keeps (about 8 MB), and the longest kept.
+WORDS_KEPT, WORD_BYTES = 50_000, 40
 #: Entries of the learned lexicon, at most; the strongest stay.
 LEXICON = 5_000
 
@@ -97,9 +99,10 @@ class Grammar:
             weight = max((self.lexicon.get(word[:k], 0.0) for k in PREFIXES if len(word) >= k), default=0.0)
             weight = max(weight, self.lexicon.get(word + "$", 0.0))
             got = (INSULT, weight) if weight > 0 else (own, 1.0 if own == THREAT else 0.0)
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[word] = got
+            if len(word) <= WORD_BYTES:
+                if len(self.known) >= WORDS_KEPT:
+                    self.known.clear()
+                self.known[word] = got
         return got
 
     def features(self, text: str) -> list[float]:
@@ -188,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded table from here on
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = Scratch(docs.sparkSession, "toxicity").save(sample, "sample")  # three passes read it
     first = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)) == 0
 
     def counted(df: DataFrame, only: set[str] | None) -> DataFrame:
@@ -224,30 +228,38 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model(lexicon, bias, weights)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a ``score`` column: probability that the text is toxic. Null texts are empty texts."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a last column ``name``: probability that the text is toxic. Null texts are empty texts.
+
+    Only the text goes to Python. ``name`` must not clash with a column of ``docs``.
+    """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
-        for batch in batches:
-            s = [m.score(t.decode()) for t in texts(batch.column(names.index("text")))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [f"c{i}" for i in range(len(names) + 1)])
+        for column in columns:
+            yield pa.array([m.score(t.decode()) for t in texts(column)], pa.float64())
+        release()
 
-    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)) + f", c{len(names)} double"
-    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema).toDF(*names, "score" if "score" not in names else "toxicity_score")
+    return docs.withColumn(name, scored(F.col("text").cast("string")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``.
+
+    Null and empty texts have the score of a text without clauses; very long texts are read
+    whole; repeated rows and rows that share a doc_id are scored each; a row without doc_id
+    isn't labelled; an empty table gives an empty one, and without labels a small general
+    lexicon stands in. Other columns are ignored.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score(own, fit(own, labels, rows))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``; columns as they were."""
-    model = fit(docs, labels, rows)
-    scored = score(docs, model)
-    return scored.where(F.col(scored.columns[-1]) < threshold).select(docs.columns)
+    """The rows of ``docs`` whose text scores below ``threshold``; columns as they were, whatever their names. Odd rows as in ``toxicity``."""
+    name = fresh("toxicity_score", docs.columns)
+    return score(docs, fit(docs, labels, rows), name).where(F.col(name) < threshold).select(docs.columns)

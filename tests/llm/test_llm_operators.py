@@ -254,49 +254,72 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain(a, b)
 
 
-def brute_lines(rows, min_words=5):
-    place, normal = {}, {}
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def normal_line(line):
+    return " ".join(re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), line)).split(" ")).strip()
+
+
+def brute_lines(rows):
+    """Line dedup by edit similarity of all pairs alone, with nothing from the operator."""
+    place = {}
     for d, t in rows:
-        for k, line in enumerate(text(t).encode().split(b"\n")):
-            x = line_dedup.normalise(line)
-            if len(x.split()) >= min_words:
+        for k, line in enumerate(text(t).split("\n")):
+            if x := " ".join(normal_line(line).split()):
                 place.setdefault(x, []).append((d is not None, d or 0, k))
-    h = dict(zip(place, line_dedup.simhashes(list(place)), strict=True)) if place else {}
     names = sorted(place)
-    comp = components_of(range(len(names)), lambda i, j: bin(int(h[names[i]]) ^ int(h[names[j]])).count("1") <= line_dedup.BITS and line_dedup.similar(names[i], names[j]))
-    winner = {}
+    comp = components_of(range(len(names)), lambda i, j: min(len(names[i]), len(names[j])) * 10 >= 8 * (n := max(len(names[i]), len(names[j]))) and 10 * edits(names[i], names[j]) <= 2 * n)
+    winner, normal = {}, {}
     for i, x in enumerate(names):
         winner[comp[i]] = min([*place[x], *([winner[comp[i]]] if comp[i] in winner else [])])
     for i, x in enumerate(names):
         normal[x] = winner[comp[i]]
     out = []
     for d, t in rows:
-        keep = [line for k, line in enumerate(text(t).split("\n")) if (x := line_dedup.normalise(line.encode())) not in normal or normal[x] == (d is not None, d or 0, k)]
+        keep = [line for k, line in enumerate(text(t).split("\n")) if (x := " ".join(normal_line(line).split())) not in normal or normal[x] == (d is not None, d or 0, k)]
         out.append((d, None if t is None else "\n".join(keep)))
     return out
 
 
-@pytest.mark.parametrize("many", [10**9, 0])
-def test_line_dedup(spark, monkeypatch, many):
-    monkeypatch.setattr(line_dedup, "MANY", many)
+def test_line_dedup(spark):
     rnd = random.Random(2)
-    pool = near_copies(120)
+    pool = [x for x in near_copies(70) if len(x) < 300] + ["ok", "Yes.", "--", "", "all rights reserved", "All rights reserved!"]
     rows = [(i, "\n".join(rnd.choice(pool) + rnd.choice(["", ".", " !"]) for _ in range(rnd.randint(0, 5)))) for i in range(60)]
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(map(tuple, got.collect())) == sorted(brute_lines(rows))
 
 
+def test_many_pairs_are_measured_as_one():
+    rnd = random.Random(8)
+    xs, ys = [], []
+    for _ in range(700):
+        a = rnd.choices("abcdé ", k=rnd.randint(1, 260))
+        b = [rnd.choice("xyz中") if rnd.random() < 0.15 else c for c in a if rnd.random() > 0.05] or ["q"]
+        xs.append("".join(a).encode())
+        ys.append("".join(b).encode())
+    assert line_dedup.alike(xs, ys).tolist() == [line_dedup.similar(x, y) for x, y in zip(xs, ys, strict=True)]
+    some = [i for i in range(700) if len(xs[i]) < 60][:60]
+    assert [line_dedup.similar(xs[i], ys[i]) for i in some] == [10 * edits(xs[i].decode(), ys[i].decode()) <= 2 * max(len(xs[i].decode()), len(ys[i].decode())) for i in some]
+
+
 def test_line_dedup_odd_rows(docs, nothing, rows):
     out = line_dedup.line_dedup(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     got = {r["doc_id"]: r["text"] for r in out.collect() if r["doc_id"] is not None}
     assert got[0] is None and got[1] == "" and got[100] == "" and got[3] == "one"
+    clash = docs.withColumnsRenamed({"digest": "n_lines", "key": "n_kept", "row": "counts"})
+    assert line_dedup.line_dedup(clash, report="more").columns == [*clash.columns, "more"]
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
-@pytest.mark.parametrize("many", [10**9, 0])
-def test_line_dedup_finds_edit_similar_lines(spark, monkeypatch, many):
-    monkeypatch.setattr(line_dedup, "MANY", many)
+def test_line_dedup_finds_edit_similar_lines(spark):
     rnd = random.Random(5)
     pairs = []
     for k in (8, 12, 20, 40, 60) * 8:
@@ -306,7 +329,7 @@ def test_line_dedup_finds_edit_similar_lines(spark, monkeypatch, many):
         pairs.append((" ".join(w), " ".join(v)))
     assert all(line_dedup.similar(a.encode(), b.encode()) for a, b in pairs)
     rows = [(side * 1000 + i, p[side]) for i, p in enumerate(pairs) for side in (0, 1)]
-    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), report=True).collect()}
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), report="c").select("doc_id", "c.*").collect()}
     assert [got[i] for i in range(len(pairs))] == [1] * len(pairs)
     assert [got[1000 + i] for i in range(len(pairs))] == [0] * len(pairs)
 
@@ -359,8 +382,8 @@ def test_decontamination(spark, docs, nothing):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(map(tuple, decontaminate.contamination(table, bench).collect())) == sorted(want)
     for size in (40, 200):  # a benchmark in blocks
-        hits = {r["doc_id"]: (list(r["hit"]), list(r["items"])) for r in decontaminate.find_hits(table, bench, 10, size).collect()}
-        assert hits == {r["doc_id"]: (list(r["hit"]), list(r["items"])) for r in decontaminate.find_hits(table, bench).collect()}
+        hits = {r["doc_id"]: r["found"] for r in decontaminate.find_hits(table, bench, 10, size).collect()}
+        assert hits == {r["doc_id"]: r["found"] for r in decontaminate.find_hits(table, bench).collect()}
     assert decontaminate.contamination(nothing, bench).count() == 0
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
@@ -373,7 +396,7 @@ def test_decontamination_items_without_id(spark):
     none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
     assert got == {1: (3, 1, none, True), 2: (0, 0, none, False), 3: (5, 2, seven, True)}
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(table, bench, nameless=True).collect()] == [2]
-    assert {r["doc_id"]: len(r["items"]) for r in decontaminate.find_hits(table, bench, 10, 6, nameless=True).collect()} == {1: 1, 2: 0, 3: 2}
+    assert {r["doc_id"]: len(r["found"]["items"]) for r in decontaminate.find_hits(table, bench, 10, 6, nameless=True).collect()} == {1: 1, 2: 0, 3: 2}
 
 
 # -- secrets -------------------------------------------------------------------------------
