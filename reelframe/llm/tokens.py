@@ -27,6 +27,7 @@ SLICE_BYTES = 1 << 20
 BREAK, LETTER, NUMBER, BLANK, WHITE, OTHER = range(6)
 _WHITE = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: list[np.ndarray] = []
+_unknown: list[re.Pattern] = []
 
 
 def char_classes() -> np.ndarray:
@@ -40,6 +41,16 @@ def char_classes() -> np.ndarray:
     return _classes[0]
 
 
+def unknown_characters() -> re.Pattern:
+    """Characters that this Python's Unicode tables don't know; the library's may be newer, so texts with them are the library's."""
+    if not _unknown:
+        points = np.flatnonzero(np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000))
+        first = points[np.diff(points, prepend=-2) > 1].tolist()
+        last = points[np.diff(points, append=1 << 30) > 1].tolist()
+        _unknown.append(re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True)) + "]"))
+    return _unknown[0]
+
+
 def byte_classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class of the character that each UTF-8 byte belongs to, length at lead bytes and 0 elsewhere)."""
     table = char_classes()
@@ -174,9 +185,16 @@ class Encoder:
         """Whether only the library can tell what it makes of a text."""
         if self.special and b"<|" in text and self.special.search(text):
             return True
-        if self.spaced or text.isascii():
+        if text.isascii():
             return False
         s = text.decode()
+        if unknown_characters().search(s):
+            return True
+        return not self.spaced and self._changed(s)
+
+    @staticmethod
+    def _changed(s: str) -> bool:
+        """Whether normalisation does more than lower-casing each character."""
         return "Σ" in s or not unicodedata.is_normalized("NFC", s) or not unicodedata.is_normalized("NFC", s.lower())
 
     def slices(self, batch: list[bytes]):

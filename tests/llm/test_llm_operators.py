@@ -48,8 +48,20 @@ def test_encoder_equals_library(path):
         assert lib.encode(x, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist(), x
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_code_point_equals_library(path):
+    lib, enc = Tokenizer.from_file(path), Encoder.of(path)
+    xs = [f"a{chr(c)}b {chr(c)}" for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(xs), 20_000):
+        some = xs[k : k + 20_000]
+        ids, at = enc.encode([x.encode() for x in some])
+        want = lib.encode_batch(some, add_special_tokens=False)
+        assert [x for i, x in enumerate(some) if want[i].ids != ids[at[i] : at[i + 1]].tolist()] == []
+
+
 def test_transducers_equal_library():
     lib, xs = Tokenizer.from_file(BYTE), odd_texts(4000)
+    xs += [f"a{chr(c)}b {chr(c)}" for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
     n = token_counts.Counter(BYTE).count([x.encode() for x in xs])
     assert n.tolist() == [len(lib.encode(x, add_special_tokens=False).ids) for x in xs]
 
