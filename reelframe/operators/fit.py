@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,61 +69,50 @@ def fallback(outcomes: DataFrame) -> DataFrame:
     return left.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def find_knob(encode: Callable[[int], int], target: int, lo: int, hi: int, mild: int, harsh: int, rounds: int = ROUNDS) -> tuple[int | None, int | None, int]:
-    """(knob, bytes, encodes) of the largest candidate under the budget; None where none fits.
+def search(curve: DataFrame, target: Column, mild: int = 30, harsh: int = 150, sized: Callable[[Column, Column], Column] = None) -> DataFrame:
+    """clip, rung, knob, bytes, encodes: the largest candidate of every rung under the budget, nulls where none fits.
 
-    Both probes bracket the budget; false position on the log of the size, with halving of
-    the weight of an end that stays, narrows it. Fewer than the window's bytes go on.
+    The two probes bracket the budget. A rung between them is narrowed by false position on the
+    logarithm of the size (Illinois variant: an end that stays while the other moves twice counts
+    half) in at most ROUNDS rounds, folded over a fixed sequence, so the whole search is one
+    column expression of its row. ``sized`` (base, knob) gives a candidate's bytes.
     """
-    most, least = math.floor(target * (1 - MARGIN)), math.ceil(target * (1 - WINDOW))
-    aim = (math.log(max(1, most)) + math.log(max(1, least))) / 2
-    size = encode(mild)
-    if size <= most:
-        return mild, size, 1
-    if harsh == mild:
-        return None, None, 1
-    a, fa = mild, math.log(size) - aim
-    size, n = encode(harsh), 2
-    if size > most:
-        return None, None, n
-    best = (harsh, size)
-    b, fb = harsh, math.log(max(1, size)) - aim
-    side = 0
-    for _ in range(rounds):
-        if b - a <= 1 or best[1] >= least:
-            break
-        share = fa / (fa - fb) if fa > fb else 0.5
-        k = min(b - 1, max(a + 1, a + math.floor(share * (b - a) + 0.5)))
-        size, n = encode(k), n + 1
-        f = math.log(max(1, size)) - aim
-        if size > most:
-            a, fa = k, f
-            if side == 1:
-                fb /= 2
-            side = 1
-        else:
-            if size > best[1] or (size == best[1] and k < best[0]):
-                best = (k, size)
-            b, fb = k, f
-            if side == -1:
-                fa /= 2
-            side = -1
-    return (*best, n)
-
-
-def search(curve: DataFrame, target: Column, mild: int = 30, harsh: int = 150) -> DataFrame:
-    """Refined knob of every rung: rows are independent, so batches of rungs are searched where they lie."""
-    c = curve.select("clip", "rung", "base", target.cast("long").alias("target"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [find_knob(lambda k, base=base: base * (1000 - 4 * k) // 1000, target, 0, 200, mild, harsh) for base, target in zip(f["base"], f["target"], strict=True)]
-            out = f[["clip", "rung"]].copy()
-            for i, name in enumerate(("knob", "bytes", "encodes")):
-                out[name] = pd.array([g[i] for g in got], dtype="Int64")
-            yield out
-
-    return c.mapInPandas(run, "clip long, rung long, knob long, bytes long, encodes long")
+    sized = sized or size_at
+    most, least = budget(target)
+    log = lambda c: F.log(F.greatest(F.lit(1), c).cast("double"))
+    rows = curve.select("clip", "rung", "base", most.alias("most"), least.alias("least"))
+    rows = rows.withColumns({"aim": (log(F.col("most")) + log(F.col("least"))) / 2, "soft": sized(F.col("base"), F.lit(mild)), "hard": sized(F.col("base"), F.lit(harsh))})
+    mild_fits, none_fits = F.col("soft") <= F.col("most"), F.col("hard") > F.col("most")
+
+    def end(knob: Column, gap: Column) -> Column:
+        return F.struct(knob.cast("long").alias("knob"), gap.alias("gap"))
+
+    def state(over: Column, under: Column, moved: Column, best: Column, tried: Column) -> Column:
+        return F.struct(over.alias("over"), under.alias("under"), moved.alias("moved"), best.alias("best"), tried.alias("tried"))
+
+    def candidate(knob: Column, size: Column) -> Column:
+        return F.struct(size.alias("bytes"), (-knob).cast("long").alias("mildness"))
+
+    first = state(end(F.lit(mild), log(F.col("soft")) - F.col("aim")), end(F.lit(harsh), log(F.col("hard")) - F.col("aim")), F.lit(""), candidate(F.lit(harsh), F.col("hard")), F.lit(0))
+
+    def narrowed(s: Column, _: Column) -> Column:
+        over, under = s["over"], s["under"]
+        fall = over["gap"] - under["gap"]
+        share = F.when(fall > 0, over["gap"] / fall).otherwise(0.5)
+        inside = over["knob"] + F.floor(share * (under["knob"] - over["knob"]) + 0.5)
+        knob = F.least(under["knob"] - 1, F.greatest(over["knob"] + 1, inside))
+        size = sized(F.col("base"), knob)
+        here, big = end(knob, log(size) - F.col("aim")), size > F.col("most")
+        kept = lambda e, other: end(e["knob"], F.when(s["moved"] == other, e["gap"] / 2).otherwise(e["gap"]))
+        to = F.when(big, state(here, kept(under, "over"), F.lit("over"), s["best"], s["tried"] + 1)).otherwise(state(kept(over, "under"), here, F.lit("under"), F.greatest(s["best"], candidate(knob, size)), s["tried"] + 1))
+        open_ = (under["knob"] - over["knob"] > 1) & (s["best"]["bytes"] < F.col("least"))
+        return F.when(open_, to).otherwise(s)
+
+    found = rows.withColumn("end", F.when(~mild_fits & ~none_fits, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, narrowed)))
+    knob = F.when(mild_fits, F.lit(mild).cast("long")).otherwise(-F.col("end.best.mildness"))
+    size = F.when(mild_fits, F.col("soft")).otherwise(F.col("end.best.bytes"))
+    encodes = F.when(mild_fits | F.lit(harsh == mild), 1).otherwise(2 + F.coalesce("end.tried", F.lit(0)))
+    return found.select("clip", "rung", knob.alias("knob"), size.alias("bytes"), encodes.cast("long").alias("encodes"))
 
 
 def realise(masters: DataFrame, ladder: str) -> DataFrame:

@@ -59,7 +59,18 @@ def fit_fallback(spark, d):
     return T.fallback(o.withColumn("sound", F.col("rung") % 3 != 0)).select("clip", "rung", "harsh")
 
 
-@query("secant_refine")
+_BYTES = "(base * (1000 - 4 * {k}) // 1000)"
+_SEARCH = C + f""", start AS (SELECT clip, rung, base, floor({_TARGET} * 0.98::DOUBLE)::BIGINT AS most, ceil({_TARGET} * 0.96::DOUBLE)::BIGINT AS least FROM v_curve),
+probed AS (SELECT *, (ln(greatest(1, most)::DOUBLE) + ln(greatest(1, least)::DOUBLE)) / 2 AS aim, {_BYTES.format(k=30)} AS soft, {_BYTES.format(k=150)} AS hard FROM start),
+rounds AS (SELECT clip, rung, base, most, least, aim, 30::BIGINT AS lo, ln(greatest(1, soft)::DOUBLE) - aim AS lo_gap, 150::BIGINT AS hi, ln(greatest(1, hard)::DOUBLE) - aim AS hi_gap, '' AS moved, 150::BIGINT AS knob, hard AS bytes, 0 AS tried FROM probed WHERE soft > most AND hard <= most
+UNION ALL SELECT clip, rung, base, most, least, aim, CASE WHEN big THEN k ELSE lo END, CASE WHEN big THEN gap WHEN moved = 'under' THEN lo_gap / 2 ELSE lo_gap END, CASE WHEN big THEN hi ELSE k END, CASE WHEN NOT big THEN gap WHEN moved = 'over' THEN hi_gap / 2 ELSE hi_gap END, CASE WHEN big THEN 'over' ELSE 'under' END,
+ CASE WHEN NOT big AND (size > bytes OR (size = bytes AND k < knob)) THEN k ELSE knob END, CASE WHEN NOT big AND size > bytes THEN size ELSE bytes END, tried + 1
+ FROM (SELECT *, size > most AS big, ln(greatest(1, size)::DOUBLE) - aim AS gap FROM (SELECT *, {_BYTES.format(k='k')} AS size FROM (SELECT *, least(hi - 1, greatest(lo + 1, lo + floor((CASE WHEN lo_gap > hi_gap THEN lo_gap / (lo_gap - hi_gap) ELSE 0.5::DOUBLE END) * (hi - lo) + 0.5::DOUBLE)::BIGINT)) AS k FROM rounds WHERE hi - lo > 1 AND bytes < least AND tried < 5)))),
+ends AS (SELECT clip, rung, max({{'tried': tried, 'knob': knob, 'bytes': bytes}}) AS e FROM rounds GROUP BY clip, rung)
+SELECT p.clip, p.rung, CASE WHEN soft <= most THEN 30 ELSE e.knob END AS knob, CASE WHEN soft <= most THEN soft ELSE e.bytes END AS bytes, CASE WHEN soft <= most THEN 1 ELSE 2 + coalesce(e.tried, 0) END AS encodes FROM probed p LEFT JOIN ends USING (clip, rung)"""
+
+
+@query("secant_refine", _SEARCH.replace("WITH ", "WITH RECURSIVE ", 1))
 def secant_refine(spark, d):
     return T.search(V.curve(spark, d), _target()).select("clip", "rung", "knob", "bytes", "encodes")
 
