@@ -14,15 +14,41 @@ PRESETS = [
 ]
 
 
+# Members of a recipe's output in the order of its canonical form; all but the first are left out at their zero value.
+OUTPUT = (
+    "format string, width bigint, height bigint, fit string, fps variant, quality bigint, lossless boolean, lossy bigint, colors bigint, dither string, alphaThreshold bigint, matte string, loop bigint, "
+    "fitBytes bigint, fitKeepSize boolean, fitKeepFps boolean, frameFormat string, preset string, target string"
+)
+VERSION = 1
+RECIPE = f"sources array<string>, ops array<struct<kind: string, params: variant>>, output struct<{OUTPUT.replace(' ', ': ').replace(',: ', ', ')}>"
+
+
 def canonical(json: Column) -> Column:
-    """Version 1, keys in order, null members dropped, operations in their order.
+    """The one JSON text of a recipe: version 1, members in fixed order, parameters as given with their keys sorted.
 
-    A variant orders an object's keys; null members, which it keeps, are cut from its text,
-    where strings are already escaped.
+    The text is read into typed values and written anew. Null parameters and output members at
+    their zero value are left out; nulls inside parameters stay. Null where the text isn't a recipe.
     """
-    text = F.to_json(F.parse_json(json))
-    text = F.regexp_replace(text, r'"v":\d+', '"v":1')
-    return F.regexp_replace(F.regexp_replace(text, r',"[a-zA-Z_]+":null', ""), r'\{"[a-zA-Z_]+":null,?', "{")
+    recipe = F.from_json(json, RECIPE)
+
+    def member(name: str, kind: str) -> Column:
+        value = recipe["output"][name]
+        if name == "format":
+            return F.coalesce(value, F.lit(""))
+        if kind == "variant":
+            return F.when(F.try_variant_get(value, "$", "double") != 0, value)
+        return F.nullif(value, F.lit({"string": "", "bigint": 0, "boolean": False}[kind]))
+
+    output = F.struct(*[member(*m.split(" ")).alias(m.split(" ")[0]) for m in OUTPUT.split(", ")])
+    ops = F.transform(recipe["ops"], lambda op: F.struct(F.coalesce(op["kind"], F.lit("")).alias("kind"), F.when(~F.is_variant_null(op["params"]), op["params"]).alias("params")))
+    text = F.concat(
+        F.lit(f'{{"v":{VERSION},"sources":'), F.coalesce(F.to_json(recipe["sources"]), F.lit("null")),
+        F.lit(',"ops":'), F.coalesce(F.to_json(ops), F.lit("[]")), F.lit(',"output":'), F.to_json(output), F.lit("}"),
+    )
+    # These only occur inside strings, where the canonical form escapes them.
+    for c in "<>&\u2028\u2029":
+        text = F.replace(text, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return F.when(recipe.isNotNull(), text)
 
 
 def result_key(recipe_hash: Column, pipeline: int, rules: int) -> Column:

@@ -55,8 +55,17 @@ def last_events(events: DataFrame, n: int) -> DataFrame:
 
 
 def parse_progress(blocks: DataFrame) -> DataFrame:
-    """out_us of key=value blocks; both time lines hold microseconds, N/A keeps the value before."""
-    value = F.regexp_extract("block", r"(?m)^out_time_(?:us|ms)=(-?\d+)", 1)
-    us = F.when(value != "", value.cast("long"))
+    """out_ms of key=value blocks; a block without a time keeps the one before.
+
+    out_time_us counts first. out_time_ms holds microseconds in spite of its name, unless the
+    clock time in the same block is nearer to it as milliseconds; the clock alone counts last.
+    """
+    number = lambda key: F.expr(f"try_cast(regexp_extract(block, '(?m)^{key}=(-?[0-9]+)$', 1) AS BIGINT)")
+    part = lambda i: F.expr(f"try_cast(regexp_extract(block, '(?m)^out_time=([0-9]+):([0-9]+):([0-9]+)[.]?([0-9]*)', {i}) AS BIGINT)")
+    micros = F.expr("try_cast(rpad(regexp_extract(block, '(?m)^out_time=([0-9]+):([0-9]+):([0-9]+)[.]?([0-9]*)', 4), 6, '0') AS BIGINT)")
+    rows = blocks.withColumns({"us": number("out_time_us"), "ms": number("out_time_ms"), "clock": ((part(1) * 60 + part(2)) * 60 + part(3)) * 1_000_000 + micros})
+    as_millis = (F.col("clock") > 0) & (F.abs(F.col("ms") * 1000 - F.col("clock")) < F.abs(F.col("ms") - F.col("clock")))
+    whole = lambda c: F.expr(f"{c} div 1000")
+    at = F.when(F.col("us").isNotNull(), whole("us")).when(F.col("ms").isNotNull(), F.when(as_millis, F.col("ms")).otherwise(whole("ms"))).otherwise(whole("clock"))
     w = Window.partitionBy("job").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.select("job", "seq", F.last(us, ignorenulls=True).over(w).alias("out_us"))
+    return rows.select("job", "seq", F.last(at, ignorenulls=True).over(w).alias("out_ms"))

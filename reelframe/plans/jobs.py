@@ -15,14 +15,17 @@ L = V.over("v_log")
 R = V.over("v_recipes")
 
 
-@query("recipe_hash", R + """SELECT k1, k2, k3, k4, sha256('{"ops":[{"kind":"crop","params":{"h":' || h || ',"w":' || w || '}}' || CASE WHEN n % 2 = 0 THEN ',{"kind":"delay","params":{"ms":' || q || '}}' ELSE '' END || '],"output":{"format":"' || format || '"},"v":1}') AS hash FROM v_recipes""")
+@query("recipe_hash", R + """SELECT k1, k2, k3, k4, sha256('{"v":1,"sources":' || CASE WHEN n % 3 = 0 THEN 'null' ELSE '["s' || h || '"]' END || ',"ops":[{"kind":"crop","params":{"h":' || h || ',"k2":null,"v":7,"w":' || w || '}},{"kind":"flip"}' || CASE WHEN n % 2 = 0 THEN ',{"kind":"delay","params":{"ms":' || q || ',"note":"a\\u003cb"}}' ELSE '' END || '],"output":{"format":"' || format || '","fps":' || q || ',"fitKeepFps":true}}') AS hash FROM v_recipes""")
 def recipe_hash(spark, d):
+    """Members in any order, with or without a version, zero values and null parameters: one hash."""
     r = V.recipes(spark, d)
     ops = F.concat(
-        F.lit('[{"params":{"w":'), F.col("w"), F.lit(',"h":'), F.col("h"), F.lit(',"x":null},"kind":"crop"}'),
-        F.when(F.col("n") % 2 == 0, F.concat(F.lit(',{"kind":"delay","params":{"ms":'), F.col("q"), F.lit("}}"))).otherwise(""), F.lit("]"),
+        F.lit('[{"params":{"w":'), F.col("w"), F.lit(',"v":7,"h":'), F.col("h"), F.lit(',"k2":null},"kind":"crop"},{"kind":"flip","params":null}'),
+        F.when(F.col("n") % 2 == 0, F.concat(F.lit(',{"kind":"delay","params":{"note":"a<b","ms":'), F.col("q"), F.lit("}}"))).otherwise(""), F.lit("]"),
     )
-    raw = F.concat(F.lit('{"v":0,"output":{"format":"'), "format", F.lit('"},"ops":'), ops, F.lit("}"))
+    version = F.when(F.col("n") % 5 == 0, F.lit('"v":0,')).otherwise("")
+    sources = F.when(F.col("n") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('"sources":["s'), F.col("h"), F.lit('"],')))
+    raw = F.concat(F.lit("{"), version, F.lit('"output":{"fitKeepFps":true,"width":0,"fps":'), F.col("q"), F.lit('.0,"lossless":false,"format":"'), F.col("format"), F.lit('"}, '), sources, F.lit('"ops":'), ops, F.lit("}"))
     return r.select("k1", "k2", "k3", "k4", F.sha2(C.canonical(raw), 256).alias("hash"))
 
 
@@ -73,15 +76,16 @@ def progress_fraction(spark, d):
     return V.log(spark, d).select("job", "seq", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("percent") - 10) / F.lit(80.0))).alias("fraction"), (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("seq") / F.lit(8.0))).alias("fit"))
 
 
-@query("progress_parse", L + "SELECT job, seq, last_value(us IGNORE NULLS) OVER (PARTITION BY job ORDER BY seq) AS out_us FROM (SELECT job, seq, CASE WHEN percent % 3 = 0 THEN NULL WHEN percent % 3 = 1 THEN ts_ms * 1000 ELSE ts_ms * 1000 END AS us FROM v_log)")
+@query("progress_parse", L + "SELECT job, seq, last_value(ms IGNORE NULLS) OVER (PARTITION BY job ORDER BY seq) AS out_ms FROM (SELECT job, seq, CASE percent % 5 WHEN 0 THEN NULL WHEN 4 THEN ts_ms // 1000 ELSE ts_ms END AS ms FROM v_log)")
 def progress_parse(spark, d):
-    """Encoder progress as text blocks: out_time_us or out_time_ms lines, N/A keeps the time before."""
+    """Encoder progress as text blocks: N/A, microseconds, the line named ms with microseconds, with milliseconds, and without a clock beside it."""
     log = V.log(spark, d)
-    k = F.col("percent") % 3
-    value = F.when(k == 0, F.lit("N/A")).otherwise((F.col("ts_ms") * 1000).cast("string"))
-    name = F.when(k == 1, F.lit("out_time_us=")).otherwise(F.lit("out_time_ms="))
-    blocks = log.select("job", "seq", F.concat(F.lit("frame=1\n"), name, value, F.lit("\nprogress=continue")).alias("block"))
-    return E.parse_progress(blocks).select("job", "seq", "out_us")
+    k, t = F.col("percent") % 5, F.col("ts_ms")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    clock = F.concat(F.lit("out_time="), two(div(t, 3_600_000)), F.lit(":"), two(div(t, 60_000) % 60), F.lit(":"), two(div(t, 1000) % 60), F.lit("."), F.lpad((t % 1000).cast("string"), 3, "0"), F.lit("000\n"))
+    line = F.when(k == 0, F.lit("out_time_us=N/A\nout_time_ms=N/A\n")).when(k == 1, F.concat(F.lit("out_time_us="), t * 1000, F.lit("\n"))).when(k == 2, F.concat(F.lit("out_time_ms="), t * 1000, F.lit("\n"), clock)).when(k == 3, F.concat(F.lit("out_time_ms="), t, F.lit("\n"), clock)).otherwise(F.concat(F.lit("out_time_ms="), t, F.lit("\n")))
+    blocks = log.select("job", "seq", F.concat(F.lit("frame=1\n"), line, F.lit("progress=continue")).alias("block"))
+    return E.parse_progress(blocks).select("job", "seq", "out_ms")
 
 
 @query("file_facts", R + "SELECT k1, k2, k3, k4, CASE WHEN n % 3 = 0 THEN q * 10 ELSE q * 9 END AS frames, CASE WHEN duration > 0 THEN (CASE WHEN n % 3 = 0 THEN q * 10 ELSE q * 9 END) / duration END AS fps FROM v_recipes")
