@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -57,7 +58,7 @@ def _sub_blocks(data: bytes, at: int) -> int:
 
 
 def parse(data: bytes) -> Gif:
-    """The file's blocks; where it breaks off, ``problem`` says so and the rest is left out."""
+    """The file's blocks. One that ends after a whole block only lacks its trailer; one cut inside a block has the ``problem`` "cut"."""
     g = Gif(data[:13])
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         g.problem = "not a gif"
@@ -68,9 +69,12 @@ def parse(data: bytes) -> Gif:
     if data[10] & 0x80:
         n = 3 << ((data[10] & 7) + 1)
         g.palette = data[at : at + n]
+        if len(g.palette) < n:
+            g.problem = "cut"
+            return g
         at += n
     try:
-        while True:
+        while at < len(data):
             start, mark = at, data[at]
             if mark == 0x3B:
                 g.trailer = True
@@ -98,8 +102,8 @@ def parse(data: bytes) -> Gif:
                 g.problem = f"unknown block {mark:#x}"
                 return g
     except IndexError:
-        g.problem = "truncated"
-        return g
+        g.problem = "cut"
+    return g
 
 
 def lzw_encode(indices: np.ndarray, bits: int) -> bytes:
@@ -223,22 +227,56 @@ def indices(block: Block) -> np.ndarray:
 Check = tuple[str, str, bool, bool]
 
 
+def _used(block: Block) -> np.ndarray | None:
+    """Whether the image uses each of the 256 indices; None where it can't be decoded."""
+    try:
+        return np.bincount(indices(block).ravel(), minlength=256) > 0
+    except (ValueError, IndexError):
+        return None
+
+
+def _shows_through(g: Gif) -> list[bool]:
+    """Of each image whether it has transparent pixels; one that can't be decoded counts by its flag."""
+    out = []
+    for b, c in g.images:
+        t = c[-1].transparent if c else -1
+        used = _used(b) if t >= 0 else None
+        out.append(t >= 0 and (used is None or bool(used[t])))
+    return out
+
+
+def _needs_flag(g: Gif) -> bool:
+    """Whether the first image must carry a transparency flag and doesn't."""
+    b, c = g.images[0]
+    clear = any(_shows_through(g)) or (b.w, b.h) != (g.width, g.height)
+    return clear and not (c and c[-1].transparent >= 0)
+
+
+def spare_index(g: Gif) -> int:
+    """A palette index that the first image doesn't use, -1 if there is none: the one most other images are transparent in, else the least."""
+    b, _ = g.images[0]
+    used = None if b.local or not g.palette else _used(b)
+    if used is None:
+        return -1
+    others = Counter(c[-1].transparent for _, c in g.images[1:] if c and c[-1].transparent >= 0)
+    likely = others.most_common(1)
+    if likely and not used[likely[0][0]]:
+        return likely[0][0]
+    free = np.flatnonzero(~used[: len(g.palette) // 3])
+    return int(free[0]) if len(free) else -1
+
+
 def lint(g: Gif, target: str = "") -> list[Check]:
-    """(rule, level, ok, can be fixed), a row for each rule."""
+    """(rule, level, ok, can be fixed), a row for each rule; of a file that can't be read, its container only."""
+    if g.problem:
+        return [("gif.container", "error", False, False)]
     images = g.images
-    out: list[Check] = [("gif.container", "error", not g.problem, False)]
+    out: list[Check] = [("gif.container", "error", True, False)]
     out.append(("gif.gce-every-frame", "error", bool(images) and all(len(c) == 1 for _, c in images), bool(images)))
-    uses = []
-    for b, c in images:
-        t = c[-1].transparent if c else -1
-        try:
-            uses.append(t >= 0 and bool((indices(b) == t).any()))
-        except (ValueError, IndexError):
-            uses.append(t >= 0)
-    covers = bool(images) and (images[0][0].w, images[0][0].h) == (g.width, g.height)
-    clear = any(uses) or (bool(images) and not covers)
+    uses = _shows_through(g)
     first = images[0][1][-1].transparent if images and images[0][1] else -1
-    out.append(("gif.frame0-transparency", "error", not clear or first >= 0, True))
+    missing = bool(images) and _needs_flag(g)
+    out.append(("gif.frame0-transparency", "error", not missing, missing and spare_index(g) >= 0))
     marks = {c[-1].transparent for _, c in images if c} - {-1}
     out.append(("gif.lsd-background-index", "error", g.background == first if first >= 0 else g.background not in marks, True))
     out.append(("gif.disposal", "error", all(c[-1].disposal in (1, 2) for _, c in images if c), all(c[-1].disposal < 3 for _, c in images if c)))
@@ -263,10 +301,11 @@ def _blank(image: tuple[Block, list[Block]]) -> bool:
 
 
 def fix(data: bytes) -> bytes:
-    """Mend what the rules call fixable; a clean file comes back byte for byte."""
+    """Mend what the rules call fixable; a clean file comes back byte for byte, and so does one that is cut inside a block."""
     g = parse(data)
-    if g.problem not in ("", "truncated") or not g.images:
+    if g.problem or not g.images:
         return data
+    flag = spare_index(g) if _needs_flag(g) else -1
     known = [c[-1].delay for _, c in g.images if c]
     spare = known[0] if known else 10
     blocks: list[Block] = []
@@ -284,7 +323,7 @@ def fix(data: bytes) -> bytes:
             disposal = c.disposal if c else 1
             clear = c.transparent if c else -1
             if not any(x.kind == "image" for x in blocks):
-                first_clear = clear
+                first_clear = clear = clear if clear >= 0 else flag
             want = (10 if many and delay < 2 else delay, 1 if disposal == 0 else disposal, clear)
             if c is None or (c.delay, c.disposal, c.transparent) != want:
                 c = Block("gce", gce(*want), *want)

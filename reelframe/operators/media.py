@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..codecs import BUILT_IN, gif, plugin, png
@@ -84,10 +84,10 @@ def facts(files: DataFrame) -> DataFrame:
 
 
 def damage(files: DataFrame) -> DataFrame:
-    """Break GIFs by clip: no trailer, no loop block, a comment, disposal 0, delay 0, an 87a header."""
+    """Break GIFs by clip: no trailer, no loop block, a comment, disposal 0, delay 0, an 87a header, a first image without the flag that a later one needs, a cut."""
     def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
         g = gif.parse(data)
-        kind = clip % 6
+        kind = clip % 8
         if kind == 0:
             g.trailer = False
         elif kind == 1:
@@ -99,9 +99,16 @@ def damage(files: DataFrame) -> DataFrame:
                 if b.kind == "gce":
                     args = (b.delay, 0, b.transparent) if kind == 3 else (0, b.disposal, b.transparent)
                     g.blocks[i] = gif.Block("gce", gif.gce(*args), *args)
-        else:
+        elif kind == 5:
             g.head = b"GIF87a" + g.head[6:]
-        return [(clip, fmt, g.bytes())]
+        elif kind == 6:
+            own = iter(g.images)
+            for i, b in enumerate(g.blocks):
+                if b.kind == "gce":
+                    image, _ = next(own)
+                    args = (b.delay, b.disposal, -1 if image is g.images[0][0] else int(gif.indices(image)[0, 0]))
+                    g.blocks[i] = gif.Block("gce", gif.gce(*args), *args)
+        return [(clip, fmt, g.bytes()[:-9] if kind == 7 else g.bytes())]
 
     return files.mapInPandas(_each(one, ["clip", "format", "content"]), FILES)
 
@@ -110,7 +117,8 @@ def fix_files(files: DataFrame) -> DataFrame:
     """Mended files: whether anything changed, whether a second pass would change more, and whether fixable rules hold now."""
     def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
         mended = gif.fix(data)
-        ok = all(good for _, level, good, can in gif.lint(gif.parse(mended)) if can and level != "info")
+        after = gif.parse(mended)
+        ok = not after.problem and all(good for _, level, good, can in gif.lint(after) if can and level != "info")
         return [(clip, fmt, mended, mended != data, gif.fix(mended) != mended, ok)]
 
     return files.mapInPandas(_each(one, ["clip", "format", "content", "changed", "again", "ok"]), FILES + ", changed boolean, again boolean, ok boolean")
@@ -139,14 +147,30 @@ def resize_frames(frames: DataFrame, w: int, h: int, to_w: int, to_h: int) -> Da
     return frames.mapInPandas(run, "clip long, frame_idx long, rgba binary")
 
 
-def zip_frames(px: DataFrame, w: int, h: int, most: int = 2000) -> DataFrame:
-    """A clip's frames as numbered PNGs in an uncompressed archive; entry times are fixed, so bytes are stable."""
+#: Frames that one export may hold.
+MOST_FRAMES = 2000
+
+
+def too_many(frames: Column, most: int = MOST_FRAMES) -> Column:
+    """The refusal of an export with more frames than allowed, else null."""
+    return F.when(frames > most, F.concat(F.lit("too many frames ("), frames.cast("string"), F.lit(f", the limit is {most}); trim or lower fps")))
+
+
+def zip_frames(px: DataFrame, w: int, h: int, most: int = MOST_FRAMES) -> DataFrame:
+    """A clip's frames as numbered PNGs in an uncompressed archive; entry times are fixed, so bytes are stable.
+
+    A clip of more than ``most`` frames is refused with an error and no archive; none is cut.
+    """
+    counted = clips_of(px, w, h).withColumn("error", too_many(F.count("*").over(Window.partitionBy("clip")), most))
+    refused = counted.where("error IS NOT NULL").groupBy("clip", "error").agg(F.lit(0).alias("entries"), F.lit(None).cast("binary").alias("content"))
+
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
-        pdf = pdf.sort_values("frame_idx").head(most)
+        pdf = pdf.sort_values("frame_idx")
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
             for i, b in enumerate(pdf["rgba"], 1):
-                z.writestr(zipfile.ZipInfo(f"frame_{i:06d}.png", (1980, 1, 1, 0, 0, 0)), png.write([np.frombuffer(b, np.uint8).reshape(h, w, 4)], level=6))
-        return pd.DataFrame({"clip": [key[0]], "entries": [len(pdf)], "content": [out.getvalue()]})
+                z.writestr(zipfile.ZipInfo(f"f{i:05d}.png", (1980, 1, 1, 0, 0, 0)), png.write([np.frombuffer(b, np.uint8).reshape(h, w, 4)], level=6))
+        return pd.DataFrame({"clip": [key[0]], "entries": [len(pdf)], "content": [out.getvalue()], "error": [None]})
 
-    return clips_of(px, w, h).groupBy("clip").applyInPandas(one, "clip long, entries int, content binary")
+    done = counted.where("error IS NULL").drop("error").groupBy("clip").applyInPandas(one, "clip long, entries int, content binary, error string")
+    return done.unionByName(refused.select(done.columns))

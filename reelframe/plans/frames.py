@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import media as M
 from ..operators import temporal as T
 from ..sources import views as V
 from .registry import query
@@ -87,12 +88,14 @@ def frame_count(spark, d):
     return V.read(spark, d, "events").groupBy(F.col("user_id").alias("clip")).agg(F.count("*").alias("frames"))
 
 
-@query("frame_timings", V.over("v_clips") + """, g AS (SELECT clip, fps, unnest(range(least(frames, 2000))) AS i FROM v_clips)
-SELECT clip, i::BIGINT AS i, floor(i * 1000.0::DOUBLE / fps + 0.5::DOUBLE)::BIGINT AS start_ms, floor((i + 1) * 1000.0::DOUBLE / fps + 0.5::DOUBLE)::BIGINT - floor(i * 1000.0::DOUBLE / fps + 0.5::DOUBLE)::BIGINT AS duration_ms FROM g""")
+@query("frame_timings", V.over("v_clips") + """, g AS (SELECT clip, fps, unnest(range(frames)) AS i, NULL::VARCHAR AS error FROM v_clips WHERE frames <= 2000 UNION ALL SELECT clip, fps, NULL, 'too many frames (' || frames || ', the limit is 2000); trim or lower fps' FROM v_clips WHERE frames > 2000)
+SELECT clip, i::BIGINT AS i, floor(i * 1000.0::DOUBLE / fps + 0.5::DOUBLE)::BIGINT AS start_ms, floor((i + 1) * 1000.0::DOUBLE / fps + 0.5::DOUBLE)::BIGINT - floor(i * 1000.0::DOUBLE / fps + 0.5::DOUBLE)::BIGINT AS duration_ms, error FROM g""")
 def frame_timings(spark, d):
-    c = V.clips(spark, d).select("clip", "fps", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("frames"), F.lit(2000)) - 1)).alias("i"))
+    """Start and length of every frame of an export; a clip with too many frames is one row with the refusal."""
+    c = V.clips(spark, d).select("clip", "fps", "frames", M.too_many(F.col("frames")).alias("error"))
+    c = c.select("clip", "fps", "error", F.explode_outer(F.when(F.col("error").isNull() & (F.col("frames") > 0), F.sequence(F.lit(0).cast("long"), F.col("frames") - 1))).alias("i")).where("error IS NOT NULL OR i IS NOT NULL")
     at = lambda i: F.floor(i * F.lit(1000.0) / F.col("fps") + F.lit(0.5)).cast("long")
-    return c.select("clip", "i", at(F.col("i")).alias("start_ms"), (at(F.col("i") + 1) - at(F.col("i"))).alias("duration_ms"))
+    return c.select("clip", "i", at(F.col("i")).alias("start_ms"), (at(F.col("i") + 1) - at(F.col("i"))).alias("duration_ms"), "error")
 
 
 @query("proxy", V.over("v_frames") + """, best AS (SELECT clip, floor(pts_us * 15.0 / 1e6)::BIGINT AS slot, max({'a': pts_us, 'b': frame_idx, 'c': event_id}) AS f FROM v_frames WHERE pts_us < 10000000 GROUP BY 1, 2),

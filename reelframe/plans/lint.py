@@ -133,4 +133,4 @@ def dither(spark, d):
 
 @query("frames_zip")
 def frames_zip(spark, d):
-    return M.zip_frames(V.channels(spark, d), 4, 4).select("clip", "entries", F.sha2("content", 256).alias("sha256"))
+    return M.zip_frames(V.channels(spark, d), 4, 4).select("clip", "entries", F.sha2("content", 256).alias("sha256"), "error")
