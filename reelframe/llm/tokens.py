@@ -19,15 +19,15 @@ import pyarrow as pa
 
 from .common import by_bytes
 
-#: Distinct pre-tokens whose ids a worker keeps (about 15 MB), and the longest kept; beyond it the table starts afresh.
-PIECES_KEPT, PIECE_BYTES = 60_000, 48
+#: Distinct pre-tokens whose ids a worker keeps (about 50 MB), and the longest kept; beyond it the table starts afresh.
+PIECES_KEPT, PIECE_BYTES = 250_000, 48
 #: Texts are taken in slices of at most this many bytes.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 
 BREAK, LETTER, NUMBER, BLANK, WHITE, OTHER = range(6)
 _WHITE = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: list[np.ndarray] = []
-_unknown: list[re.Pattern] = []
+_unknown: list[np.ndarray] = []
 
 
 def char_classes() -> np.ndarray:
@@ -41,14 +41,17 @@ def char_classes() -> np.ndarray:
     return _classes[0]
 
 
-def unknown_characters() -> re.Pattern:
-    """Characters that this Python's Unicode tables don't know; the library's may be newer, so texts with them are the library's."""
+#: No code point below this is unassigned.
+_ASSIGNED = re.compile("[\u0378-\U0010ffff]")
+
+
+def has_unknown(text: str) -> bool:
+    """Whether this Python's Unicode tables lack a character; the library's may be newer, so such texts are the library's."""
+    if not _ASSIGNED.search(text):
+        return False
     if not _unknown:
-        points = np.flatnonzero(np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000))
-        first = points[np.diff(points, prepend=-2) > 1].tolist()
-        last = points[np.diff(points, append=1 << 30) > 1].tolist()
-        _unknown.append(re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True)) + "]"))
-    return _unknown[0]
+        _unknown.append(np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000))
+    return bool(_unknown[0][np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
 
 
 def byte_classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +191,7 @@ class Encoder:
         if text.isascii():
             return False
         s = text.decode()
-        if unknown_characters().search(s):
+        if has_unknown(s):
             return True
         return not self.spaced and self._changed(s)
 
