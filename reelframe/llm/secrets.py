@@ -10,15 +10,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import bounded_batches, texts
 
 #: Order of kinds that begin at the same place.
 KINDS = ("assign", "access", "hex", "user", "endpoint", "entropy")
@@ -30,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 USER = re.compile(r"\b(?:[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[cC][lL][iI][eE][nN][tT]_?[iI][dD])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})")
 ENDPOINT = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\s\"'<>]+")
-WORD = re.compile(r"[A-Za-z0-9+/_-]{20,64}={0,2}")
+WORD = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 
 def entropy(s: str) -> float:
@@ -53,49 +54,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+class Intervals:
+    """Spans by start, with the furthest end up to each: finds in one step whether any overlaps a stretch."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.spans = sorted(spans)
+        self.start = [a for a, _, _ in self.spans]
+        self.reach = list(accumulate((b for _, b, _ in self.spans), max))
+
+    def overlap(self, lo: int, hi: int) -> bool:
+        i = bisect_left(self.start, hi)
+        return i > 0 and self.reach[i - 1] > lo
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Weak candidates that complete a credential within a scope.
+    """Weak candidates that complete a credential within a scope, joined as overlapping intervals.
 
     An identifier is an access key or a user name, a secret an assignment, a hex run or a
-    high-entropy word, an endpoint a URL. A user name or an endpoint counts beside a base
-    secret, a high-entropy word beside an identifier and an endpoint or an access key.
+    high-entropy word outside all other spans, an endpoint a URL. Such a word counts beside an
+    access key, or beside a user name with an endpoint; a user name or an endpoint counts beside
+    a secret, never beside an identifier alone. Words and URLs are read whole, also across the
+    edge of a scope.
     """
     users = [(m.start(), m.end(), "user") for m in USER.finditer(text)] if "=" in text or ":" in text else []
     ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
-    secrets = [s for s in base if s[2] != "access"]
     access = [s for s in base if s[2] == "access"]
     if not (users or ends or access):
         return []
-    begins = {id(x): [s[0] for s in x] for x in (secrets, access, users, ends)}
-    covered = sorted((a, b) for a, b, _ in (*base, *users, *ends))
-    first = [a for a, _ in covered]
-
-    def free(a: int, b: int) -> bool:
-        i = bisect_left(first, b) - 1
-        return i < 0 or covered[i][1] <= a
-
-    def near(a: int, b: int, spans: list[tuple[int, int, str]]) -> bool:
-        """Interval join: spans are sorted by start, so those in scope are one run."""
-        lo, hi = _scope(text, a, b)
-        keys = begins[id(spans)]
-        i, j = bisect_left(keys, lo), bisect_right(keys, hi)
-        return any(s[1] <= hi for s in spans[i:j])
-
-    out = [u for u in users if near(u[0], u[1], secrets)]
-    out += [e for e in ends if near(e[0], e[1], secrets) or near(e[0], e[1], access)]
-    seen = set()
-    for a, b, _ in sorted((*access, *users)):
-        lo, hi = _scope(text, a, b)
-        if not (text.startswith("AKIA", a) or near(a, b, ends)):
-            continue
-        for m in WORD.finditer(text, lo, min(len(text), hi)):
-            if (m.start(), m.end()) in seen or not free(m.start(), m.end()):
+    words: list[tuple[int, int, str]] = []
+    if access or (users and ends):
+        covered = Intervals([*base, *users, *ends])
+        near_access = Intervals([(*_scope(text, a, b), k) for a, b, k in access])
+        beside = Intervals(ends)
+        near_user = Intervals([(lo, hi, k) for a, b, k in users for lo, hi in [_scope(text, a, b)] if beside.overlap(lo, hi)])
+        for m in WORD.finditer(text):
+            a, b = m.span()
+            if covered.overlap(a, b) or not (near_access.overlap(a, b) or near_user.overlap(a, b)):
                 continue
             w = m.group()
             if entropy(w) >= 3.5 and any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
-                seen.add((m.start(), m.end()))
-                out.append((m.start(), m.end(), "entropy"))
-    return out
+                words.append((a, b, "entropy"))
+    secrets = Intervals([*(s for s in base if s[2] != "access"), *words])
+    return [s for s in (*users, *ends) if secrets.overlap(*_scope(text, s[0], s[1]))] + words
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -108,9 +108,11 @@ FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 stri
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: counts, digest of the base spans, and all spans as kind:start:end (code points).
 
-    Null and empty texts have no spans; repeated rows are scanned each; rows without doc_id
-    keep their row; an empty table gives an empty one. Other columns are ignored.
+    Null and empty texts have no spans; very long texts are scanned whole; spans of one start
+    stand in the order of kinds; repeated rows are scanned each; rows without doc_id keep their
+    row; an empty table gives an empty one. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
