@@ -26,6 +26,15 @@ def test_stages(spark, sf_dir):
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
+def test_stages_take_odd_tables(spark, sf_dir, docs):
+    clash = docs.withColumnsRenamed({"digest": "hit", "key": "score", "row": "toxicity_score", "id": "counts"}).selectExpr("*", "1 AS found", "2 AS n_lines", "3 AS n_kept", "4L AS n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clash, sf_dir).columns == clash.columns, name
+        assert stage(spark, clash, sf_dir).count() > 0, name
+        assert stage(spark, clash.where("false"), sf_dir).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, clash.where("false"), sf_dir).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as entry
 
