@@ -41,9 +41,9 @@ def sequence_listing(spark, d):
 @query("natural_sort", NAMES + """, runs AS (SELECT page_id, tail, regexp_extract_all(tail, '\\d+|\\D+') AS r FROM v_names)
 SELECT page_id, row_number() OVER (ORDER BY [CASE WHEN regexp_matches(x, '^\\d') THEN '0' || lpad(length(regexp_replace(x, '^0+(.)', '\\1'))::VARCHAR, 6, '0') || regexp_replace(x, '^0+(.)', '\\1') ELSE '1' || lower(x) END FOR x IN r], tail, page_id) AS place FROM runs""")
 def natural_sort(spark, d):
-    """Places within one upload, which is bounded; larger listings are ordered by the key without numbering."""
-    n = V.names(spark, d)
-    return n.select("page_id", F.row_number().over(Window.orderBy(N.natural_key(F.col("tail")), "page_id")).alias("place"))
+    """Every name's place in the global order: counted inside range partitions, their bases from prefix sums."""
+    n = V.names(spark, d).select("page_id", N.natural_key(F.col("tail")).alias("key"), F.lit(1).cast("long").alias("one"))
+    return S.running_total(n, ["key", "page_id"], "one", "place").select("page_id", "place")
 
 
 _MAGIC = "CASE page_id % 8 WHEN 0 THEN '474946383961' WHEN 1 THEN '89504e470d0a1a0a' WHEN 2 THEN '52494646000000005745425056503858' WHEN 3 THEN 'ffd8ffe0' WHEN 4 THEN '000000206674797061766966' WHEN 5 THEN '424d3600' ELSE '' END"
