@@ -314,6 +314,23 @@ def test_line_dedup(spark):
     assert all(n == 1 for x, n in left.items() if x)
 
 
+def test_pairs_in_step_agree_with_the_plain_table():
+    rnd = random.Random(11)
+    xs, ys = [], []
+    for _ in range(400):
+        letters = rnd.choice(["ab", "abcdefgh ", "aé漢bc"])
+        a = rnd.choices(letters, k=rnd.choice([1, 5, 63, 64, 65, 129, 190]))
+        b = a[:]
+        for _ in range(rnd.randint(0, len(a) // 3)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 1)] = rnd.choices(letters, k=rnd.randint(0, 2))
+        xs.append("".join(a))
+        ys.append("".join(b))
+    want = [5 * edits(x, y) <= max(len(x), len(y)) for x, y in zip(xs, ys, strict=True)]
+    assert 50 < sum(want) < 350
+    assert line_dedup.alike([x.encode() for x in xs], [y.encode() for y in ys]).tolist() == want
+
+
 def test_many_pairs_are_measured_as_one():
     rnd = random.Random(8)
     xs, ys = [], []
