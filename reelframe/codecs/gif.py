@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from .limits import Check, emote_side, size_limit, sticker_side, sticker_timing
+
 
 @dataclass
 class Block:
@@ -224,7 +226,46 @@ def indices(block: Block) -> np.ndarray:
     return got.reshape(block.h, block.w)
 
 
-Check = tuple[str, str, bool, bool]
+def in_order(px: np.ndarray) -> np.ndarray:
+    """Rows of an interlaced image, stored in four passes, in their places."""
+    h = len(px)
+    out = np.empty_like(px)
+    out[np.concatenate([np.arange(at, h, step) for at, step in ((0, 8), (4, 8), (2, 4), (1, 2))])] = px
+    return out
+
+
+def decode(data: bytes) -> tuple[list[np.ndarray], list[int]]:
+    """Full-size RGBA frames as they are shown, and delays in hundredths; ValueError where an image can't be decoded.
+
+    A frame draws its pixels over the canvas but for the transparent ones; once shown, its
+    rectangle stays, is cleared (disposal 2) or becomes again what it was (3).
+    """
+    g = parse(data)
+    if g.problem:
+        raise ValueError(g.problem)
+    canvas = np.zeros((g.height, g.width, 4), np.uint8)
+    frames, delays = [], []
+    for b, c in g.images:
+        control = c[-1] if c else Block("gce", b"")
+        at = np.s_[b.y : b.y + b.h, b.x : b.x + b.w]
+        raw = b.raw[10 : 10 + 3 * b.local] or g.palette
+        palette = np.zeros((256, 4), np.uint8)
+        palette[:, 3] = 255
+        palette[: len(raw) // 3, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        try:
+            px = indices(b)
+        except IndexError as e:
+            raise ValueError("image data ends early") from e
+        px = (in_order(px) if b.interlaced else px)[: max(0, g.height - b.y), : max(0, g.width - b.x)]
+        before = canvas[at].copy()
+        canvas[at] = np.where((px == control.transparent)[..., None], before, palette[px])
+        frames.append(canvas.copy())
+        delays.append(control.delay)
+        if control.disposal == 2:
+            canvas[at] = 0
+        elif control.disposal == 3:
+            canvas[at] = before
+    return frames, delays
 
 
 def _used(block: Block) -> np.ndarray | None:
@@ -290,6 +331,12 @@ def lint(g: Gif, target: str = "") -> list[Check]:
     out.append(("gif.no-extra-extensions", "info", not any(b.kind in ("comment", "text", "app") for b in g.blocks), True))
     out.append(("gif.first-frame-visible", "warn", not (uses and uses[0] and _blank(images[0])), False))
     out.append(("gif.trailer", "error", g.trailer, True))
+    out += [(*c, False) for c in size_limit("gif", len(g.bytes()), target)]
+    if target == "emote":
+        out.append(("gif.emote-dims", "warn", emote_side(g.width, g.height), False))
+    elif target == "sticker":
+        out.append(("gif.sticker-dims", "warn", sticker_side(g.width, g.height), False))
+        out.append(("gif.sticker-duration", "error", sticker_timing(len(images), 10_000 * sum(c[-1].delay for _, c in images if c)), False))
     return out
 
 

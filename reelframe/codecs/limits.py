@@ -1,0 +1,30 @@
+"""Limits that targets set on files, as rules shared by the formats."""
+
+from __future__ import annotations
+
+from ..functions.recipes import TARGETS
+
+Check = tuple[str, str, bool, bool]
+# Fixed values of the targets.
+STICKER_SIDE, EMOTE_SIDE = 320, 128
+STICKER_MS, STICKER_FRAMES, STICKER_FPS = 5000, 1000, 60
+
+
+def size_limit(fmt: str, size: int, target: str) -> list[tuple[str, str, bool]]:
+    cap = TARGETS.get(target, 0)
+    return [(f"{fmt}.size-limit", "error", size <= cap)] if cap else []
+
+
+def emote_side(w: int, h: int) -> bool:
+    return max(w, h) <= EMOTE_SIDE
+
+
+def sticker_side(w: int, h: int) -> bool:
+    return max(w, h) <= STICKER_SIDE
+
+
+def sticker_timing(frames: int, us: int) -> bool:
+    """Length in whole milliseconds, frames and rate of an animated sticker; several frames need a length."""
+    if frames > STICKER_FRAMES or (us + 500) // 1000 > STICKER_MS:
+        return False
+    return frames * 1_000_000 <= STICKER_FPS * us if us > 0 else frames <= 1

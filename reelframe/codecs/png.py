@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from .limits import Check, size_limit, sticker_side, sticker_timing
+
 SIGN = b"\x89PNG\r\n\x1a\n"
 
 
@@ -121,7 +123,7 @@ def read(data: bytes) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
     return [palette[p[:, :, 0]] if colour == 3 else p for p in px], delays
 
 
-def lint(data: bytes, target: str = "") -> list[tuple[str, str, bool, bool]]:
+def lint(data: bytes, target: str = "") -> list[Check]:
     """(rule, level, ok, can be fixed) for an animated PNG."""
     try:
         kinds = chunks(data)
@@ -140,14 +142,25 @@ def lint(data: bytes, target: str = "") -> list[tuple[str, str, bool, bool]]:
     plays = int.from_bytes(animated[4:8], "big") if animated else -1
     level = "error" if target == "sticker" and 0 in ms else "warn" if any(x <= 10 for x in ms) else "info"
     colour = kinds[0][1][9] if names[:1] == [b"IHDR"] else -1
-    return [
+    out = [
         ("apng.container", "error", whole, False),
         ("apng.plays-forever", "error" if target else "info", plays == 0, False),
         ("apng.first-frame", "warn", bool(control) and b"IDAT" in names and names.index(b"fcTL") < names.index(b"IDAT"), False),
         ("apng.canvas", "error", all(x + rw <= w and y + rh <= h for rw, rh, x, y in rects) and bool(rects) and rects[0] == (w, h, 0, 0), False),
         ("apng.min-delay", level, all(x >= 20 for x in ms), False),
         ("apng.indexed", "info", colour == 3 and b"PLTE" in names and b"tRNS" in names, False),
+        *((*c, False) for c in size_limit("apng", len(data), target)),
     ]
+    moving = animated is not None
+    if target == "sticker":
+        # In microseconds: delays of a sixtieth don't add up in milliseconds.
+        timed = sticker_timing(max(1, len(control)), sum((n * 1_000_000 + (d or 100) // 2) // (d or 100) for n, d in delays))
+        out.append(("apng.sticker", "warn" if timed and not sticker_side(w, h) else "error", timed and sticker_side(w, h), False))
+    elif target == "emote":
+        out.append(("apng.not-emote", "error", not moving, False))
+    elif target:
+        out.append(("apng.attachment", "info", not moving, False))
+    return out
 
 
 def facts(data: bytes) -> dict[str, int]:

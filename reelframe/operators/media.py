@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..codecs import BUILT_IN, gif, plugin, png
+from ..codecs import BUILT_IN, gif, plugin, png, stills, webp
 from . import raster
 
 FILES = "clip long, format string, content binary"
@@ -64,12 +64,95 @@ def _each(fn: Callable[[int, str, bytes], list[tuple]], names: list[str]):
     return run
 
 
+def made_files(rows: DataFrame, make: Callable[..., bytes]) -> DataFrame:
+    """Files (clip, format, content, target) that ``make`` builds from the format and the columns after clip, format and target."""
+    names = rows.columns[3:]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [make(k, *v) for k, *v in zip(f["format"], *(f[n].tolist() for n in names), strict=True)]
+            yield pd.DataFrame({"clip": f["clip"], "format": f["format"], "content": made, "target": f["target"]})
+
+    return rows.mapInPandas(run, FILES + ", target string")
+
+
+FOUND = "clip long, rule string, level string, ok boolean, fixed boolean"
+
+
+def _rules(fmt: str, data: bytes, target: str) -> list[tuple]:
+    if fmt == "gif":
+        return gif.lint(gif.parse(data), target)
+    return webp.lint(data, target) if fmt == "webp" else png.lint(data, target)
+
+
+def _found(files: DataFrame, target: str, rules: Callable[[str, bytes, str], list[tuple]]) -> DataFrame:
+    """The rules' rows of every file, for its own ``target`` where the table has such a column."""
+    own = files.select("clip", "format", "content", F.col("target") if "target" in files.columns else F.lit(target).alias("target"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(c, *r) for c, k, b, t in zip(f["clip"], f["format"], f["content"], f["target"], strict=True) for r in rules(k, bytes(b), t)]
+            yield pd.DataFrame(rows, columns=["clip", "rule", "level", "ok", "fixed"])
+
+    return own.mapInPandas(run, FOUND)
+
+
 def lint_files(files: DataFrame, target: str = "") -> DataFrame:
-    def rules(clip: int, fmt: str, data: bytes) -> list[tuple]:
-        found = gif.lint(gif.parse(data), target) if fmt == "gif" else png.lint(data, target)
-        return [(clip, *c) for c in found]
+    """Findings on animations (GIF, APNG, WebP)."""
+    return _found(files, target, _rules)
+
+
+def lint_stills(files: DataFrame, target: str = "") -> DataFrame:
+    """Findings on still images, from their headers alone."""
+    return _found(files, target, stills.lint)
+
+
+def still_facts(files: DataFrame) -> DataFrame:
+    """Size and alpha of still images; what can't be read has a ``problem``."""
+    names = ["width", "height", "alpha", "animated", "problem"]
+
+    def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
+        got = stills.read(fmt, data)
+        return [(clip, fmt, *(getattr(got, n) for n in names))]
+
+    return files.mapInPandas(_each(one, ["clip", "format", *names]), "clip long, format string, width int, height int, alpha boolean, animated boolean, problem string")
+
+
+def _decoded(fmt: str, data: bytes) -> tuple[list[np.ndarray], list]:
+    if fmt == "gif":
+        return gif.decode(data)
+    return png.read(data) if fmt in ("apng", "png") else plugin(fmt)(data)
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """Frames as packed RGBA rows (clip, frame_idx, width, height, rgba, error); a file that can't be decoded is one row with its error."""
+    names = ["clip", "frame_idx", "width", "height", "rgba", "error"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            # One file's frames at a time: a batch of files may hold many.
+            for c, k, b in zip(f["clip"], f["format"], f["content"], strict=True):
+                try:
+                    px, _ = _decoded(k, bytes(b))
+                    rows = [(c, i, p.shape[1], p.shape[0], p.tobytes(), None) for i, p in enumerate(px)]
+                except Exception as e:  # noqa: BLE001 - one bad file is a row, whatever its codec raises
+                    rows = [(c, None, None, None, None, str(e) or type(e).__name__)]
+                yield pd.DataFrame(rows, columns=names).astype({"frame_idx": "Int64", "width": "Int32", "height": "Int32"})
+
+    return files.mapInPandas(run, "clip long, frame_idx long, width int, height int, rgba binary, error string")
+
+
+def verify_files(files: DataFrame) -> DataFrame:
+    """(clip, format, frames, ok): whether each file decodes to as many frames as its blocks announce."""
+    def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
+        try:
+            px, _ = _decoded(fmt, data)
+            said = gif.facts(data) if fmt == "gif" else png.facts(data) if fmt in ("apng", "png") else {"frames": len(px)}
+            return [(clip, fmt, len(px), bool(px) and len(px) == said["frames"])]
+        except Exception:  # noqa: BLE001 - what doesn't decode isn't verified, whatever its codec raises
+            return [(clip, fmt, 0, False)]
 
-    return files.mapInPandas(_each(rules, ["clip", "rule", "level", "ok", "fixed"]), "clip long, rule string, level string, ok boolean, fixed boolean")
+    return files.mapInPandas(_each(one, ["clip", "format", "frames", "ok"]), "clip long, format string, frames int, ok boolean")
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -77,7 +160,7 @@ def facts(files: DataFrame) -> DataFrame:
     names = ["width", "height", "frames", "delay_cs", "colors"]
 
     def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
-        got = gif.facts(data) if fmt == "gif" else png.facts(data)
+        got = (gif if fmt == "gif" else webp if fmt == "webp" else png).facts(data)
         return [(clip, fmt, *(got[n] for n in names))]
 
     return files.mapInPandas(_each(one, ["clip", "format", *names]), "clip long, format string, " + ", ".join(f"{n} int" for n in names))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lint as L
 from ..operators import media as M
+from ..sources import headers as H
 from ..sources import views as V
 from .registry import query
 
@@ -134,3 +135,90 @@ def dither(spark, d):
 @query("frames_zip")
 def frames_zip(spark, d):
     return M.zip_frames(V.channels(spark, d), 4, 4).select("clip", "entries", F.sha2("content", 256).alias("sha256"), "error")
+
+
+# -- files made from known facts: SQL states the findings ----------------------------------
+_MADE = """m AS (SELECT doc_id, doc_id % 3 + 1 AS n, doc_id // 3 % 2 AS flag, doc_id // 6 % 2 AS aflag, doc_id // 12 % 2 AS alpha, doc_id // 24 % 2 AS loops, doc_id // 48 % 2 AS meta, doc_id // 288 % 2 AS outside,
+ [5, 15, 40][doc_id // 96 % 3 + 1] AS ms, 100 + doc_id % 5 * 20 AS side, ['', 'emote', 'sticker', 'attachment'][doc_id // 7 % 4 + 1] AS target FROM documents)"""
+
+
+@query("webp_lint", f"""WITH {_MADE} SELECT doc_id AS clip, rule, level, ok FROM (
+ SELECT doc_id, 'webp.riff' AS rule, 'error' AS level, true AS ok FROM m UNION ALL SELECT doc_id, 'webp.anim-flag', 'error', (flag = 1) = (n > 1) FROM m
+ UNION ALL SELECT doc_id, 'webp.alpha-flag', 'error', aflag = alpha FROM m UNION ALL SELECT doc_id, 'webp.canvas', 'error', n = 1 OR outside = 0 FROM m
+ UNION ALL SELECT doc_id, 'webp.loop-forever', CASE WHEN n > 1 AND loops = 1 AND target = '' THEN 'info' ELSE 'error' END, CASE WHEN n = 1 THEN flag = 0 ELSE loops = 0 OR target = '' END FROM m
+ UNION ALL SELECT doc_id, 'webp.no-metadata', 'warn', meta = 0 FROM m UNION ALL SELECT doc_id, 'webp.min-delay', CASE WHEN n > 1 AND ms = 15 THEN 'info' ELSE 'warn' END, n = 1 OR ms = 40 FROM m
+ UNION ALL SELECT doc_id, 'webp.size-limit', 'error', true FROM m WHERE target <> '' UNION ALL SELECT doc_id, 'webp.sticker', 'error', false FROM m WHERE target = 'sticker'
+ UNION ALL SELECT doc_id, 'webp.emote-dims', 'warn', side <= 128 FROM m WHERE target = 'emote')""")
+def webp_lint(spark, d):
+    i = F.col("doc_id")
+
+    def digit(by: int, of: int):
+        return (F.floor(i / by) % of).cast("int")
+
+    facts = [(i % 3 + 1).cast("int"), (100 + i % 5 * 20).cast("int"), F.element_at(F.array(*map(F.lit, [5, 15, 40])), digit(96, 3) + 1), digit(24, 2), *[digit(k, 2) == 1 for k in (3, 6, 12, 48, 288)]]
+    target = F.element_at(F.array(*map(F.lit, ["", "emote", "sticker", "attachment"])), digit(7, 4) + 1)
+    made = M.made_files(V.read(spark, d, "documents").select(i.alias("clip"), F.lit("webp").alias("format"), target.alias("target"), *[f.alias(f"f{k}") for k, f in enumerate(facts)]), lambda fmt, *f: H.animation(*f))
+    return M.lint_files(made).select("clip", "rule", "level", "ok")
+
+
+_STILLS = """s AS (SELECT doc_id, ['png', 'webp', 'jpeg', 'avif'][doc_id % 4 + 1] AS format, 60 + doc_id // 4 % 40 * 10 AS w, 50 + doc_id // 9 % 30 * 10 AS h, doc_id // 4 % 2 = 1 AND doc_id % 4 <> 2 AS alpha,
+ ['', 'emote', 'sticker', 'attachment'][doc_id // 5 % 4 + 1] AS target FROM documents)"""
+
+
+def made_stills(spark, d):
+    i = F.col("doc_id")
+    one_of = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    rows = V.read(spark, d, "documents").select(
+        i.alias("clip"), one_of(["png", "webp", "jpeg", "avif"], i % 4).alias("format"), one_of(["", "emote", "sticker", "attachment"], F.floor(i / 5) % 4).alias("target"),
+        (60 + F.floor(i / 4) % 40 * 10).cast("int").alias("w"), (50 + F.floor(i / 9) % 30 * 10).cast("int").alias("h"), ((F.floor(i / 4) % 2 == 1) & (i % 4 != 2)).alias("alpha"),
+    )
+    return M.made_files(rows, H.still)
+
+
+@query("static_lint", f"""WITH {_STILLS} SELECT doc_id AS clip, 'static.format' AS rule, 'info' AS level, true AS ok FROM s UNION ALL SELECT doc_id, 'static.size-limit', 'error', true FROM s WHERE target <> ''
+ UNION ALL SELECT doc_id, 'static.emote-dims', 'warn', w <= 128 AND h <= 128 FROM s WHERE target = 'emote'
+ UNION ALL SELECT doc_id, 'static.sticker', CASE WHEN format = 'png' AND (w > 320 OR h > 320) THEN 'warn' ELSE 'error' END, format = 'png' AND w <= 320 AND h <= 320 FROM s WHERE target = 'sticker'""")
+def static_lint(spark, d):
+    return M.lint_stills(made_stills(spark, d)).select("clip", "rule", "level", "ok")
+
+
+@query("still_probe", f"WITH {_STILLS} SELECT doc_id AS clip, format, w::INT AS width, h::INT AS height, alpha FROM s")
+def still_probe(spark, d):
+    return M.still_facts(made_stills(spark, d)).select("clip", "format", "width", "height", "alpha")
+
+
+_C = V.over("v_pixels")
+
+
+@query("gif_decode", _C + "SELECT clip, frame_idx, count(*) FILTER (a >= 128) AS solid FROM v_pixels GROUP BY clip, frame_idx")
+def gif_decode(spark, d):
+    """GIFs decoded to RGBA frames again: what was solid is, after every disposal."""
+    frames = M.decode_files(M.encode_clips(V.channels(spark, d), 4, 4, "gif"))
+    alpha = F.substring(F.hex("rgba"), F.col("p") * 8 + 7, F.lit(2))
+    return frames.select("clip", "frame_idx", "rgba", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("p")).groupBy("clip", "frame_idx").agg(F.count_if(alpha == "FF").alias("solid"))
+
+
+@query("verify_files", _C + "SELECT clip, format, count(DISTINCT frame_idx)::INT AS frames, true AS ok FROM v_pixels, (VALUES ('gif'), ('apng')) AS f(format) GROUP BY clip, format")
+def verify_files(spark, d):
+    px = V.channels(spark, d)
+    return M.verify_files(M.encode_clips(px, 4, 4, "gif").unionByName(M.encode_clips(px, 4, 4, "apng")))
+
+
+@query("lint_targets", _C + """, c AS (SELECT clip, count(DISTINCT frame_idx) AS n FROM v_pixels GROUP BY clip), k AS (SELECT clip, n, f.format, t.target FROM c, (VALUES ('gif'), ('apng')) AS f(format), (VALUES ('emote'), ('sticker'), ('attachment')) AS t(target))
+SELECT clip, format, target, format || '.size-limit' AS rule, 'error' AS level, true AS ok FROM k UNION ALL SELECT clip, format, target, 'gif.emote-dims', 'warn', true FROM k WHERE format = 'gif' AND target = 'emote'
+ UNION ALL SELECT clip, format, target, 'gif.sticker-dims', 'warn', true FROM k WHERE format = 'gif' AND target = 'sticker' UNION ALL SELECT clip, format, target, 'gif.sticker-duration', 'error', n * 100 <= 5000 FROM k WHERE format = 'gif' AND target = 'sticker'
+ UNION ALL SELECT clip, format, target, 'apng.sticker', 'error', n * 100 <= 5000 FROM k WHERE format = 'apng' AND target = 'sticker' UNION ALL SELECT clip, format, target, 'apng.not-emote', 'error', false FROM k WHERE format = 'apng' AND target = 'emote'
+ UNION ALL SELECT clip, format, target, 'apng.attachment', 'info', false FROM k WHERE format = 'apng' AND target = 'attachment'""")
+def lint_targets(spark, d):
+    """Rules that a target adds, on real files of both formats."""
+    px = V.channels(spark, d)
+    parts = []
+    for fmt in ("gif", "apng"):
+        files = M.encode_clips(px, 4, 4, fmt)
+        for target in ("emote", "sticker", "attachment"):
+            found = M.lint_files(files, target).where(F.col("rule").rlike(r"\.(size-limit|emote-dims|sticker.*|not-emote|attachment)$"))
+            parts.append(found.select("clip", F.lit(fmt).alias("format"), F.lit(target).alias("target"), "rule", "level", "ok"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

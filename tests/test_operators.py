@@ -239,3 +239,82 @@ def test_engine(spark, tmp_path, sf_dir):
     assert got[1280] == (569, 300, None) and got[16][2] == "trim"
     out = engine.render(views.channels(spark, sf_dir).where("clip < 2 and frame_idx < 3"), 4, 4, "gif").collect()
     assert len(out) == 2 and all(r["ok"] for r in out)
+
+
+def _block_gif(images):
+    """A 4 x 2 GIF of (disposal, transparent, interlaced, (x, y, w, h), indices) over red, green, blue, white."""
+    import numpy as np
+
+    from reelframe.codecs import gif
+
+    out = b"GIF89a" + bytes([4, 0, 2, 0, 0x81, 0, 0]) + bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 255, 255, 255])
+    for disposal, clear, interlaced, (x, y, w, h), px in images:
+        code = gif.lzw_encode(np.array(px, np.uint8), 2)
+        out += gif.gce(5, disposal, clear) + b"\x2c" + bytes([x, 0, y, 0, w, 0, h, 0, 0x40 * interlaced, 2, len(code)]) + code + b"\0"
+    return out + b"\x3b"
+
+
+def test_gif_frames_are_composed_by_disposal():
+    from reelframe.codecs import gif
+
+    whole = (0, 0, 4, 2)
+    data = _block_gif([(1, -1, False, whole, [0] * 8), (3, 3, False, (0, 0, 2, 1), [1, 3]), (2, -1, False, (2, 1, 2, 1), [2, 2]), (1, -1, False, (0, 0, 1, 1), [3])])
+    frames, delays = gif.decode(data)
+    red, green, blue, white, none = [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255], [255] * 4, [0] * 4
+    assert delays == [5] * 4
+    assert frames[0].tolist() == [[red] * 4, [red] * 4]
+    assert frames[1].tolist() == [[green, red, red, red], [red] * 4]
+    assert frames[2].tolist() == [[red] * 4, [red, red, blue, blue]]
+    assert frames[3].tolist() == [[white, red, red, red], [red, red, none, none]]
+    with pytest.raises(ValueError):
+        gif.decode(data[:-6])
+
+
+def test_interlaced_rows_go_to_their_places():
+    import numpy as np
+
+    from reelframe.codecs import gif
+
+    stored = np.array([0, 8, 4, 2, 6, 1, 3, 5, 7])[:, None]
+    assert gif.in_order(stored).ravel().tolist() == list(range(9))
+
+
+def test_broken_webp_containers_are_told():
+    from reelframe.codecs import webp
+    from reelframe.sources import headers
+
+    good = headers.animation(3, 100, 40, 0, True, False, False, False, False)
+    assert all(ok for _, _, ok, _ in webp.lint(good, "attachment"))
+    failed = lambda data, target="": {r for r, _, ok, _ in webp.lint(data, target) if not ok}
+    assert failed(good[:-3]) >= {"webp.riff"}
+    assert failed(b"RIFF" + bytes(8)) == {"webp.riff"}
+    bare = webp.chunk(b"ANMF", bytes(6) + bytes([9, 0, 0, 9, 0, 0, 40, 0, 0, 0]) + webp.chunk(b"VP8L", webp.lossless_header(10, 10, False)))
+    # One frame without an ANIM chunk or flag doesn't move; two do.
+    assert failed(b"RIFF" + (len(bare) + 4).to_bytes(4, "little") + b"WEBP" + bare) == {"webp.riff", "webp.canvas"}
+    assert failed(b"RIFF" + (2 * len(bare) + 4).to_bytes(4, "little") + b"WEBP" + 2 * bare) == {"webp.riff", "webp.anim-flag", "webp.loop-forever", "webp.canvas"}
+    lossy = webp.stream(b"VP8 ", b"\x00\x00\x00\x9d\x01\x2a\x40\x01\xf0\x00")
+    assert (lossy.width, lossy.height, lossy.problem) == (320, 240, "")
+    assert webp.stream(b"VP8 ", b"\x01" + bytes(9)).problem
+
+
+def test_still_headers_that_do_not_parse():
+    from reelframe.codecs import stills
+    from reelframe.sources import headers
+
+    for fmt in ("png", "webp", "jpeg", "avif"):
+        good = headers.still(fmt, 300, 200, False)
+        assert (stills.read(fmt, good).width, stills.read(fmt, good).height, stills.read(fmt, good).problem) == (300, 200, "")
+        for cut in range(len(good) - 9):
+            assert stills.lint(fmt, good[:cut])[0][2] is (stills.read(fmt, good[:cut]).problem == "")
+        assert stills.read(fmt, b"").problem and stills.read(fmt, good[:12]).problem
+
+
+def test_files_that_do_not_decode_are_rows(spark):
+    from reelframe.operators import media
+
+    data = _block_gif([(1, -1, False, (0, 0, 4, 2), [0] * 8)])
+    files = spark.createDataFrame([(1, "gif", data), (2, "gif", data[:-6]), (3, "heic", b"x")], media.FILES)
+    got = {r.clip: r for r in media.decode_files(files).collect()}
+    assert got[1].error is None and len(got[1].rgba) == 32
+    assert got[2].rgba is None and got[2].error and "no codec" in got[3].error
+    assert {r.clip: (r.frames, r.ok) for r in media.verify_files(files).collect()} == {1: (1, True), 2: (0, False), 3: (0, False)}
