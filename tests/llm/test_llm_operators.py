@@ -314,6 +314,19 @@ def test_line_dedup(spark):
     assert all(n == 1 for x, n in left.items() if x)
 
 
+def test_runs_of_lines_are_hashed_by_content():
+    rnd = random.Random(12)
+    seen = {}
+    for size in (4, 9):
+        for lines in ([b"a"], [b"abc", b"ab"], [bytes(rnd.choices(b"ab", k=rnd.randint(1, 30))) for _ in range(60)]):
+            h, n = line_dedup.runs_of(lines, size)
+            runs = [x[i : i + size] for x in lines for i in range(max(len(x) - size + 1, 1))]
+            assert n.tolist() == [max(len(x) - size + 1, 1) for x in lines] and len(runs) == len(h)
+            for run, k in zip(runs, h.tolist(), strict=True):
+                assert seen.setdefault(run, k) == k
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_pairs_in_step_agree_with_the_plain_table():
     rnd = random.Random(11)
     xs, ys = [], []
