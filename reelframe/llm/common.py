@@ -228,6 +228,25 @@ def fresh(base: str, names: list[str]) -> str:
     return base
 
 
+#: A key with over this part of all rows is hot: at most so many keys are.
+HOT_PARTS = 1000
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` with the other columns of ``values``, which has one row for each of their keys, null included.
+
+    ``weight``: the rows of a key, ``total``: all rows. The values of hot keys, at most HOT_PARTS
+    of them, are broadcast, so that no task gets all rows of one; the others meet in a shuffle.
+    """
+    hot = F.col(weight) * HOT_PARTS > F.lit(total)
+    known = values.withColumnRenamed(key, "_key")
+    near = F.broadcast(known.where(hot))
+    same = rows[key].eqNullSafe(F.col("_key"))
+    often = rows.join(near, same).drop("_key")
+    seldom = rows.join(F.broadcast(known.where(hot).select("_key")), same, "left_anti").join(known.where(~hot), same).drop("_key")
+    return often.unionByName(seldom)
+
+
 def first_value(df: DataFrame, default=0):
     row = df.first()
     return default if row is None or row[0] is None else row[0]

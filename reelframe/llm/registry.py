@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, licenses, line_dedup, packing, secrets, token_counts, token_files, toxicity
+from . import decontaminate, exact_dedup, jaccard, licenses, line_dedup, packing, secrets, sharding, token_counts, token_files, toxicity, vector_codes
 from .common import table
 
 
@@ -58,6 +58,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -69,11 +77,15 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_sharding": op11_sharding,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES = {
     "op9_license_scan": licenses.oracle_sql(),
+    "op11_sharding": sharding.oracle_sql(),
+    "op12_vector_codes": vector_codes.oracle_sql(),
     "op10_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, digest AS text_sha256
 FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS digest FROM documents)
