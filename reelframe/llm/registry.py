@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, licenses, line_dedup, packing, secrets, sharding, token_counts, token_files, toxicity, vector_codes
+from . import decontaminate, exact_dedup, jaccard, licenses, line_dedup, packing, ranked, secrets, sharding, token_counts, token_files, toxicity, vector_codes
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_sharding": op11_sharding,
     "op12_vector_codes": op12_vector_codes,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,6 +91,7 @@ ORACLES = {
     "op9_license_scan": licenses.oracle_sql(),
     "op11_sharding": sharding.oracle_sql(),
     "op12_vector_codes": vector_codes.oracle_sql(),
+    "op13_ranked_search": ranked.oracle_sql(),
     "op10_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, digest AS text_sha256
 FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS digest FROM documents)
