@@ -29,7 +29,11 @@ def canonical(json: Column) -> Column:
     The text is read into typed values and written anew. Null parameters and output members at
     their zero value are left out; nulls inside parameters stay. Null where the text isn't a recipe.
     """
-    recipe = F.from_json(json, RECIPE)
+    return F.transform(F.array(F.from_json(json, RECIPE)), _written)[0]
+
+
+def _written(recipe: Column) -> Column:
+    """Canonical text of a recipe's typed value. A lambda's variable stands for the value, so that the JSON text is parsed once."""
 
     def member(name: str, kind: str) -> Column:
         value = recipe["output"][name]
