@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -54,31 +56,35 @@ class Scratch:
     """Intermediate tables of one query in the shared folder.
 
     Writing a table cuts the lineage: a lost executor costs a reread, not a rerun of
-    everything before. ``drop`` frees tables that nothing reads any more; ``drop_since``
-    frees all tables of the queries begun after a ``mark``, once their results are written.
+    everything before. ``drop`` frees tables that nothing reads any more; ``passing`` frees all
+    tables that its block begins, once the block has written its result. Other threads' tables
+    are theirs.
     """
 
-    _roots: list[str] = []
+    _begun: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        self._roots.append(self.root)
+        if (begun := self._begun.get()) is not None:
+            begun.append(self.root)
         # Batches for Python are bounded in bytes too, so that very long texts come few at a time.
         bounded_batches(spark)
 
     @classmethod
-    def mark(cls) -> int:
-        return len(cls._roots)
-
-    @classmethod
-    def drop_since(cls, spark: SparkSession, mark: int) -> None:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for root in cls._roots[mark:]:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
-        del cls._roots[mark:]
+    @contextmanager
+    def passing(cls, spark: SparkSession) -> Iterator[None]:
+        own: list[str] = []
+        before = cls._begun.set(own)
+        try:
+            yield
+        finally:
+            cls._begun.reset(before)
+            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+            for root in own:
+                path = jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(conf).delete(path, True)
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Scratch, buffers, mix64, released, words
+from .common import LOWER, SPACE, Scratch, buffers, fresh, mix64, released, words
 from .linking import Members, components, members
 
 #: Rows of this many elements are counted at once for frequent elements.
@@ -359,4 +359,5 @@ def one_per_component(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     """
     found = jaccard_components(docs, n, threshold)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = fresh("gone", docs.columns)
+    return docs.join(gone.withColumnRenamed("doc_id", name), F.col("doc_id").cast("long") == F.col(name), "left_anti")

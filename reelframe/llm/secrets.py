@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -61,11 +61,17 @@ class Intervals:
         self.spans = sorted(spans)
         self.start = [a for a, _, _ in self.spans]
         self.reach = list(accumulate((b for _, b, _ in self.spans), max))
+        self.end = sorted(b for _, b, _ in self.spans)
 
     def overlap(self, lo: int, hi: int) -> bool:
         i = bisect_left(self.start, hi)
         return i > 0 and self.reach[i - 1] > lo
 
+    def beside(self, a: int, b: int, lo: int, hi: int) -> bool:
+        """Whether any span reaches into lo..hi and lies wholly outside a..b."""
+        i, j = bisect_left(self.start, b), bisect_right(self.end, a)
+        return (i < len(self.start) and self.start[i] < hi) or (j > 0 and self.end[j - 1] > lo)
+
 
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak candidates that complete a credential within a scope, joined as overlapping intervals.
@@ -73,7 +79,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     An identifier is an access key or a user name, a secret an assignment, a hex run or a
     high-entropy word outside all other spans, an endpoint a URL. Such a word counts beside an
     access key, or beside a user name with an endpoint; a user name or an endpoint counts beside
-    a secret, never beside an identifier alone. Words and URLs are read whole, also across the
+    a secret that does not overlap it, never beside an identifier alone. Words and URLs are read whole, also across the
     edge of a scope.
     """
     users = [(m.start(), m.end(), "user") for m in USER.finditer(text)] if "=" in text or ":" in text else []
@@ -95,7 +101,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             if entropy(w) >= 3.5 and any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
                 words.append((a, b, "entropy"))
     secrets = Intervals([*(s for s in base if s[2] != "access"), *words])
-    return [s for s in (*users, *ends) if secrets.overlap(*_scope(text, s[0], s[1]))] + words
+    return [s for s in (*users, *ends) if secrets.beside(s[0], s[1], *_scope(text, s[0], s[1]))] + words
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
