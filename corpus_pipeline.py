@@ -73,8 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        mark, before = Scratch.mark(), docs
-        docs = scratch.save(stage(spark, before, sf_dir), name)
-        Scratch.drop_since(spark, mark)
+        before = docs
+        with Scratch.passing(spark):
+            docs = scratch.save(stage(spark, before, sf_dir), name)
         scratch.drop(before)
     return docs
