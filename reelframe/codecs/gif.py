@@ -1,4 +1,4 @@
-"""GIF: block parser, writer with LZW, rules and repairs. Bytes of untouched blocks are kept as they are."""
+"""GIF: block parser, writer with LZW, decoder, repairs. Bytes of untouched blocks are kept as they are; rules are in operators/rules.py."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from .limits import Check, emote_side, size_limit, sticker_side, sticker_timing
-
 
 @dataclass
 class Block:
@@ -202,7 +200,7 @@ def write(frames: list[np.ndarray], palette: np.ndarray, delays: list[int], tran
     table = np.zeros((1 << bits, 3), np.uint8)
     table[: len(palette)] = palette[:, :3]
     head = b"GIF89a" + w.to_bytes(2, "little") + h.to_bytes(2, "little") + bytes([0x80 | 0x70 | (bits - 1), max(0, transparent), 0])
-    parts = [head, table.tobytes(), loop(loops)] if len(frames) > 1 else [head, table.tobytes()]
+    parts = [head, table.tobytes(), loop(loops)]
     for f, delay in zip(frames, delays, strict=True):
         code = lzw_encode(f.ravel(), bits)
         image = b"\x2c" + bytes(4) + w.to_bytes(2, "little") + h.to_bytes(2, "little") + b"\0" + bytes([bits])
@@ -268,7 +266,7 @@ def decode(data: bytes) -> tuple[list[np.ndarray], list[int]]:
     return frames, delays
 
 
-def _used(block: Block) -> np.ndarray | None:
+def used(block: Block) -> np.ndarray | None:
     """Whether the image uses each of the 256 indices; None where it can't be decoded."""
     try:
         return np.bincount(indices(block).ravel(), minlength=256) > 0
@@ -281,72 +279,32 @@ def _shows_through(g: Gif) -> list[bool]:
     out = []
     for b, c in g.images:
         t = c[-1].transparent if c else -1
-        used = _used(b) if t >= 0 else None
-        out.append(t >= 0 and (used is None or bool(used[t])))
+        own = used(b) if t >= 0 else None
+        out.append(t >= 0 and (own is None or bool(own[t])))
     return out
 
 
 def _needs_flag(g: Gif) -> bool:
     """Whether the first image must carry a transparency flag and doesn't."""
     b, c = g.images[0]
-    clear = any(_shows_through(g)) or (b.w, b.h) != (g.width, g.height)
+    clear = any(_shows_through(g)) or (b.x, b.y, b.w, b.h) != (0, 0, g.width, g.height)
     return clear and not (c and c[-1].transparent >= 0)
 
 
 def spare_index(g: Gif) -> int:
     """A palette index that the first image doesn't use, -1 if there is none: the one most other images are transparent in, else the least."""
     b, _ = g.images[0]
-    used = None if b.local or not g.palette else _used(b)
-    if used is None:
+    own = None if b.local or not g.palette else used(b)
+    if own is None:
         return -1
     others = Counter(c[-1].transparent for _, c in g.images[1:] if c and c[-1].transparent >= 0)
     likely = others.most_common(1)
-    if likely and not used[likely[0][0]]:
+    if likely and not own[likely[0][0]]:
         return likely[0][0]
-    free = np.flatnonzero(~used[: len(g.palette) // 3])
+    free = np.flatnonzero(~own[: len(g.palette) // 3])
     return int(free[0]) if len(free) else -1
 
 
-def lint(g: Gif, target: str = "") -> list[Check]:
-    """(rule, level, ok, can be fixed), a row for each rule; of a file that can't be read, its container only."""
-    if g.problem:
-        return [("gif.container", "error", False, False)]
-    images = g.images
-    out: list[Check] = [("gif.container", "error", True, False)]
-    out.append(("gif.gce-every-frame", "error", bool(images) and all(len(c) == 1 for _, c in images), bool(images)))
-    uses = _shows_through(g)
-    first = images[0][1][-1].transparent if images and images[0][1] else -1
-    missing = bool(images) and _needs_flag(g)
-    out.append(("gif.frame0-transparency", "error", not missing, missing and spare_index(g) >= 0))
-    marks = {c[-1].transparent for _, c in images if c} - {-1}
-    out.append(("gif.lsd-background-index", "error", g.background == first if first >= 0 else g.background not in marks, True))
-    out.append(("gif.disposal", "error", all(c[-1].disposal in (1, 2) for _, c in images if c), all(c[-1].disposal < 3 for _, c in images if c)))
-    order = [b.kind for b in g.blocks]
-    loops = [b for b in g.blocks if b.kind == "loop"]
-    in_front = bool(loops) and "image" in order and order.index("loop") < order.index("image")
-    out.append(("gif.netscape-loop", "error", len(images) < 2 or (in_front and loops[0].loops == 0), True))
-    out.append(("gif.min-delay", "warn", len(images) < 2 or all(c[-1].delay >= 2 for _, c in images if c), True))
-    out.append(("gif.global-palette", "error" if target or not g.palette else "warn", bool(g.palette) and not any(b.local for b, _ in images), False))
-    out.append(("gif.no-interlace", "warn", not any(b.interlaced for b, _ in images), False))
-    out.append(("gif.no-extra-extensions", "info", not any(b.kind in ("comment", "text", "app") for b in g.blocks), True))
-    out.append(("gif.first-frame-visible", "warn", not (uses and uses[0] and _blank(images[0])), False))
-    out.append(("gif.trailer", "error", g.trailer, True))
-    out += [(*c, False) for c in size_limit("gif", len(g.bytes()), target)]
-    if target == "emote":
-        out.append(("gif.emote-dims", "warn", emote_side(g.width, g.height), False))
-    elif target == "sticker":
-        out.append(("gif.sticker-dims", "warn", sticker_side(g.width, g.height), False))
-        out.append(("gif.sticker-duration", "error", sticker_timing(len(images), 10_000 * sum(c[-1].delay for _, c in images if c)), False))
-    return out
-
-
-def _blank(image: tuple[Block, list[Block]]) -> bool:
-    try:
-        return bool((indices(image[0]) == image[1][-1].transparent).all())
-    except (ValueError, IndexError):
-        return False
-
-
 def fix(data: bytes) -> bytes:
     """Mend what the rules call fixable; a clean file comes back byte for byte, and so does one that is cut inside a block."""
     g = parse(data)
@@ -357,7 +315,6 @@ def fix(data: bytes) -> bytes:
     spare = known[0] if known else 10
     blocks: list[Block] = []
     held: Block | None = None
-    many = len(g.images) > 1
     first_clear = -1
     for b in g.blocks:
         if b.kind == "gce":
@@ -371,16 +328,15 @@ def fix(data: bytes) -> bytes:
             clear = c.transparent if c else -1
             if not any(x.kind == "image" for x in blocks):
                 first_clear = clear = clear if clear >= 0 else flag
-            want = (10 if many and delay < 2 else delay, 1 if disposal == 0 else disposal, clear)
+            want = (10 if delay < 2 else delay, 1 if disposal == 0 else disposal, clear)
             if c is None or (c.delay, c.disposal, c.transparent) != want:
                 c = Block("gce", gce(*want), *want)
             blocks += [c, b]
         elif b.kind == "loop":
             pass
     loops = [b for b in g.blocks if b.kind == "loop"]
-    if many:
-        front = loops[0] if loops and loops[0].loops == 0 else Block("loop", loop(0), loops=0)
-        blocks.insert(0, front)
+    front = loops[0] if loops and loops[0].loops == 0 else Block("loop", loop(0), loops=0)
+    blocks.insert(0, front)
     g.blocks = blocks
     head = bytearray(g.head)
     if first_clear >= 0:
@@ -394,10 +350,3 @@ def fix(data: bytes) -> bytes:
     g.head = bytes(head)
     g.trailer = True
     return g.bytes()
-
-
-def facts(data: bytes) -> dict[str, int]:
-    g = parse(data)
-    own = [c[-1].delay if c else 0 for _, c in g.images]
-    sizes = [b.local for b, _ in g.images]
-    return {"width": g.width, "height": g.height, "frames": len(own), "delay_cs": sum(own), "colors": max([len(g.palette) // 3, *sizes], default=0)}

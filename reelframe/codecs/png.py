@@ -1,14 +1,14 @@
-"""PNG and APNG: chunk parser, RGBA and indexed writers, rules."""
+"""PNG and APNG: chunk walker, RGBA and indexed writers, decoder; rules are in operators/rules.py."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 
-from .limits import Check, size_limit, sticker_side, sticker_timing
-
 SIGN = b"\x89PNG\r\n\x1a\n"
 
 
@@ -16,6 +16,69 @@ def chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
+class Part(NamedTuple):
+    """One chunk with the fields that its kind has; ``none`` stands for a file that is no PNG, ``empty`` for one without chunks, ``cut`` for a broken end, ``stray`` for bytes too few for a chunk."""
+
+    kind: str
+    size: int = 0
+    crc: bool = True
+    width: int | None = None
+    height: int | None = None
+    depth: int | None = None
+    colour: int | None = None
+    methods: int | None = None
+    interlace: int | None = None
+    frames: int | None = None
+    plays: int | None = None
+    seq: int | None = None
+    x: int | None = None
+    y: int | None = None
+    num: int | None = None
+    den: int | None = None
+    dispose: int | None = None
+    blend: int | None = None
+
+
+def _part(kind: str, body: bytes, crc: bool) -> Part:
+    size = len(body)
+    if kind == "IHDR" and size == 13:
+        w, h, depth, colour, packed, filtered_by, interlace = struct.unpack(">IIBBBBB", body)
+        return Part(kind, size, crc, width=w, height=h, depth=depth, colour=colour, methods=packed << 8 | filtered_by, interlace=interlace)
+    if kind == "acTL" and size == 8:
+        frames, plays = struct.unpack(">II", body)
+        return Part(kind, size, crc, frames=frames, plays=plays)
+    if kind == "fcTL" and size == 26:
+        seq, w, h, x, y, num, den, dispose, blend = struct.unpack(">IIIIIHHBB", body)
+        return Part(kind, size, crc, width=w, height=h, seq=seq, x=x, y=y, num=num, den=den, dispose=dispose, blend=blend)
+    if kind == "fdAT" and size >= 4:
+        return Part(kind, size, crc, seq=int.from_bytes(body[:4], "big"))
+    return Part(kind, size, crc)
+
+
+def walk(data: bytes) -> Iterator[Part]:
+    """All chunks in order up to the end chunk."""
+    if data[:8] != SIGN:
+        yield Part("none")
+        return
+    at = 8
+    if len(data) == at:
+        yield Part("empty")
+    while at < len(data):
+        if at + 8 > len(data):
+            yield Part("stray", len(data) - at)
+            return
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 12 + size > len(data):
+            yield Part("cut", size)
+            return
+        named = data[at + 4 : at + 8 + size]
+        kind = named[:4].decode("latin-1")
+        at += 12 + size
+        yield _part(kind, named[4:], zlib.crc32(named) == int.from_bytes(data[at - 4 : at], "big"))
+        if kind == "IEND":
+            return
+
+
 def chunks(data: bytes) -> list[tuple[bytes, bytes, bool]]:
     """(kind, body, checksum right) as far as the file goes."""
     if data[:8] != SIGN:
@@ -121,51 +184,3 @@ def read(data: bytes) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
     depth = 1 if colour == 3 else 4
     px = [unfiltered(zlib.decompress(bytes(b)), w, h, depth) for b in bodies]
     return [palette[p[:, :, 0]] if colour == 3 else p for p in px], delays
-
-
-def lint(data: bytes, target: str = "") -> list[Check]:
-    """(rule, level, ok, can be fixed) for an animated PNG."""
-    try:
-        kinds = chunks(data)
-    except ValueError:
-        return [("apng.container", "error", False, False)]
-    names = [k for k, _, _ in kinds]
-    control = [b for k, b, _ in kinds if k == b"fcTL"]
-    numbers = [int.from_bytes(b[:4], "big") for k, b, _ in kinds if k in (b"fcTL", b"fdAT")]
-    animated = next((b for k, b, _ in kinds if k == b"acTL"), None)
-    w, h = struct.unpack(">II", kinds[0][1][:8]) if names[:1] == [b"IHDR"] else (0, 0)
-    whole = names[:1] == [b"IHDR"] and names[-1:] == [b"IEND"] and all(c for *_, c in kinds) and numbers == list(range(len(numbers)))
-    whole &= animated is not None and int.from_bytes(animated[:4], "big") == len(control)
-    rects = [struct.unpack(">IIII", b[4:20]) for b in control]
-    delays = [struct.unpack(">HH", b[20:24]) for b in control]
-    ms = [(((n * 1_000_000 + (d or 100) // 2) // (d or 100)) + 500) // 1000 for n, d in delays]
-    plays = int.from_bytes(animated[4:8], "big") if animated else -1
-    level = "error" if target == "sticker" and 0 in ms else "warn" if any(x <= 10 for x in ms) else "info"
-    colour = kinds[0][1][9] if names[:1] == [b"IHDR"] else -1
-    out = [
-        ("apng.container", "error", whole, False),
-        ("apng.plays-forever", "error" if target else "info", plays == 0, False),
-        ("apng.first-frame", "warn", bool(control) and b"IDAT" in names and names.index(b"fcTL") < names.index(b"IDAT"), False),
-        ("apng.canvas", "error", all(x + rw <= w and y + rh <= h for rw, rh, x, y in rects) and bool(rects) and rects[0] == (w, h, 0, 0), False),
-        ("apng.min-delay", level, all(x >= 20 for x in ms), False),
-        ("apng.indexed", "info", colour == 3 and b"PLTE" in names and b"tRNS" in names, False),
-        *((*c, False) for c in size_limit("apng", len(data), target)),
-    ]
-    moving = animated is not None
-    if target == "sticker":
-        # In microseconds: delays of a sixtieth don't add up in milliseconds.
-        timed = sticker_timing(max(1, len(control)), sum((n * 1_000_000 + (d or 100) // 2) // (d or 100) for n, d in delays))
-        out.append(("apng.sticker", "warn" if timed and not sticker_side(w, h) else "error", timed and sticker_side(w, h), False))
-    elif target == "emote":
-        out.append(("apng.not-emote", "error", not moving, False))
-    elif target:
-        out.append(("apng.attachment", "info", not moving, False))
-    return out
-
-
-def facts(data: bytes) -> dict[str, int]:
-    kinds = chunks(data)
-    w, h = struct.unpack(">II", kinds[0][1][:8])
-    delays = [struct.unpack(">HH", b[20:24]) for k, b, _ in kinds if k == b"fcTL"]
-    colors = next((len(b) // 3 for k, b, _ in kinds if k == b"PLTE"), 0)
-    return {"width": w, "height": h, "frames": max(1, len(delays)), "delay_cs": sum(n * 100 // (d or 100) for n, d in delays), "colors": colors}

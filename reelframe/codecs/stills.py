@@ -1,4 +1,4 @@
-"""Sizes and alpha of still images from their headers (PNG, WebP, JPEG, AVIF), and the rules for stills."""
+"""Sizes and alpha of still images from their headers (PNG, WebP, JPEG, AVIF); rules are in operators/rules.py."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import struct
 from dataclasses import dataclass
 
 from . import png, webp
-from .limits import Check, emote_side, size_limit, sticker_side
 
 # JPEG markers that stand alone, that end the header, and of the C0-CF range those that start no frame.
 ALONE, ENDS, NO_FRAME = {0x01, 0xD8, *range(0xD0, 0xD8)}, {0xD9, 0xDA}, {0xC4, 0xC8, 0xCC}
@@ -34,8 +33,14 @@ def _png(data: bytes) -> Still:
 
 
 def _webp(data: bytes) -> Still:
-    f = webp.parse(data)
-    return Still(*f.canvas, f.alpha, f.count > 1, "; ".join(f.problems))
+    parts = list(webp.walk(data))
+    images = [c for c in parts if c.kind in webp.BITSTREAMS]
+    sized = [c for c in parts if c.kind == "VP8X" and c.width] + images
+    broken = next((c.problem or "broken chunk" for c in parts if c.kind in ("cut", "none") or (c.problem and c.kind != "ANMF")), "")
+    # A declared size beyond the file's end cuts its last chunk or leaves none.
+    if not images or parts[0].size + 8 > len(data):
+        broken = broken or "no whole image"
+    return Still(sized[0].width or 0 if sized else 0, sized[0].height or 0 if sized else 0, any(c.alpha or c.kind == "ALPH" for c in parts), sum(c.kind == "ANMF" for c in parts) > 1, broken)
 
 
 def _jpeg(data: bytes) -> Still:
@@ -108,15 +113,3 @@ def read(fmt: str, data: bytes) -> Still:
         return READERS[fmt](data)
     except (ValueError, IndexError, struct.error, KeyError) as e:
         return Still(problem=f"not read as {fmt}: {e}")
-
-
-def lint(fmt: str, data: bytes, target: str = "") -> list[Check]:
-    s = read(fmt, data)
-    out = [("static.format", "warn" if s.problem else "info", not s.problem), *size_limit("static", len(data), target)]
-    unknown = not (s.width and s.height)
-    if target == "emote":
-        out.append(("static.emote-dims", "warn", unknown or emote_side(s.width, s.height)))
-    elif target == "sticker":
-        fits = unknown or sticker_side(s.width, s.height)
-        out.append(("static.sticker", "warn" if fmt == "png" and not fits else "error", fmt == "png" and fits))
-    return [(*c, False) for c in out]

@@ -1,167 +1,93 @@
-"""WebP containers: parser of chunks and bitstream headers, writer around given bitstreams, rules. Pixels need a plug-in."""
+"""WebP containers: walker over chunks and bitstream headers, writer around given bitstreams. Pixels need a plug-in; rules are in operators/rules.py."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-from .limits import Check, emote_side, size_limit
+from typing import NamedTuple
 
 # Fixed values of the container format.
 ICC, ALPHA, EXIF, XMP, ANIM = 0x20, 0x10, 0x08, 0x04, 0x02
-METADATA = {b"ICCP": "icc", b"EXIF": "exif", b"XMP ": "xmp"}
-BITSTREAMS = (b"VP8 ", b"VP8L")
-#: Milliseconds up to which players show a frame longer than asked, and from which a delay is safe.
-HELD_MS, SAFE_MS = 10, 20
+BITSTREAMS = ("VP8", "VP8L")
 
 
-@dataclass
-class Stream:
-    """What the header of a bitstream says; ``problem`` where it can't be read."""
+class Chunk(NamedTuple):
+    """One chunk; ``frame`` is the animation frame that holds it, or that it is. RIFF stands for the container itself."""
 
     kind: str
-    width: int = 0
-    height: int = 0
-    alpha: bool = False
-    problem: str = ""
-
-
-@dataclass
-class Frame:
-    x: int = 0
-    y: int = 0
-    width: int = 0
-    height: int = 0
-    ms: int = 0
-    stream: Stream | None = None
-    alpha: bool = False
-    problems: list[str] = field(default_factory=list)
-
-
-@dataclass
-class WebP:
+    frame: int | None = None
     size: int = 0
-    flags: int | None = None  # None without a VP8X chunk
-    width: int = 0
-    height: int = 0
-    loops: int | None = None  # None without an ANIM chunk
-    frames: list[Frame] = field(default_factory=list)
-    still: Stream | None = None
-    alpha_chunk: bool = False
-    metadata: set[str] = field(default_factory=set)
-    problems: list[str] = field(default_factory=list)
-
-    @property
-    def count(self) -> int:
-        return len(self.frames) or int(self.still is not None)
-
-    @property
-    def canvas(self) -> tuple[int, int]:
-        if self.flags is not None:
-            return self.width, self.height
-        return (self.still.width, self.still.height) if self.still else (0, 0)
-
-    @property
-    def alpha(self) -> bool:
-        """Whether any image carries alpha, by its chunks and bitstreams."""
-        return any(f.alpha for f in self.frames) or (self.still is not None and (self.alpha_chunk or self.still.alpha))
+    flags: int | None = None
+    width: int | None = None
+    height: int | None = None
+    x: int | None = None
+    y: int | None = None
+    ms: int | None = None
+    loops: int | None = None
+    alpha: bool | None = None
+    problem: str | None = None
 
 
 def _u24(b: bytes, at: int) -> int:
     return int.from_bytes(b[at : at + 3], "little")
 
 
-def chunks(data: bytes, problems: list[str]) -> Iterator[tuple[bytes, bytes]]:
-    """(name, payload) of consecutive chunks; the first broken one ends them and is noted."""
+def _pieces(data: bytes) -> Iterator[tuple[str, bytes | None]]:
+    """(name, payload) of consecutive chunks; a broken one has no payload and is the last."""
     at = 0
     while at < len(data):
-        head = data[at : at + 8]
-        size = int.from_bytes(head[4:], "little")
-        if len(head) < 8 or at + 8 + size > len(data):
-            problems.append(f"broken chunk at {at}")
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        at += 8
+        if at + size > len(data):
+            yield "cut", None
             return
-        yield head[:4], data[at + 8 : at + 8 + size]
-        at += 8 + size + (size & 1)
-
-
-def stream(kind: bytes, data: bytes) -> Stream:
-    name = kind.decode().strip()
-    if kind == b"VP8L":
-        if len(data) < 5 or data[0] != 0x2F:
-            return Stream(name, problem="no lossless header")
-        bits = int.from_bytes(data[1:5], "little")
-        return Stream(name, (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, bool(bits >> 28 & 1), "unknown version" if bits >> 29 else "")
-    if len(data) < 10 or data[0] & 1 or data[3:6] != b"\x9d\x01\x2a":
-        return Stream(name, problem="no key frame header")
-    w, h = (v & 0x3FFF for v in struct.unpack("<HH", data[6:10]))
-    return Stream(name, w, h, problem="" if w and h else "empty frame")
-
-
-def _frame(data: bytes) -> Frame:
-    if len(data) < 16:
-        return Frame(problems=["short frame header"])
-    f = Frame(2 * _u24(data, 0), 2 * _u24(data, 3), _u24(data, 6) + 1, _u24(data, 9) + 1, _u24(data, 12))
-    for name, body in chunks(data[16:], f.problems):
-        if name == b"ALPH":
-            f.alpha = True
-        elif name in BITSTREAMS and f.stream is None:
-            f.stream = stream(name, body)
-            f.alpha |= f.stream.alpha
-    if f.stream is None:
-        f.problems.append("no bitstream")
-    return f
-
-
-def parse(data: bytes) -> WebP:
-    """Facts of a container; ValueError where ``data`` is none."""
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
-        raise ValueError("not a WebP container")
-    out = WebP(len(data))
-    declared = int.from_bytes(data[4:8], "little")
-    if declared < 4:
-        out.problems.append("container size too small")
-    elif declared + 8 > len(data):
-        out.problems.append("container ends early")
-    if declared & 1:
-        out.problems.append("odd container size")
-    for i, (name, body) in enumerate(chunks(data[12 : 8 + max(declared, 4)], out.problems)):
-        if name == b"VP8X":
-            if i:
-                out.problems.append("VP8X isn't first")
-            if out.flags is not None:
-                out.problems.append("VP8X twice")
-            elif len(body) < 10:
-                out.problems.append("short VP8X")
-            else:
-                out.flags, out.width, out.height = body[0], _u24(body, 4) + 1, _u24(body, 7) + 1
-        elif name == b"ANIM":
-            if out.loops is not None:
-                out.problems.append("ANIM twice")
-            elif len(body) < 6:
-                out.problems.append("short ANIM")
-            else:
-                out.loops = int.from_bytes(body[4:6], "little")
-        elif name == b"ANMF":
-            out.frames.append(_frame(body))
-        elif name == b"ALPH":
-            out.alpha_chunk = True
-        elif name in BITSTREAMS:
-            if out.still is None:
-                out.still = stream(name, body)
-            else:
-                out.problems.append("several images")
-        elif name in METADATA:
-            out.metadata.add(METADATA[name])
-    wrong = {
-        "no image": not out.count,
-        "frames beside an image": bool(out.frames) and out.still is not None,
-        "frames without VP8X": bool(out.frames) and out.flags is None,
-        "frames without ANIM": bool(out.frames) and out.loops is None,
-        "ALPH without VP8X": out.alpha_chunk and out.flags is None,
-    }
-    out.problems += [name for name, so in wrong.items() if so]
-    return out
+        yield name.decode("latin-1").strip(), data[at : at + size]
+        at += size + size % 2
+
+
+def bitstream(kind: str, data: bytes, frame: int | None) -> Chunk:
+    """What the header of an encoded image says."""
+    if kind == "VP8L":
+        if data[:1] != b"\x2f" or len(data) < 5:
+            return Chunk(kind, frame, len(data), problem="no lossless header")
+        v = int.from_bytes(data[1:5], "little")
+        return Chunk(kind, frame, len(data), width=v % 16384 + 1, height=v // 16384 % 16384 + 1, alpha=v >> 28 & 1 == 1, problem="unknown version" if v >> 29 else None)
+    if len(data) < 10 or data[3:6] != b"\x9d\x01\x2a" or data[0] % 2:
+        return Chunk(kind, frame, len(data), problem="no key frame header")
+    w, h = (v % 16384 for v in struct.unpack("<HH", data[6:10]))
+    return Chunk(kind, frame, len(data), width=w, height=h, alpha=False, problem=None if w and h else "empty frame")
+
+
+def _read(kind: str, data: bytes, frame: int | None) -> Chunk:
+    if kind in BITSTREAMS:
+        return bitstream(kind, data, frame)
+    size = len(data)
+    if kind == "VP8X" and size >= 10:
+        return Chunk(kind, frame, size, flags=data[0], width=_u24(data, 4) + 1, height=_u24(data, 7) + 1)
+    if kind == "ANIM" and size >= 6:
+        return Chunk(kind, frame, size, loops=int.from_bytes(data[4:6], "little"))
+    if kind == "ANMF" and size >= 16:
+        return Chunk(kind, frame, size, x=2 * _u24(data, 0), y=2 * _u24(data, 3), width=_u24(data, 6) + 1, height=_u24(data, 9) + 1, ms=_u24(data, 12))
+    return Chunk(kind, frame, size, problem="short" if kind in ("VP8X", "ANIM", "ANMF") else None)
+
+
+def walk(data: bytes) -> Iterator[Chunk]:
+    """The container and all its chunks in order, a frame's own chunks right behind it; a file that is no container is one row."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        yield Chunk("none", problem="not a WebP container")
+        return
+    declared, frames = int.from_bytes(data[4:8], "little"), 0
+    yield Chunk("RIFF", size=declared)
+    for kind, body in _pieces(data[12 : 8 + max(declared, 4)]):
+        if body is None:
+            yield Chunk("cut")
+        elif kind == "ANMF":
+            yield _read(kind, body, frames)
+            for inner, own in _pieces(body[16:]):
+                yield Chunk("cut", frames) if own is None else _read(inner, own, frames)
+            frames += 1
+        else:
+            yield _read(kind, body, None)
 
 
 def chunk(name: bytes, body: bytes) -> bytes:
@@ -191,54 +117,3 @@ def mux(streams: list[tuple[bytes, bytes]], rects: list[tuple[int, int, int, int
         body += chunk(*streams[0])
     body += b"".join(chunk(n, b) for n, b in metadata)
     return b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WEBP" + body
-
-
-def _fits(f: WebP) -> bool:
-    """Whether the canvas is allowed, holds every frame, and bitstreams are as large as they are said to be."""
-    w, h = f.canvas
-    if w * h >= 1 << 32:
-        return False
-    if f.still is not None and (f.still.problem or (f.flags is not None and (f.still.width, f.still.height) != (w, h))):
-        return False
-    for r in f.frames:
-        if r.problems or r.stream is None or r.stream.problem or (r.stream.width, r.stream.height) != (r.width, r.height):
-            return False
-        if r.x + r.width > w or r.y + r.height > h:
-            return False
-    return True
-
-
-def lint(data: bytes, target: str = "") -> list[Check]:
-    """(rule, level, ok, can be fixed); no rule of these can be mended without encoding again."""
-    try:
-        f = parse(data)
-    except ValueError:
-        return [("webp.riff", "error", False, False)]
-    flag = f.flags or 0
-    plain = f.flags is None
-    moving = f.count > 1 or f.loops is not None or bool(flag & ANIM)
-    endless = not moving or f.loops == 0
-    # Without a target a finite number of plays is only told.
-    told = moving and bool(f.loops) and not target
-    shortest = min((r.ms for r in f.frames), default=SAFE_MS)
-    out = [
-        ("webp.riff", "error", not f.problems),
-        ("webp.anim-flag", "error", f.count <= 1 if plain else bool(flag & ANIM) == (f.count > 1)),
-        ("webp.alpha-flag", "error", plain or bool(flag & ALPHA) == f.alpha),
-        ("webp.loop-forever", "info" if told else "error", endless or told),
-        ("webp.canvas", "error", _fits(f)),
-        ("webp.no-metadata", "warn", not f.metadata and not flag & (ICC | EXIF | XMP)),
-        ("webp.min-delay", "info" if HELD_MS < shortest < SAFE_MS else "warn", shortest >= SAFE_MS),
-        *size_limit("webp", f.size, target),
-    ]
-    if target == "sticker":
-        out.append(("webp.sticker", "error", False))
-    elif target == "emote":
-        out.append(("webp.emote-dims", "warn", emote_side(*f.canvas)))
-    return [(*c, False) for c in out]
-
-
-def facts(data: bytes) -> dict[str, int]:
-    f = parse(data)
-    w, h = f.canvas
-    return {"width": w, "height": h, "frames": f.count, "delay_cs": sum(r.ms for r in f.frames) // 10, "colors": 0}

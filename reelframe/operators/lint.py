@@ -56,8 +56,12 @@ def neighbour_delay(frames: DataFrame) -> DataFrame:
     return frames.withColumn("delay", F.coalesce(F.last("delay", ignorenulls=True).over(back), F.first("delay", ignorenulls=True).over(ahead)))
 
 
-def apng_ms(num: Column, den: Column) -> Column:
-    """A frame's delay in whole milliseconds; a denominator of 0 means hundredths."""
+def apng_us(num: Column, den: Column) -> Column:
+    """A frame's delay in microseconds; a denominator of 0 means hundredths."""
     d = F.when(den == 0, 100).otherwise(den)
-    us = ((num * 1000000 + F.floor(d / 2)) / d).cast("long")
-    return F.floor((us + 500) / 1000).cast("long")
+    return ((num * 1000000 + F.floor(d / 2)) / d).cast("long")
+
+
+def apng_ms(num: Column, den: Column) -> Column:
+    """A frame's delay in whole milliseconds."""
+    return F.floor((apng_us(num, den) + 500) / 1000).cast("long")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..codecs import BUILT_IN, gif, plugin, png, stills, webp
-from . import raster
+from ..codecs import BUILT_IN, gif, plugin, png, stills
+from . import blocks, raster, rules
 
 FILES = "clip long, format string, content binary"
 
@@ -76,46 +77,38 @@ def made_files(rows: DataFrame, make: Callable[..., bytes]) -> DataFrame:
     return rows.mapInPandas(run, FILES + ", target string")
 
 
-FOUND = "clip long, rule string, level string, ok boolean, fixed boolean"
+#: Block table and rules of each animation format.
+RULES = {"gif": (blocks.gif_blocks, rules.gif_rules), "webp": (blocks.webp_chunks, rules.webp_rules), "apng": (blocks.png_parts, rules.png_rules), "png": (blocks.png_parts, rules.png_rules)}
 
 
-def _rules(fmt: str, data: bytes, target: str) -> list[tuple]:
-    if fmt == "gif":
-        return gif.lint(gif.parse(data), target)
-    return webp.lint(data, target) if fmt == "webp" else png.lint(data, target)
-
-
-def _found(files: DataFrame, target: str, rules: Callable[[str, bytes, str], list[tuple]]) -> DataFrame:
-    """The rules' rows of every file, for its own ``target`` where the table has such a column."""
-    own = files.select("clip", "format", "content", F.col("target") if "target" in files.columns else F.lit(target).alias("target"))
+def _aimed(files: DataFrame, target: str) -> DataFrame:
+    return files if "target" in files.columns else files.withColumn("target", F.lit(target))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(c, *r) for c, k, b, t in zip(f["clip"], f["format"], f["content"], f["target"], strict=True) for r in rules(k, bytes(b), t)]
-            yield pd.DataFrame(rows, columns=["clip", "rule", "level", "ok", "fixed"])
 
-    return own.mapInPandas(run, FOUND)
+def lint_files(files: DataFrame, target: str = "", formats: tuple[str, ...] = ("gif", "apng", "webp")) -> DataFrame:
+    """Findings (clip, format, target, rule, level, ok, fixed) on animations, for their own ``target`` where the table has such a column.
 
-
-def lint_files(files: DataFrame, target: str = "") -> DataFrame:
-    """Findings on animations (GIF, APNG, WebP)."""
-    return _found(files, target, _rules)
+    ``clip``, ``format`` and ``target`` name a file. Files of other formats have no findings.
+    """
+    aimed = _aimed(files, target)
+    found = [apply(table(aimed.where(F.col("format") == fmt))) for fmt, (table, apply) in RULES.items() if fmt in formats]
+    return reduce(DataFrame.unionByName, found)
 
 
 def lint_stills(files: DataFrame, target: str = "") -> DataFrame:
     """Findings on still images, from their headers alone."""
-    return _found(files, target, stills.lint)
+    return rules.still_rules(still_facts(_aimed(files, target)))
 
 
 def still_facts(files: DataFrame) -> DataFrame:
-    """Size and alpha of still images; what can't be read has a ``problem``."""
-    names = ["width", "height", "alpha", "animated", "problem"]
-
-    def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
-        got = stills.read(fmt, data)
-        return [(clip, fmt, *(getattr(got, n) for n in names))]
+    """Size and alpha of still images (clip, format, target, bytes, width, height, alpha, animated, problem); what can't be read has a ``problem``."""
+    @F.udf("struct<width: bigint, height: bigint, alpha: boolean, animated: boolean, problem: string>", useArrow=True)
+    def header(fmt: str, data: bytes):
+        got = stills.read(fmt, bytes(data or b""))
+        return got.width, got.height, got.alpha, got.animated, got.problem
 
-    return files.mapInPandas(_each(one, ["clip", "format", *names]), "clip long, format string, width int, height int, alpha boolean, animated boolean, problem string")
+    read = _aimed(files, "").withColumn("h", header("format", "content"))
+    return read.select("clip", "format", "target", F.octet_length("content").cast("long").alias("bytes"), F.col("h.width").cast("int").alias("width"), F.col("h.height").cast("int").alias("height"), "h.alpha", "h.animated", "h.problem")
 
 
 def _decoded(fmt: str, data: bytes) -> tuple[list[np.ndarray], list]:
@@ -125,8 +118,8 @@ def _decoded(fmt: str, data: bytes) -> tuple[list[np.ndarray], list]:
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """Frames as packed RGBA rows (clip, frame_idx, width, height, rgba, error); a file that can't be decoded is one row with its error."""
-    names = ["clip", "frame_idx", "width", "height", "rgba", "error"]
+    """Frames as packed RGBA rows (clip, format, frame_idx, width, height, rgba, error); a file that can't be decoded is one row with its error."""
+    names = ["clip", "format", "frame_idx", "width", "height", "rgba", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -134,36 +127,38 @@ def decode_files(files: DataFrame) -> DataFrame:
             for c, k, b in zip(f["clip"], f["format"], f["content"], strict=True):
                 try:
                     px, _ = _decoded(k, bytes(b))
-                    rows = [(c, i, p.shape[1], p.shape[0], p.tobytes(), None) for i, p in enumerate(px)]
+                    rows = [(c, k, i, p.shape[1], p.shape[0], p.tobytes(), None) for i, p in enumerate(px)]
                 except Exception as e:  # noqa: BLE001 - one bad file is a row, whatever its codec raises
-                    rows = [(c, None, None, None, None, str(e) or type(e).__name__)]
+                    rows = [(c, k, None, None, None, None, str(e) or type(e).__name__)]
                 yield pd.DataFrame(rows, columns=names).astype({"frame_idx": "Int64", "width": "Int32", "height": "Int32"})
 
-    return files.mapInPandas(run, "clip long, frame_idx long, width int, height int, rgba binary, error string")
+    return files.mapInPandas(run, "clip long, format string, frame_idx long, width int, height int, rgba binary, error string")
 
 
 def verify_files(files: DataFrame) -> DataFrame:
     """(clip, format, frames, ok): whether each file decodes to as many frames as its blocks announce."""
-    def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
-        try:
-            px, _ = _decoded(fmt, data)
-            said = gif.facts(data) if fmt == "gif" else png.facts(data) if fmt in ("apng", "png") else {"frames": len(px)}
-            return [(clip, fmt, len(px), bool(px) and len(px) == said["frames"])]
-        except Exception:  # noqa: BLE001 - what doesn't decode isn't verified, whatever its codec raises
-            return [(clip, fmt, 0, False)]
-
-    return files.mapInPandas(_each(one, ["clip", "format", "frames", "ok"]), "clip long, format string, frames int, ok boolean")
-
-
-def facts(files: DataFrame) -> DataFrame:
-    """Size, frames, length and colours from the blocks, without decoding."""
-    names = ["width", "height", "frames", "delay_cs", "colors"]
-
-    def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
-        got = (gif if fmt == "gif" else webp if fmt == "webp" else png).facts(data)
-        return [(clip, fmt, *(got[n] for n in names))]
-
-    return files.mapInPandas(_each(one, ["clip", "format", *names]), "clip long, format string, " + ", ".join(f"{n} int" for n in names))
+    decoded = decode_files(files).groupBy("clip", "format").agg(F.count("rgba").cast("int").alias("frames"), F.max("error").alias("error"))
+    said = facts(files, tuple(RULES)).select("clip", "format", F.col("frames").alias("said"))
+    # A format without a block table announces nothing.
+    ok = F.col("error").isNull() & (F.col("frames") > 0) & (F.col("frames") == F.coalesce("said", "frames"))
+    return decoded.join(said, ["clip", "format"], "left").select("clip", "format", "frames", ok.alias("ok"))
+
+
+def facts(files: DataFrame, formats: tuple[str, ...] = ("gif", "apng", "webp")) -> DataFrame:
+    """clip, format, width, height, frames, delay_cs, colors from the blocks, without decoding."""
+    out = []
+    for fmt in formats:
+        table = RULES[fmt][0]
+        own = _aimed(files, "").where(F.col("format") == fmt)
+        if fmt == "gif":
+            f = rules.gif_files(table(own)).select("clip", "format", "width", "height", "frames", "delay_cs", "colors")
+        elif fmt == "webp":
+            f = rules.webp_files(table(own)).select("clip", "format", "width", "height", F.col("images").alias("frames"), F.floor(F.col("ms") / 10).alias("delay_cs"), F.lit(0).alias("colors"))
+        else:
+            cs = F.aggregate("every", F.lit(0).cast("long"), lambda s, x: s + F.floor(x["num"] * 100 / F.when(x["den"] == 0, 100).otherwise(x["den"])).cast("long"))
+            f = rules.png_files(table(own)).select("clip", "format", "width", "height", F.greatest("frames", F.lit(1)).alias("frames"), cs.alias("delay_cs"), F.coalesce(F.floor(F.col("palette.part_size") / 3), F.lit(0)).alias("colors"))
+        out.append(f.select("clip", "format", *[F.col(c).cast("int").alias(c) for c in ("width", "height", "frames", "delay_cs", "colors")]))
+    return reduce(DataFrame.unionByName, out)
 
 
 def damage(files: DataFrame) -> DataFrame:
@@ -197,14 +192,17 @@ def damage(files: DataFrame) -> DataFrame:
 
 
 def fix_files(files: DataFrame) -> DataFrame:
-    """Mended files: whether anything changed, whether a second pass would change more, and whether fixable rules hold now."""
-    def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
-        mended = gif.fix(data)
-        after = gif.parse(mended)
-        ok = not after.problem and all(good for _, level, good, can in gif.lint(after) if can and level != "info")
-        return [(clip, fmt, mended, mended != data, gif.fix(mended) != mended, ok)]
-
-    return files.mapInPandas(_each(one, ["clip", "format", "content", "changed", "again", "ok"]), FILES + ", changed boolean, again boolean, ok boolean")
+    """Mended GIFs: whether anything changed, whether a second pass would change more, and whether fixable rules hold now."""
+    @F.udf("struct<content: binary, changed: boolean, again: boolean>", useArrow=True)
+    def mended(data: bytes):
+        data = bytes(data or b"")
+        out = gif.fix(data)
+        return out, out != data, gif.fix(out) != out
+
+    done = files.where(F.col("format") == "gif").withColumn("m", mended("content")).select("clip", "format", "m.*")
+    found = lint_files(done, formats=("gif",))
+    ok = F.bool_and(F.col("ok") | ~F.col("fixed") | (F.col("level") == "info")) & F.bool_and(F.col("ok") | (F.col("rule") != "gif.container"))
+    return done.join(found.groupBy("clip").agg(ok.alias("ok")), "clip")
 
 
 def diffuse(px: DataFrame, w: int, h: int, levels: int) -> DataFrame:

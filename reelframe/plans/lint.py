@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import lint as L
 from ..operators import media as M
+from ..operators import rules as U
+from ..sources import containers as C
 from ..sources import headers as H
 from ..sources import views as V
 from .registry import query
@@ -102,23 +105,23 @@ def lint_apng_delay(spark, d):
 @query("gif_encode")
 def gif_encode(spark, d):
     """A GIF a clip: palette, threshold, frames, loop; then parsed and linted."""
-    return M.lint_files(M.encode_clips(V.channels(spark, d), 4, 4, "gif")).select("clip", "rule", "level", "ok", "fixed")
+    return M.lint_files(M.encode_clips(V.channels(spark, d), 4, 4, "gif"), formats=("gif",)).select("clip", "rule", "level", "ok", "fixed")
 
 
 @query("apng_encode")
 def apng_encode(spark, d):
-    return M.lint_files(M.encode_clips(V.channels(spark, d), 4, 4, "apng")).select("clip", "rule", "level", "ok", "fixed")
+    return M.lint_files(M.encode_clips(V.channels(spark, d), 4, 4, "apng"), formats=("apng",)).select("clip", "rule", "level", "ok", "fixed")
 
 
 @query("gif_facts")
 def gif_facts(spark, d):
-    return M.facts(M.encode_clips(V.channels(spark, d), 4, 4, "gif")).drop("format")
+    return M.facts(M.encode_clips(V.channels(spark, d), 4, 4, "gif"), ("gif",)).drop("format")
 
 
 @query("probe")
 def probe(spark, d):
     files = M.encode_clips(V.channels(spark, d), 4, 4, "gif").unionByName(M.encode_clips(V.channels(spark, d), 4, 4, "apng"))
-    return M.facts(files)
+    return M.facts(files, ("gif", "apng"))
 
 
 @query("lint_fix")
@@ -158,7 +161,7 @@ def webp_lint(spark, d):
     facts = [(i % 3 + 1).cast("int"), (100 + i % 5 * 20).cast("int"), F.element_at(F.array(*map(F.lit, [5, 15, 40])), digit(96, 3) + 1), digit(24, 2), *[digit(k, 2) == 1 for k in (3, 6, 12, 48, 288)]]
     target = F.element_at(F.array(*map(F.lit, ["", "emote", "sticker", "attachment"])), digit(7, 4) + 1)
     made = M.made_files(V.read(spark, d, "documents").select(i.alias("clip"), F.lit("webp").alias("format"), target.alias("target"), *[f.alias(f"f{k}") for k, f in enumerate(facts)]), lambda fmt, *f: H.animation(*f))
-    return M.lint_files(made).select("clip", "rule", "level", "ok")
+    return M.lint_files(made, formats=("webp",)).select("clip", "rule", "level", "ok")
 
 
 _STILLS = """s AS (SELECT doc_id, ['png', 'webp', 'jpeg', 'avif'][doc_id % 4 + 1] AS format, 60 + doc_id // 4 % 40 * 10 AS w, 50 + doc_id // 9 % 30 * 10 AS h, doc_id // 4 % 2 = 1 AND doc_id % 4 <> 2 AS alpha,
@@ -212,13 +215,121 @@ SELECT clip, format, target, format || '.size-limit' AS rule, 'error' AS level,
 def lint_targets(spark, d):
     """Rules that a target adds, on real files of both formats."""
     px = V.channels(spark, d)
-    parts = []
-    for fmt in ("gif", "apng"):
-        files = M.encode_clips(px, 4, 4, fmt)
-        for target in ("emote", "sticker", "attachment"):
-            found = M.lint_files(files, target).where(F.col("rule").rlike(r"\.(size-limit|emote-dims|sticker.*|not-emote|attachment)$"))
-            parts.append(found.select("clip", F.lit(fmt).alias("format"), F.lit(target).alias("target"), "rule", "level", "ok"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    files = M.encode_clips(px, 4, 4, "gif").unionByName(M.encode_clips(px, 4, 4, "apng"))
+    aimed = files.withColumn("target", F.explode(F.array(*map(F.lit, ["emote", "sticker", "attachment"]))))
+    found = M.lint_files(aimed, formats=("gif", "apng")).where(F.col("rule").rlike(r"\.(size-limit|emote-dims|sticker.*|not-emote|attachment)$"))
+    return found.select("clip", "format", "target", "rule", "level", "ok")
+
+
+# -- sound and damaged files: rules over block tables, SQL reads the same files' scripts -------
+def _byte(at: int) -> str:
+    return f"TRY_CAST('0x' || substr(hex, {2 * at + 1}, 2) AS INT)"
+
+
+def _short(at: int) -> str:
+    return f"({_byte(at)} + 256 * {_byte(at + 1)})"
+
+
+def _long(at: int) -> str:
+    return f"TRY_CAST('0x' || substr(hex, {2 * at + 1}, 8) AS BIGINT)"
+
+
+_GIF_LINT = f"""WITH {C.scripts_sql(C.GIFS)},
+b AS (SELECT *, count(*) FILTER (kind = 'image') OVER (PARTITION BY clip ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS image FROM (SELECT clip, target, ord, kind, note, len(hex) // 2 AS bytes,
+  CASE kind WHEN 'header' THEN {_short(6)} WHEN 'image' THEN {_short(5)} END AS w, CASE kind WHEN 'header' THEN {_short(8)} WHEN 'image' THEN {_short(7)} END AS h, CASE kind WHEN 'image' THEN {_short(1)} + {_short(3)} END AS corner,
+  CASE kind WHEN 'header' THEN {_byte(11)} END AS background, CASE kind WHEN 'header' THEN {_byte(10)} WHEN 'image' THEN {_byte(9)} END AS flags,
+  CASE kind WHEN 'gce' THEN {_short(4)} END AS delay, CASE kind WHEN 'gce' THEN {_byte(3)} // 4 % 8 END AS disposal, CASE WHEN kind = 'gce' AND {_byte(3)} % 2 = 1 THEN {_byte(6)} END AS clear,
+  CASE WHEN kind = 'loop' AND substr(hex, 29, 4) = '0301' THEN {_short(16)} END AS loops FROM tok)),
+i AS (SELECT clip, image, count(*) FILTER (kind = 'image') = 1 AS shown, count(*) FILTER (kind = 'gce') AS controls, arg_max((delay, disposal, clear), ord) FILTER (kind = 'gce') AS c,
+  any_value((w, h, corner, flags, note)) FILTER (kind = 'image') AS p FROM b GROUP BY clip, image),
+im AS (SELECT clip, image, controls, c[1] AS delay, c[2] AS disposal, c[3] AS clear, p[1] AS w, p[2] AS h, p[3] AS corner, p[4] >= 128 AS local, p[4] // 64 % 2 = 1 AS interlaced, p[5] AS used FROM i WHERE shown),
+f AS (SELECT clip, any_value(target) AS target, sum(bytes) AS bytes, any_value(w) FILTER (kind = 'header') AS w, any_value(h) FILTER (kind = 'header') AS h, any_value(background) AS background, any_value(flags) FILTER (kind = 'header') >= 128 AS palette,
+  count(*) FILTER (kind = 'loop') AS loops, count(*) FILTER (kind = 'loop' AND image = 0) AS in_front, count(*) FILTER (kind = 'loop' AND loops IS NULL) AS odd, count(*) FILTER (loops > 0) AS finite,
+  count(*) FILTER (kind IN ('comment', 'app')) AS extra, count(*) FILTER (kind = 'trailer') AS trailer, count(*) FILTER (kind = 'problem') AS problem FROM b GROUP BY clip),
+g AS (SELECT clip, count(*) AS n, bool_and(controls = 1) AS even, bool_or(clear IS NOT NULL AND (used = '?' OR contains(used, clear::VARCHAR))) AS through, coalesce(bool_and(disposal IN (1, 2)), true) AS kept, coalesce(max(disposal), 0) < 3 AS mendable, list(clear) FILTER (clear IS NOT NULL) AS clears,
+  coalesce(min(delay), 9) >= 2 AS slow, coalesce(sum(delay), 0) AS cs, bool_or(local) AS local, bool_and(local) AS all_local, bool_or(interlaced) AS interlaced, arg_min((clear, w, h, corner, used, local), image) AS f0 FROM im GROUP BY clip),
+d AS (SELECT clip, count(*) FILTER (NOT shown AND controls > 0) AS dangling FROM i GROUP BY clip),
+x AS (SELECT f.*, coalesce(n, 0) AS n, even, through, kept, mendable, coalesce(clears, []) AS clears, slow, coalesce(cs, 0) AS cs, coalesce(local, false) AS local, coalesce(all_local, true) AS all_local, coalesce(interlaced, false) AS interlaced, f0[1] AS clear0, f0[5] AS used0, f0[6] AS local0, dangling,
+  f0[1] IS NULL AND (through OR f0[2] <> w OR f0[3] <> h OR f0[4] <> 0) AS missing FROM f LEFT JOIN g USING (clip) JOIN d USING (clip)),
+r AS (SELECT *, unnest([
+  {{rule: 'gif.gce-every-frame', level: 'error', ok: n > 0 AND coalesce(even, false), fixed: n > 0, shown: true}},
+  {{rule: 'gif.frame0-transparency', level: 'error', ok: NOT missing, fixed: missing AND palette AND NOT local0 AND used0 <> '?' AND len(used0) < 4, shown: n > 0}},
+  {{rule: 'gif.lsd-background-index', level: 'error', ok: CASE WHEN clear0 IS NOT NULL THEN background = clear0 ELSE NOT list_contains(clears, background) END, fixed: true, shown: true}},
+  {{rule: 'gif.disposal', level: 'error', ok: coalesce(kept, true), fixed: coalesce(mendable, true), shown: true}},
+  {{rule: 'gif.netscape-loop', level: 'error', ok: in_front > 0 AND odd = 0 AND (target = '' OR finite = 0), fixed: true, shown: true}},
+  {{rule: 'gif.min-delay', level: 'warn', ok: coalesce(slow, true), fixed: true, shown: true}},
+  {{rule: 'gif.global-palette', level: CASE WHEN target <> '' OR (NOT palette AND NOT all_local) THEN 'error' ELSE 'warn' END, ok: (palette OR all_local) AND NOT local, fixed: false, shown: true}},
+  {{rule: 'gif.no-interlace', level: 'warn', ok: NOT interlaced, fixed: false, shown: true}},
+  {{rule: 'gif.no-extra-extensions', level: 'info', ok: extra + dangling = 0, fixed: true, shown: true}},
+  {{rule: 'gif.first-frame-visible', level: 'warn', ok: clear0 IS NULL OR used0 <> clear0::VARCHAR, fixed: false, shown: n > 0 AND (clear0 IS NULL OR used0 <> '?')}},
+  {{rule: 'gif.trailer', level: 'error', ok: trailer > 0, fixed: true, shown: true}},
+  {{rule: 'gif.size-limit', level: 'error', ok: bytes <= 262144, fixed: false, shown: target <> ''}},
+  {{rule: 'gif.emote-dims', level: 'warn', ok: w <= 128 AND h <= 128, fixed: false, shown: target = 'emote'}},
+  {{rule: 'gif.sticker-dims', level: 'warn', ok: w <= 320 AND h <= 320, fixed: false, shown: target = 'sticker'}},
+  {{rule: 'gif.sticker-duration', level: 'error', ok: cs <= 500 AND (CASE WHEN cs > 0 THEN n * 100 <= 60 * cs ELSE n <= 1 END), fixed: false, shown: target = 'sticker'}}]) AS c FROM x)
+SELECT clip, target, 'gif.container' AS rule, 'error' AS level, problem = 0 AS ok, false AS fixed FROM f
+UNION ALL SELECT clip, target, c.rule, c.level, c.ok, c.fixed FROM r WHERE problem = 0 AND c.shown"""
+
+
+@query("gif_lint", _GIF_LINT)
+def gif_lint(spark, d):
+    """All rules of sound and damaged GIFs, from their block table."""
+    return U.gif_rules(B.gif_blocks(C.gifs(spark, d))).drop("format")
+
+
+_PNG_STEPS = f"""WITH RECURSIVE {C.scripts_sql(C.PNGS)},
+t AS (SELECT clip, ord, CASE WHEN kind = 'raw' THEN CASE WHEN len(hex) < 16 THEN 'stray' ELSE 'cut' END ELSE kind END AS kind, note, len(hex) // 2 AS size, hex, max(CASE WHEN kind = 'IEND' THEN ord END) OVER (PARTITION BY clip) AS last FROM tok),
+s AS (SELECT clip, -1::BIGINT AS ord, NULL::BIGINT AS colour, false AS head, NULL::BIGINT AS palette, NULL::BIGINT AS key, NULL::BIGINT AS control, 0::BIGINT AS frames, false AS def, 0::BIGINT AS filled, 0::BIGINT AS idat, 0::BIGINT AS fdat, false AS ended, 0::BIGINT AS parts, 0::BIGINT AS nxt, []::VARCHAR[] AS codes FROM files
+UNION ALL SELECT s.clip, t.ord,
+  CASE WHEN t.kind = 'IHDR' AND size = 13 AND NOT head THEN {_byte(9)} ELSE colour END, head OR (t.kind = 'IHDR' AND size = 13),
+  CASE WHEN t.kind = 'PLTE' AND palette IS NULL THEN CASE WHEN size % 3 = 0 AND size BETWEEN 1 AND 768 THEN size // 3 ELSE 0 END ELSE palette END,
+  CASE WHEN t.kind = 'tRNS' AND key IS NULL THEN size ELSE key END, CASE WHEN t.kind = 'acTL' AND size = 8 AND control IS NULL THEN {_long(0)} ELSE control END,
+  frames + (t.kind = 'fcTL' AND size = 26)::INT, CASE WHEN t.kind = 'fcTL' AND size = 26 THEN idat = 0 ELSE def END,
+  CASE WHEN t.kind = 'fcTL' AND size = 26 THEN 0 WHEN t.kind = 'IDAT' AND frames > 0 AND def OR t.kind = 'fdAT' AND size >= 4 AND frames > 0 AND NOT def THEN filled + 1 ELSE filled END,
+  idat + (t.kind = 'IDAT')::INT, fdat + (t.kind = 'fdAT')::INT, ended OR t.kind = 'IEND', parts + (t.kind NOT IN ('stray', 'cut'))::INT,
+  CASE WHEN t.kind = 'fcTL' AND size = 26 OR t.kind = 'fdAT' AND size >= 4 THEN {_long(0)} + 1 ELSE nxt END,
+  codes || list_filter([
+    CASE WHEN note = 'x' THEN 'crc' END, CASE WHEN t.kind IN ('stray', 'cut') THEN t.kind END,
+    CASE t.kind WHEN 'IHDR' THEN CASE WHEN head THEN 'ihdr-again' WHEN size <> 13 THEN 'ihdr-size' END WHEN 'PLTE' THEN CASE WHEN palette IS NOT NULL THEN 'plte-again' WHEN idat > 0 THEN 'plte-late' END WHEN 'tRNS' THEN CASE WHEN key IS NOT NULL THEN 'trns-again' WHEN idat > 0 THEN 'trns-late' END
+      WHEN 'acTL' THEN CASE WHEN control IS NOT NULL THEN 'actl-again' WHEN idat > 0 THEN 'actl-late' END WHEN 'fcTL' THEN CASE WHEN size <> 26 THEN 'fctl-size' WHEN idat = 0 AND frames > 0 THEN 'fctl-again' END
+      WHEN 'fdAT' THEN CASE WHEN size < 4 THEN 'fdat-size' WHEN frames = 0 THEN 'fdat-early' WHEN def THEN 'fdat-default' END WHEN 'IDAT' THEN CASE WHEN fdat > 0 THEN 'idat-late' END END,
+    CASE WHEN t.kind = 'IHDR' AND NOT head AND t.ord > 0 THEN 'ihdr-place' END,
+    CASE WHEN t.kind = 'IHDR' AND NOT head AND size = 13 AND ({_long(0)} NOT BETWEEN 1 AND 2147483647 OR {_long(4)} NOT BETWEEN 1 AND 2147483647) THEN 'ihdr-dimensions' END,
+    CASE WHEN t.kind = 'IHDR' AND NOT head AND size = 13 AND NOT list_contains([8, 1008, 2008, 3008, 4008, 6008, 16, 2016, 4016, 6016, 1, 2, 4, 3001, 3002, 3004], 1000 * {_byte(9)} + {_byte(8)}) THEN 'ihdr-depth' END,
+    CASE WHEN t.kind = 'IHDR' AND NOT head AND size = 13 AND {_byte(10)} + {_byte(11)} > 0 THEN 'ihdr-method' END, CASE WHEN t.kind = 'IHDR' AND NOT head AND size = 13 AND {_byte(12)} > 1 THEN 'ihdr-interlace' END,
+    CASE WHEN t.kind = 'PLTE' AND palette IS NULL AND key IS NOT NULL AND colour = 3 THEN 'plte-behind-trns' END, CASE WHEN t.kind = 'PLTE' AND palette IS NULL AND (size % 3 > 0 OR size NOT BETWEEN 1 AND 768) THEN 'plte-size' END,
+    CASE WHEN t.kind = 'acTL' AND control IS NULL THEN CASE WHEN size <> 8 THEN 'actl-size' WHEN {_long(0)} = 0 THEN 'actl-empty' END END,
+    CASE WHEN t.kind = 'fcTL' AND size = 26 AND {_byte(24)} > 2 THEN 'fctl-dispose' END, CASE WHEN t.kind = 'fcTL' AND size = 26 AND {_byte(25)} > 1 THEN 'fctl-blend' END,
+    CASE WHEN (t.kind = 'fcTL' AND size = 26 OR t.kind = 'fdAT' AND size >= 4) AND {_long(0)} <> nxt THEN 'sequence' END,
+    CASE WHEN (t.kind = 'fcTL' AND size = 26 OR t.kind = 'IEND') AND frames > 0 AND filled = 0 THEN 'frame-empty' END], lambda c: c IS NOT NULL)
+  FROM s JOIN t ON t.clip = s.clip AND t.ord = s.ord + 1 WHERE NOT s.ended),
+e AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY clip ORDER BY ord DESC) = 1)"""
+
+
+@query("png_grammar", _PNG_STEPS + """ SELECT clip, unnest(list_sort(list_distinct(codes || list_filter([
+  CASE WHEN parts = 0 THEN 'no-chunks' WHEN NOT head THEN 'no-ihdr' END, CASE WHEN idat = 0 THEN 'no-idat' END, CASE WHEN NOT ended THEN 'no-iend' END, CASE WHEN NOT ended AND frames > 0 AND filled = 0 THEN 'frame-empty' END,
+  CASE WHEN colour = 3 AND palette IS NULL THEN 'palette-missing' WHEN colour = 3 AND key > palette THEN 'trns-long' WHEN colour = 0 AND key <> 2 OR colour = 2 AND key <> 6 THEN 'trns-size' WHEN colour IN (4, 6) AND key IS NOT NULL THEN 'trns-alpha' END,
+  CASE WHEN control <> frames THEN 'actl-count' WHEN control IS NULL AND frames + fdat > 0 THEN 'no-actl' END], lambda c: c IS NOT NULL)))) AS code FROM e""")
+def png_grammar(spark, d):
+    """Every structural problem of sound and damaged PNGs and APNGs; SQL walks the chunks as an automaton."""
+    return U.png_problems(B.png_parts(C.pngs(spark, d))).select("clip", "code")
+
+
+@query("apng_lint", _PNG_STEPS + f""", u AS (SELECT s.clip, s.ord, t.hex FROM t JOIN s ON s.clip = t.clip AND s.ord = t.ord AND t.kind = 'fcTL' AND t.size = 26),
+w AS (SELECT clip, any_value({_long(0)}) AS w, any_value({_long(4)}) AS h FROM (SELECT clip, hex FROM t WHERE kind = 'IHDR' AND size = 13 QUALIFY row_number() OVER (PARTITION BY clip ORDER BY ord) = 1) GROUP BY clip),
+r AS (SELECT s.clip, row_number() OVER (PARTITION BY s.clip ORDER BY u.ord) AS n, {_long(4)} AS rw, {_long(8)} AS rh, {_long(12)} AS x, {_long(16)} AS y, 256 * {_byte(20)} + {_byte(21)} AS num, CASE WHEN 256 * {_byte(22)} + {_byte(23)} = 0 THEN 100 ELSE 256 * {_byte(22)} + {_byte(23)} END AS den, s.def FROM u JOIN s USING (clip, ord)),
+k AS (SELECT clip, bool_or(rw = 0 OR rh = 0 OR x + rw > coalesce(w, 0) OR y + rh > coalesce(h, 0) OR (def AND (x > 0 OR y > 0 OR rw <> w OR rh <> h))) AS outside, bool_or(num = 0) AS zero, min(((num * 1000000 + den // 2) // den + 500) // 1000) AS ms, sum((num * 1000000 + den // 2) // den) AS us, bool_or(n = 1 AND def) AS leads FROM r LEFT JOIN w USING (clip) GROUP BY clip),
+p AS (SELECT clip, target, e.*, coalesce(w, 0) AS w, coalesce(h, 0) AS h, coalesce(outside, false) AS outside, coalesce(zero, false) AS zero, coalesce(ms, 20) AS ms, coalesce(us, 0) AS us, coalesce(leads, false) AS leads, control IS NOT NULL AS moving, greatest(frames, 1) AS shown,
+  (SELECT substr(any_value(hex), 9, 8) FROM t WHERE t.clip = files.clip AND t.kind = 'acTL' AND t.size = 8) <> '00000000' AS counted FROM files JOIN e USING (clip) LEFT JOIN k USING (clip) LEFT JOIN w USING (clip)),
+q AS (SELECT *, (us + 500) // 1000 <= 5000 AND shown <= 1000 AND CASE WHEN us > 0 THEN shown * 1000000 <= 60 * us ELSE shown <= 1 END AS timed, w <= 320 AND h <= 320 AS fits FROM p),
+v AS (SELECT clip, target, unnest([
+  {{rule: 'apng.plays-forever', level: CASE WHEN moving AND counted AND target = '' THEN 'info' ELSE 'error' END, ok: NOT moving OR NOT counted OR target = '', shown: true}}, {{rule: 'apng.first-frame', level: 'warn', ok: NOT moving OR leads, shown: true}},
+  {{rule: 'apng.canvas', level: 'error', ok: w > 0 AND h > 0 AND NOT outside, shown: true}},
+  {{rule: 'apng.min-delay', level: CASE WHEN NOT moving OR frames = 0 OR zero OR ms >= 20 THEN CASE WHEN target = 'sticker' THEN 'error' ELSE 'warn' END WHEN ms <= 10 THEN 'warn' ELSE 'info' END, ok: NOT moving OR frames = 0 OR ms >= 20, shown: true}},
+  {{rule: 'apng.indexed', level: 'info', ok: coalesce(colour = 3, false) AND palette IS NOT NULL AND key IS NOT NULL, shown: true}}, {{rule: 'apng.size-limit', level: 'error', ok: true, shown: target <> ''}},
+  {{rule: 'apng.sticker', level: CASE WHEN timed AND NOT fits THEN 'warn' ELSE 'error' END, ok: timed AND fits, shown: target = 'sticker'}}, {{rule: 'apng.not-emote', level: 'error', ok: NOT moving, shown: target = 'emote'}},
+  {{rule: 'apng.attachment', level: 'info', ok: NOT moving, shown: target = 'attachment'}}]) AS c FROM q)
+SELECT clip, target, c.rule, c.level, c.ok FROM v WHERE c.shown""")
+def apng_lint(spark, d):
+    """Rules of sound and damaged APNGs, from their chunk table; the container's own problems are png_grammar's."""
+    return U.png_rules(B.png_parts(C.pngs(spark, d))).where("rule <> 'apng.container'").select("clip", "target", "rule", "level", "ok")
