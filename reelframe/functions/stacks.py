@@ -38,11 +38,16 @@ def too_large(w: Column, h: Column) -> Column:
     return (w > P.MAX_SIDE) | (h > P.MAX_SIDE) | (w * h > P.MAX_AREA)
 
 
-def scaled_for(w: Column, h: Column, box_w: Column, box_h: Column, fit: Column) -> tuple[Column, Column, Column, Column]:
-    """Size after scaling for a box and, for cover with both sides given, after the crop to it."""
-    sw, sh = P.scaled_size(w, h, box_w, box_h, fit)
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once: a lambda's variable stands for it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def scaled_for(w: Column, h: Column, box_w: Column, box_h: Column, fit: Column) -> Column:
+    """Size after scaling for a box (sw, sh) and, for cover with both sides given, after the crop to it (w, h)."""
     cut = (fit == "cover") & (box_w > 0) & (box_h > 0)
-    return sw, sh, F.when(cut, F.least(box_w, sw)).otherwise(sw), F.when(cut, F.least(box_h, sh)).otherwise(sh)
+    sw, sh = P.scaled_size(w, h, box_w, box_h, fit)
+    return let(F.struct(sw.alias("sw"), sh.alias("sh")), lambda z: F.struct(z["sw"].alias("sw"), z["sh"].alias("sh"), F.when(cut, F.least(box_w, z["sw"])).otherwise(z["sw"]).alias("w"), F.when(cut, F.least(box_h, z["sh"])).otherwise(z["sh"]).alias("h")))
 
 
 def _zero(x: Column, kind: str = "bigint") -> Column:
@@ -54,35 +59,45 @@ def _side(x: Column) -> Column:
     return F.greatest(F.lit(-(1 << 20)), F.least(F.lit(1 << 20), _zero(x)))
 
 
-def _crop(s: Column, p: Column) -> tuple[Column, Column, Column, Column]:
+def _frame(error: Column, w: Column, h: Column, alpha: Column) -> Column:
+    return F.struct(error.cast("string").alias("error"), w.cast("long").alias("w"), h.cast("long").alias("h"), alpha.alias("alpha"))
+
+
+def _crop(s: Column, p: Column) -> Column:
     w, h, x, y = (_side(p[c]) for c in "whxy")
     error = F.when(F.least(w, h) < 1, "size").when(F.least(x, y) < 0, "offset").when((x + w > s["w"]) | (y + h > s["h"]), "outside")
-    return error, w, h, s["alpha"]
+    return _frame(error, w, h, s["alpha"])
 
 
-def _resize(s: Column, p: Column) -> tuple[Column, Column, Column, Column]:
-    w, h, fit = _side(p["width"]), _side(p["height"]), fit_name(p["fit"])
-    sw, sh, out_w, out_h = scaled_for(s["w"], s["h"], w, h, fit)
-    error = (
-        F.when(fit.isNull(), "fit").when(F.least(w, h) < 0, "size").when(F.greatest(w, h) == 0, "missing")
-        .when(F.greatest(w, h) > P.MAX_SIDE, "side").when(too_large(sw, sh), "frame")
-    )
-    return error, out_w, out_h, s["alpha"]
+def _resize(s: Column, p: Column) -> Column:
+    def sized(b: Column) -> Column:
+        w, h = b["w"], b["h"]
 
+        def made(z: Column) -> Column:
+            error = (
+                F.when(b["fit"].isNull(), "fit").when(F.least(w, h) < 0, "size").when(F.greatest(w, h) == 0, "missing")
+                .when(F.greatest(w, h) > P.MAX_SIDE, "side").when(too_large(z["sw"], z["sh"]), "frame")
+            )
+            return _frame(error, z["w"], z["h"], s["alpha"])
 
-def _canvas(s: Column, p: Column) -> tuple[Column, Column, Column, Column]:
+        return let(scaled_for(s["w"], s["h"], w, h, b["fit"]), made)
+
+    return let(F.struct(_side(p["width"]).alias("w"), _side(p["height"]).alias("h"), fit_name(p["fit"]).alias("fit")), sized)
+
+
+def _canvas(s: Column, p: Column) -> Column:
     w, h, given = _side(p["width"]), _side(p["height"]), F.trim(F.coalesce(p["color"], F.lit("")))
     colour = P.normalize_hex(given)
     clear = (given == "") | ((F.length(colour) == 8) & (F.substring(colour, 7, 2) != "ff"))
     error = F.when(F.least(w, h) < 1, "size").when(F.greatest(w, h) > P.MAX_SIDE, "side").when(too_large(w, h), "frame").when((given != "") & colour.isNull(), "color")
     grown = (w > s["w"]) | (h > s["h"])
-    return error, w, h, s["alpha"] | (grown & clear)
+    return _frame(error, w, h, s["alpha"] | (grown & clear))
 
 
-def _rotate(s: Column, p: Column) -> tuple[Column, Column, Column, Column]:
+def _rotate(s: Column, p: Column) -> Column:
     turn = _zero(p["degrees"])
     side = turn.isin(90, 270)
-    return F.when(~turn.isin(90, 180, 270), "degrees"), F.when(side, s["h"]).otherwise(s["w"]), F.when(side, s["w"]).otherwise(s["h"]), s["alpha"]
+    return _frame(F.when(~turn.isin(90, 180, 270), "degrees"), F.when(side, s["h"]).otherwise(s["w"]), F.when(side, s["w"]).otherwise(s["h"]), s["alpha"])
 
 
 GEOMETRY = {"crop": _crop, "resize": _resize, "canvas": _canvas, "rotate": _rotate}
@@ -118,15 +133,20 @@ def _step(s: Column, op: Column, still: Column, single: Column, sequence: Column
     bad("fps", F.when(is_("fps") & (F.isnan(rate) | (rate <= 0) | (rate == float("inf"))), "rate"))
     out["fps"] = F.when(is_("fps"), rate).otherwise(s["fps"])
 
-    error, w, h, alpha = F.lit(None).cast("string"), s["w"], s["h"], s["alpha"]
+    # Only the branch of an operation's own kind is computed.
+    frame = F.lit(None)
     for name, apply in GEOMETRY.items():
-        e, nw, nh, na = apply(s, p)
-        error, w, h, alpha = F.when(is_(name), e).otherwise(error), F.when(is_(name), nw).otherwise(w), F.when(is_(name), nh).otherwise(h), F.when(is_(name), na).otherwise(alpha)
-    bad("frame", error)
-    # Behind an error nothing changes any more.
-    whole = out["bad_frame"].isNull()
-    out |= {"at": s["at"] + 1, "w": F.when(whole, w).otherwise(s["w"]), "h": F.when(whole, h).otherwise(s["h"]), "alpha": F.when(whole, alpha).otherwise(s["alpha"])}
-    return F.struct(*[out[c].alias(c) for c in STATE])
+        frame = F.when(is_(name), apply(s, p)) if name == "crop" else frame.when(is_(name), apply(s, p))
+    frame = frame.otherwise(_frame(F.lit(None), s["w"], s["h"], s["alpha"]))
+
+    def placed(g: Column) -> Column:
+        bad("frame", g["error"])
+        # Behind an error nothing changes any more.
+        fine = s["bad_frame"].isNull() & g["error"].isNull()
+        now = out | {"at": s["at"] + 1} | {c: F.when(fine, g[c]).otherwise(s[c]) for c in ("w", "h", "alpha")}
+        return F.struct(*[now[c].alias(c) for c in STATE])
+
+    return let(frame, placed)
 
 
 def round_to_micros(seconds: Column) -> Column:
@@ -170,7 +190,8 @@ def plan(clips: DataFrame) -> DataFrame:
 
     box_w, box_h, fit = _side(c("out_w")), _side(c("out_h")), fit_name(c("out_fit"))
     boxed = F.greatest(box_w, box_h) > 0
-    sw, sh, cut_w, cut_h = scaled_for(s["w"], s["h"], box_w, box_h, fit)
+    timed = timed.withColumn("_box", scaled_for(s["w"], s["h"], box_w, box_h, fit))
+    sw, sh, cut_w, cut_h = (c("_box")[k] for k in ("sw", "sh", "w", "h"))
     padded = boxed & (fit == "contain") & (box_w > 0) & (box_h > 0)
     out_error = F.when(fit.isNull(), "output:fit").when(F.least(box_w, box_h) < 0, "output:size").when(F.greatest(box_w, box_h) > P.MAX_SIDE, "output:side").when(boxed & too_large(sw, sh), "output:frame")
     w = F.when(padded, box_w).when(boxed, cut_w).otherwise(s["w"])
