@@ -11,9 +11,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import SCHEMA, published
 
+COLUMNS = ["job", "seq", "ts_ms", "stage", "percent"]
+#: A state goes when the events' own time has passed its last one by this; events later than that are left out.
 IDLE_MS = 3_600_000
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Events with their own time, which states time out by: a stream that has read all it has ends, whatever the clock says.
+
+    A stream's mark begins at time 0 and leaves out what isn't behind it; a log may begin there.
+    """
+    return events.select(*COLUMNS, F.timestamp_millis(F.col("ts_ms") + 1).alias("at")).withWatermark("at", f"{IDLE_MS // 1000} seconds")
+
+
+def _hold(state: GroupState, rows: pd.DataFrame) -> None:
+    state.setTimeoutTimestamp(max(int(rows["ts_ms"].max()), state.getCurrentWatermarkMs()) + IDLE_MS)
+
+
 def coalesce_stream(events: DataFrame) -> DataFrame:
     """The streaming form of ``operators.events.coalesce_events``: the state of a job is the time and stage that went out last.
 
@@ -28,13 +42,31 @@ def coalesce_stream(events: DataFrame) -> DataFrame:
         ms, stage = state.get if state.exists else (None, None)
         keep, ms, stage = published(rows, ms, stage)
         state.update((int(ms), stage))
-        state.setTimeoutDuration(IDLE_MS)
-        yield rows[keep]
+        _hold(state, rows)
+        yield rows.loc[keep, COLUMNS]
 
-    return events.select("job", "seq", "ts_ms", "stage", "percent").groupBy("job").applyInPandasWithState(step, SCHEMA, "ms long, stage string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _timed(events).groupBy("job").applyInPandasWithState(step, SCHEMA, "ms long, stage string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stage_rates(events: DataFrame, late: str = "1 minute", width: str = "10 seconds") -> DataFrame:
     """Events per stage and tumbling window; events later than ``late`` are left out."""
     timed = events.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
     return timed.groupBy(F.window("at", width), "stage").agg(F.count("*").alias("events"))
+
+
+def monotone_stream(events: DataFrame) -> DataFrame:
+    """Percents that never fall within a job's stage, with the highest so far as state: the streaming form of a running maximum."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("seq")
+        most = rows["percent"].cummax()
+        if state.exists:
+            most = most.clip(lower=state.get[0])
+        state.update((int(most.iloc[-1]),))
+        _hold(state, rows)
+        yield rows.assign(percent=most)[COLUMNS]
+
+    return _timed(events).groupBy("job", "stage").applyInPandasWithState(step, SCHEMA, "percent long", "append", GroupStateTimeout.EventTimeTimeout)
