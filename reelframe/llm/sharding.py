@@ -1,11 +1,11 @@
 """Shards of near equal bytes by longest-processing-time scheduling; equal texts stay together.
 
 Groups are taken from the largest to the smallest, and each goes to the shard with the least
-load so far, the top of a heap. The groups that hold a noticeable share of a shard, a bounded
-number of them, are scheduled first on the driver. The others are dealt by their digest over
-tasks that schedule side by side: each starts from its share of the loads so far and takes its
-own groups from the largest to the smallest, so that its last groups, the smallest, even out
-what the others left. With one task this is the sequential schedule itself.
+load so far, the top of a heap. The largest groups, a fixed number of them, are scheduled first
+on the driver. The others are dealt by their digest over tasks that schedule side by side:
+each starts from its share of the loads so far and takes its own groups from the largest to
+the smallest, so that its last groups, the smallest, even out what the others left. With one
+task this is the sequential schedule itself.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, attach
 
-#: A group over this part of a shard's mean load is scheduled on the driver: at most shards * LARGE groups.
+#: The shards * LARGE largest groups are scheduled on the driver.
 LARGE = 512
 #: Groups that one task schedules, about, until there are MOST_TASKS tasks.
 GROUPS_A_TASK, MOST_TASKS = 4096, 512
@@ -30,23 +30,23 @@ ROWS_A_PART = 4_000_000
 
 
 class Loads:
-    """Heap of (load, shard): the least loaded shard is on top, of equals the lowest."""
+    """Heap of (load, turn, shard): the least loaded shard is on top, of equals the lowest from shard ``first`` on."""
 
-    def __init__(self, start: list[int]):
-        self.heap = [(load, shard) for shard, load in enumerate(start)]
+    def __init__(self, start: list[int], first: int = 0):
+        self.heap = [(load, (shard - first) % len(start), shard) for shard, load in enumerate(start)]
         heapq.heapify(self.heap)
 
     def place(self, sizes: Iterable[int]) -> list[int]:
         """Shards of groups in the given order."""
         out, heap = [], self.heap
         for size in sizes:
-            load, shard = heap[0]
-            heapq.heapreplace(heap, (load + size, shard))
+            load, turn, shard = heap[0]
+            heapq.heapreplace(heap, (load + size, turn, shard))
             out.append(shard)
         return out
 
     def loads(self) -> list[int]:
-        return [load for load, _ in sorted(self.heap, key=lambda x: x[1])]
+        return [load for load, _, _ in sorted(self.heap, key=lambda x: x[2])]
 
 
 def measured(docs: DataFrame, by: str) -> DataFrame:
@@ -60,15 +60,18 @@ def measured(docs: DataFrame, by: str) -> DataFrame:
 def schedule(groups: DataFrame, shards: int) -> DataFrame:
     """``groups`` (digest, bytes, n) with a column shard."""
     spark = groups.sparkSession
-    total, count = groups.agg(F.sum("bytes"), F.count("*")).first()
-    big = F.col("bytes") * (shards * LARGE) > F.lit(total or 0)
-    large = groups.where(big).orderBy(F.desc("bytes"), "digest").collect()
+    count = groups.count()
+    large = groups.orderBy(F.desc("bytes"), "digest").limit(shards * LARGE).collect()
     loads = Loads([0] * shards)
     placed = loads.place(r["bytes"] for r in large)
     first = spark.createDataFrame([(bytes(r["digest"]), r["bytes"], r["n"], s) for r, s in zip(large, placed, strict=True)], "digest binary, bytes long, n long, shard int")
 
     tasks = int(min(MOST_TASKS, max(1, -(-count // GROUPS_A_TASK))))
-    small = groups.where(~big).withColumn("task", F.pmod(F.xxhash64("digest"), F.lit(tasks)).cast("int"))
+    behind = F.lit(False)
+    if len(large) == shards * LARGE:
+        least = large[-1]
+        behind = (F.col("bytes") < least["bytes"]) | ((F.col("bytes") == least["bytes"]) & (F.col("digest") > F.lit(bytearray(least["digest"]))))
+    small = groups.where(behind).withColumn("task", F.pmod(F.xxhash64("digest"), F.lit(tasks)).cast("int"))
     share = {r["task"]: r["b"] for r in small.groupBy("task").agg(F.sum("bytes").alias("b")).collect()}
     rest = max(1, sum(share.values()))
     start = {task: [load * own // rest for load in loads.loads()] for task, own in share.items()}
@@ -82,7 +85,7 @@ def schedule(groups: DataFrame, shards: int) -> DataFrame:
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b:
                     if task[a] != now:
-                        now, heap = task[a], Loads(start[int(task[a])])
+                        now, heap = task[a], Loads(start[int(task[a])], int(task[a]) % shards)
                     shard += heap.place(batch.column("bytes").slice(a, b - a).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("bytes"), batch.column("n"), pa.array(shard, pa.int32())], ["digest", "bytes", "n", "shard"])
 
