@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, released, sliced
@@ -281,6 +281,71 @@ def second_round(back: DataFrame, components: DataFrame, ok: PairFilter, marks:
     return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
+#: Members of a block of a list whose contents meet in one task, and pairs that are verified there at once.
+BLOCK, PAIRS = 2048, 2048
+
+
+def links_inside(back: DataFrame, components: DataFrame, ok: PairFilter, contents: Callable[[DataFrame, int], DataFrame], same: Callable[[list[bytes], list[bytes]], np.ndarray], kind: Column, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) that join different components inside the lists of ``back``, None where no list holds two.
+
+    Contents go to the lists, and pairs are verified where they meet: a pair that is no link
+    leaves no row, and pairs whose components have been joined on the way are left out, so a
+    block gives fewer links than it has members. A pair with several lists in common is
+    verified in one of them, which its ids choose, so that no list gets all pairs of a group;
+    ``kind`` tells apart postings whose filters may differ.
+    """
+    named = back.join(components, "id", "left").select("key", "id", "p", "q", kind.alias("kind"), F.coalesce("root", "id").alias("root"))
+    lists = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    mixed = scratch.save(named.join(lists.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "mixed")
+    ids = scratch.save(mixed.select("id").distinct(), "ids")
+    count = ids.count()
+    if not count:
+        return None
+    # As many keys as an item posts under at most.
+    keys = mixed.groupBy("id", "kind").agg(F.collect_set("key").alias("keys"))
+    known = scratch.save(keys.join(contents(ids, count), "id"), "known")
+    split = mixed.join(known, ["id", "kind"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "p", "q", "root", "keys", "content")
+    dealt = split.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, (x, y) in _groups(batches):
+            ids, p, q, own, content, key = t["id"], t["p"], t["q"], t["own"], t["content"], int(t["key"][0])
+            comp = np.unique(t["root"], return_inverse=True)[1]
+            keys = [set(k.tolist()) for k in t["keys"]]
+            links: list[tuple[int, int]] = []
+            waiting: list[tuple[int, int]] = []
+
+            def settle(waiting=waiting, links=links, comp=comp, content=content) -> None:
+                some = [(i, j) for i, j in waiting if comp[i] != comp[j]]
+                waiting.clear()
+                good = same([content[i] for i, _ in some], [content[j] for _, j in some])
+                for (i, j), linked in zip(some, good, strict=True):
+                    if linked and comp[i] != comp[j]:
+                        links.append((i, j))
+                        comp[comp == comp[j]] = comp[i]
+
+            b_side = np.flatnonzero(own == y)
+            for i in np.flatnonzero(own == x).tolist():
+                others = b_side[b_side > i] if x == y else b_side
+                others = others[comp[others] != comp[i]]
+                if len(others):
+                    near = others[ok((p[i], q[i]), (p[others], q[others]))]
+                    for j in near.tolist():
+                        common = keys[i] & keys[j]
+                        if len(common) == 1 or sorted(common)[int(ids[i] ^ ids[j]) % len(common)] == key:
+                            waiting.append((i, j))
+                    if len(waiting) >= PAIRS:
+                        settle()
+            settle()
+            if links:
+                both = ids[np.array(links)]
+                yield pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
+
+    return scratch.save(dealt.mapInArrow(released(run), "a long, b long").distinct(), "links")
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], tuple[int, int]]]:
     """Whole groups of (key, x, y); blocks bound their size to about twice PIECE."""
     rest: dict[str, np.ndarray] | None = None
@@ -367,13 +432,14 @@ def verified(pairs: DataFrame, contents: DataFrame, same: Callable[[list[bytes],
 Check = tuple[Callable[[DataFrame, int], DataFrame], Callable[[list[bytes], list[bytes]], np.ndarray]]
 
 
-def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch: Scratch, marks: DataFrame | None = None, may: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
+def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch: Scratch, marks: DataFrame | None = None, may: Callable[[bytes, bytes], bool] | None = None, kind: Column | None = None) -> DataFrame:
     """(id, root) of all items with a link.
 
     ``postings`` (key, id, p, q): two similar items share a key and pass ``ok`` there.
     Candidates pass through ``checks`` in turn, cheap contents first; the last one decides.
     Where all items have a small content of their own, ``marks`` (id, content), the second
-    round asks ``may`` about two of them inside the lists, before it makes a pair.
+    round asks ``may`` about two of them inside the lists, before it makes a pair. With ``kind``
+    (see ``links_inside``) it verifies inside the lists.
     """
     listed = scratch.save(first_round(postings, ok), "listed")
     back = listed.where("kind = 1").drop("kind")
@@ -393,8 +459,8 @@ def components(postings: DataFrame, ok: PairFilter, checks: list[Check], scratch
 
     links = check(listed.where("kind = 0").select(F.col("key").alias("a"), F.col("id").alias("b")).distinct())
     first = connected_components(links, scratch)
-    more = check(second_round(back, first, ok, marks, may))
-    if more.isEmpty():
+    more = check(second_round(back, first, ok, marks, may)) if kind is None else links_inside(back, first, ok, *checks[-1], kind, scratch)
+    if more is None or more.isEmpty():
         return first
     name = first.withColumnsRenamed({"id": "a", "root": "x"}), first.withColumnsRenamed({"id": "b", "root": "y"})
     between = more.join(name[0], "a", "left").join(name[1], "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
