@@ -32,6 +32,39 @@ def canonical(json: Column) -> Column:
     return F.transform(F.array(F.from_json(json, RECIPE)), _written)[0]
 
 
+#: Where a number may need another spelling, and a JSON text cut into its strings, its numbers and the rest.
+UNUSUAL, TOKENS = r"[0-9]E|\.[0-9]*0[,}\]]|[0-9]{16}", r'("(?:[^"\\]|\\.)*"|-?[0-9][-+.eE0-9]*|[^"0-9-]+)'
+
+
+def plain_number(token: Column) -> Column:
+    """A JSON number as its nearest double's shortest digits: with an exponent below 1e-6 and from 1e21 on, else written out."""
+
+    def spelled(text: Column) -> Column:
+        part = lambda of, sep, n: F.split_part(of, F.lit(sep), F.lit(n))
+        sign, size = F.when(text.startswith("-"), "-").otherwise(""), F.ltrim(text, F.lit("-"))
+        mantissa, power = part(size, "E", 1), F.coalesce(F.nullif(part(size, "E", 2), F.lit("")).cast("int"), F.lit(0))
+        whole, rest = part(mantissa, ".", 1), F.regexp_replace(part(mantissa, ".", 2), "0+$", "")
+        dotted = lambda a, b: F.concat(a, F.when(b != "", F.concat(F.lit("."), b)).otherwise(""))
+        scientific = F.concat(dotted(whole, rest), F.when(power < 0, "e-").otherwise("e+"), F.abs(power).cast("string"))
+        large = dotted(F.concat(whole, F.rpad(F.substring(rest, F.lit(1), power), power, "0")), F.substring(rest, power + 1, F.length(rest)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), whole, rest)
+        return F.concat(sign, F.when((power >= 21) | (power < -6), scientific).when(power == 0, dotted(whole, rest)).when(power > 0, large).otherwise(small))
+
+    return F.transform(F.array(token.cast("double").cast("string")), spelled)[0]
+
+
+def plain_numbers(json: Column) -> Column:
+    """Numbers outside strings spelled as ``plain_number`` does."""
+    tokens = F.transform(F.regexp_extract_all(json, F.lit(TOKENS), F.lit(1)), lambda t: F.when(t.rlike("^-?[0-9]"), plain_number(t)).otherwise(t))
+    return F.when(json.rlike(UNUSUAL), F.concat_ws("", tokens)).otherwise(json)
+
+
+def fps_spelled(output: Column) -> Column:
+    """An output's text with its rate spelled as ``plain_number`` does; its other numbers are whole and stay exact."""
+    rate = F.regexp_extract(output, r'"fps":(-?[0-9][-+.eE0-9]*)', 1)
+    return F.when(rate.rlike(r"[.eE]|[0-9]{16}"), F.replace(output, F.concat(F.lit('"fps":'), rate), F.concat(F.lit('"fps":'), plain_number(F.nullif(rate, F.lit("")))))).otherwise(output)
+
+
 def _written(recipe: Column) -> Column:
     """Canonical text of a recipe's typed value. A lambda's variable stands for the value, so that the JSON text is parsed once."""
 
@@ -47,7 +80,7 @@ def _written(recipe: Column) -> Column:
     ops = F.transform(recipe["ops"], lambda op: F.struct(F.coalesce(op["kind"], F.lit("")).alias("kind"), F.when(~F.is_variant_null(op["params"]), op["params"]).alias("params")))
     text = F.concat(
         F.lit(f'{{"v":{VERSION},"sources":'), F.coalesce(F.to_json(recipe["sources"]), F.lit("null")),
-        F.lit(',"ops":'), F.coalesce(F.to_json(ops), F.lit("[]")), F.lit(',"output":'), F.to_json(output), F.lit("}"),
+        F.lit(',"ops":'), F.coalesce(plain_numbers(F.to_json(ops)), F.lit("[]")), F.lit(',"output":'), fps_spelled(F.to_json(output)), F.lit("}"),
     )
     # These only occur inside strings, where the canonical form escapes them.
     for c in "<>&\u2028\u2029":
