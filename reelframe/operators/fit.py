@@ -69,6 +69,26 @@ def fallback(outcomes: DataFrame) -> DataFrame:
     return left.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def trace(outcomes: DataFrame) -> DataFrame:
+    """One row a clip with what its search reports: best, alternatives, skipped, failed (rungs in order), rule, ok, fallback.
+
+    ``outcomes``: clip, rung, outcome (mild, refine, skipped, failed), harsh, sound. The search
+    is a machine over the rungs in order that ends where its window does: ALTERNATIVES rungs
+    behind the first that fits, or at the last rung where none does. What lies behind the end
+    is not reported. Where nothing fits, rule ``fit.target`` fails, and the rung that comes nearest
+    is named: structurally sound first, then fewest bytes. A ladder is a few rungs.
+    """
+    fits = F.col("outcome").isin("mild", "refine")
+    step = F.struct("rung", "outcome")
+    near = F.min_by("rung", F.when(F.col("outcome") != "failed", F.struct(~F.col("sound"), F.col("harsh"), F.col("rung"))))
+    found = outcomes.groupBy("clip").agg(F.min(F.when(fits, F.col("rung"))).alias("best"), F.max("rung").alias("last"), F.array_sort(F.collect_list(step)).alias("steps"), near.alias("near"))
+    end = F.coalesce(F.least(F.col("best") + ALTERNATIVES, F.col("last")), F.col("last"))
+    seen = found.withColumn("steps", F.filter("steps", lambda x: x["rung"] <= end))
+    of = lambda name, *kinds: F.transform(F.filter("steps", lambda x: x["outcome"].isin(*kinds) & (~x["rung"].eqNullSafe(F.col("best")))), lambda x: x["rung"]).alias(name)
+    ok = F.col("best").isNotNull()
+    return seen.select("clip", "best", of("alternatives", "mild", "refine"), of("skipped", "skipped"), of("failed", "failed"), F.lit("fit.target").alias("rule"), ok.alias("ok"), F.when(~ok, F.col("near")).alias("fallback"))
+
+
 def search(curve: DataFrame, target: Column, mild: int = 30, harsh: int = 150, sized: Callable[[Column, Column], Column] = None) -> DataFrame:
     """clip, rung, knob, bytes, encodes: the largest candidate of every rung under the budget, nulls where none fits.
 

@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import fitting, frames, jobs, lint, pixels, planner, stacks, store, streams  # noqa: F401, E402, I001  (registering)
+from . import fitting, frames, jobs, lint, pixels, planner, probing, stacks, store, streams  # noqa: F401, E402, I001  (registering)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -59,6 +59,20 @@ def fit_fallback(spark, d):
     return T.fallback(o.withColumn("sound", F.col("rung") % 3 != 0)).select("clip", "rung", "harsh")
 
 
+_LIST = "coalesce(string_agg(rung::VARCHAR, ',' ORDER BY rung) FILTER ({} AND rung <= ends AND rung IS DISTINCT FROM best), '')"
+
+
+@query("fit_trace", _OUT + f""", t AS (SELECT clip, rung, harsh, rung % 3 <> 0 AS sound, CASE WHEN (clip + rung) % 5 = 0 THEN 'failed' ELSE outcome END AS outcome FROM o),
+e AS (SELECT *, least(coalesce(min(rung) FILTER (outcome IN ('mild', 'refine')) OVER w + 2, 99), max(rung) OVER w) AS ends, min(rung) FILTER (outcome IN ('mild', 'refine')) OVER w AS best FROM t WINDOW w AS (PARTITION BY clip))
+SELECT clip, any_value(best) AS best, {_LIST.format("outcome IN ('mild', 'refine')")} AS alternatives, {_LIST.format("outcome = 'skipped'")} AS skipped, {_LIST.format("outcome = 'failed'")} AS failed, 'fit.target' AS rule, any_value(best) IS NOT NULL AS ok,
+ CASE WHEN any_value(best) IS NULL THEN arg_min(rung, (NOT sound, harsh, rung)) FILTER (outcome <> 'failed') END AS fallback FROM e GROUP BY clip""")
+def fit_trace(spark, d):
+    """What a search reports inside its window, and the rule that blocks where nothing fits; every fifth rung fails."""
+    o = T.rung_outcomes(V.curve(spark, d), _target()).withColumn("sound", F.col("rung") % 3 != 0)
+    out = T.trace(o.withColumn("outcome", F.when((F.col("clip") + F.col("rung")) % 5 == 0, "failed").otherwise(F.col("outcome"))))
+    return out.select("clip", "best", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("alternatives", "skipped", "failed")], "rule", "ok", "fallback")
+
+
 _BYTES = "(base * (1000 - 4 * {k}) // 1000)"
 _SEARCH = C + f""", start AS (SELECT clip, rung, base, floor({_TARGET} * 0.98::DOUBLE)::BIGINT AS most, ceil({_TARGET} * 0.96::DOUBLE)::BIGINT AS least FROM v_curve),
 probed AS (SELECT *, (ln(greatest(1, most)::DOUBLE) + ln(greatest(1, least)::DOUBLE)) / 2 AS aim, {_BYTES.format(k=30)} AS soft, {_BYTES.format(k=150)} AS hard FROM start),
