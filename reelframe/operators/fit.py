@@ -183,6 +183,12 @@ def knob_value(fmt: Column, knob: Column) -> Column:
     return F.when(fmt == "gif", knob).when(fmt == "apng", halved).when(fmt == "png", F.when(knob % 3 == 0, F.lit(0).cast("long")).otherwise(halved)).otherwise(quality)
 
 
+def filtered(rungs: DataFrame) -> DataFrame:
+    """``rungs`` (job, ladder, idx, fps, colors, px, dither, keep_size, keep_fps, most) as their job wants them: kept sides, rates and colour limits are the master's own (null), and of rungs that then agree the mildest stays."""
+    kept = rungs.withColumns({"px": F.when(~F.col("keep_size"), F.col("px")), "fps": F.when(~F.col("keep_fps"), F.col("fps")), "colors": F.when(F.col("most").isNull() | (F.col("colors") < F.col("most")), F.col("colors"))})
+    return distinct_rungs(kept, ["job", "ladder"])
+
+
 def label(fps: Column, colors: Column, px: Column) -> Column:
     rate = F.when(fps == F.floor(fps), fps.cast("long").cast("string")).otherwise(fps.cast("string"))
     text = F.concat_ws(" · ", F.concat(rate, F.lit(" fps")), F.concat(colors, F.lit(" colours")), F.concat(px, F.lit(" px")))

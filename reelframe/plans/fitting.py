@@ -93,9 +93,24 @@ _LADDERS = ", ".join("('%s', %d, %s, %s, %s, %s)" % (name, i, *(("NULL" if v is
 _LADDER_TABLE = f"ladders AS (SELECT ladder, idx, fps::DOUBLE AS fps, colors::INT AS colors, px::INT AS px, dither FROM (VALUES {_LADDERS}) AS t(ladder, idx, fps, colors, px, dither))"
 
 
-@query("ladder_preset", f"WITH {_LADDER_TABLE} SELECT ladder, idx, fps, colors, px, dither FROM ladders")
+_ASKED = f"asked AS (SELECT o_orderkey AS job, {V._list(list(T.LADDERS))}[o_custkey % 5 + 1] AS ladder, o_orderkey % 2 = 0 AS keep_size, o_custkey % 3 = 0 AS keep_fps, CASE WHEN o_custkey % 4 > 0 THEN 16 + o_orderkey % 241 END AS most FROM orders)"
+
+
+def asked(spark, d):
+    """An order asks for a ladder: job, ladder, keep_size, keep_fps, most (colours, null for no limit)."""
+    o = V.read(spark, d, "orders")
+    ladder = F.element_at(F.array(*map(F.lit, T.LADDERS)), (F.col("o_custkey") % 5 + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("job"), ladder.alias("ladder"), (F.col("o_orderkey") % 2 == 0).alias("keep_size"), (F.col("o_custkey") % 3 == 0).alias("keep_fps"), F.when(F.col("o_custkey") % 4 > 0, 16 + F.col("o_orderkey") % 241).alias("most"))
+
+
+def chosen(spark, d):
+    """The rungs of the ladder that each order asks for; the ladders are a table of fixed size."""
+    return asked(spark, d).join(F.broadcast(T.ladders(spark)), "ladder")
+
+
+@query("ladder_preset", f"WITH {_LADDER_TABLE}, {_ASKED} SELECT job, ladder, idx, fps, colors, px, dither FROM asked JOIN ladders USING (ladder)")
 def ladder_preset(spark, d):
-    return T.ladders(spark)
+    return chosen(spark, d).select("job", "ladder", "idx", "fps", "colors", "px", "dither")
 
 
 @query("ladder_realise", R + f", m AS (SELECT DISTINCT fps AS mfps, greatest(w, h) AS side FROM v_recipes), {_LADDER_TABLE} SELECT mfps, side, ladder, idx, CASE WHEN fps < mfps - 1e-6 THEN fps END AS fps, colors, CASE WHEN px < side THEN px END AS px FROM m, ladders WHERE ladder = 'emote_gif'")
@@ -111,11 +126,13 @@ def ladder_dedupe(spark, d):
     return T.distinct_rungs(T.realise(m, "emote_webp"), ["mfps", "side"]).select("mfps", "side", "idx", "fps", "px")
 
 
-@query("ladder_filter", f"WITH {_LADDER_TABLE} SELECT ladder, min(idx) AS idx, fps, CASE WHEN colors < 128 THEN colors END AS colors FROM ladders GROUP BY ladder, fps, CASE WHEN colors < 128 THEN colors END, dither")
+_LABEL = "(SELECT CASE WHEN l = '' THEN 'master settings' ELSE l END FROM (SELECT concat_ws(' · ', CASE WHEN fps IS NOT NULL THEN (CASE WHEN fps = floor(fps) THEN fps::BIGINT::VARCHAR ELSE fps::VARCHAR END) || ' fps' END, colors || ' colours', px || ' px') AS l))"
+
+
+@query("ladder_filter", f"WITH {_LADDER_TABLE}, {_ASKED}, k AS (SELECT job, ladder, idx, CASE WHEN NOT keep_fps THEN fps END AS fps, CASE WHEN most IS NULL OR colors < most THEN colors END AS colors, CASE WHEN NOT keep_size THEN px END AS px, dither FROM asked JOIN ladders USING (ladder)), u AS (SELECT job, ladder, min(idx) AS idx, fps, colors, px, dither FROM k GROUP BY ALL) SELECT job, ladder, idx, fps, colors, px, {_LABEL} AS label FROM u")
 def ladder_filter(spark, d):
-    """Keep the size, and clamp colours to the user's 128: rungs that then agree fall together."""
-    lad = T.ladders(spark).withColumns({"px": F.lit(None).cast("int"), "colors": F.when(F.col("colors") < 128, F.col("colors"))})
-    return T.distinct_rungs(lad, ["ladder"]).select("ladder", "idx", "fps", "colors")
+    """Keep the size, keep the rate, clamp colours to the user's own: rungs that then agree fall together and get new labels."""
+    return T.filtered(chosen(spark, d)).select("job", "ladder", "idx", "fps", "colors", "px", T.label(F.col("fps"), F.col("colors"), F.col("px")).alias("label"))
 
 
 @query("ladder_generic", R + """, m AS (SELECT DISTINCT fps AS mfps FROM v_recipes), x AS (SELECT mfps, 0 AS part, 0 AS k, NULL::DOUBLE AS fps, NULL::INT AS colors, 1.0::DOUBLE AS scale FROM m
@@ -144,9 +161,11 @@ def ladder_optimize(spark, d):
 _KNOBS = ", ".join(f"('{f}', {', '.join(map(str, k))})" for f, k in T.KNOBS.items())
 
 
-@query("knob_table", f"SELECT * FROM (VALUES {_KNOBS}) AS t(format, lo, hi, mild, harsh)")
+@query("knob_table", f"SELECT o_orderkey AS job, k.* FROM (SELECT o_orderkey, {V._list(list(T.KNOBS))}[o_orderkey % 7 + 1] AS format FROM orders) JOIN (SELECT * FROM (VALUES {_KNOBS}) AS t(format, lo, hi, mild, harsh)) k USING (format)")
 def knob_table(spark, d):
-    return T.knobs(spark)
+    """The knob of each order's format."""
+    fmt = F.element_at(F.array(*map(F.lit, T.KNOBS)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return V.read(spark, d, "orders").select(F.col("o_orderkey").alias("job"), fmt.alias("format")).join(F.broadcast(T.knobs(spark)), "format").select("job", "format", "lo", "hi", "mild", "harsh")
 
 
 @query("knob_colour_steps", R + "SELECT DISTINCT c AS colors, CASE WHEN c > 64 THEN ceil(log2((c + 1) / 65.0))::INT ELSE 0 END AS steps FROM (SELECT q * 5 + 2 AS c FROM v_recipes)")
@@ -177,9 +196,9 @@ def reported_size(spark, d):
     return b.select("doc_id", F.when(~F.coalesce("ok", F.lit(True)) & ~F.coalesce(F.col("rule").endswith(".size-limit"), F.lit(False)), F.lit(2147483647).cast("long")).otherwise(F.col("size")).alias("bytes"))
 
 
-@query("fit_labels", f"WITH {_LADDER_TABLE} SELECT ladder, idx, CASE WHEN l = '' THEN 'master settings' ELSE l END AS label FROM (SELECT ladder, idx, concat_ws(' · ', CASE WHEN fps IS NOT NULL THEN (CASE WHEN fps = floor(fps) THEN fps::BIGINT::VARCHAR ELSE fps::VARCHAR END) || ' fps' END, colors || ' colours', px || ' px') AS l FROM ladders)")
+@query("fit_labels", f"WITH {_LADDER_TABLE}, {_ASKED} SELECT job, ladder, idx, {_LABEL} AS label FROM asked JOIN ladders USING (ladder)")
 def fit_labels(spark, d):
-    return T.ladders(spark).select("ladder", "idx", T.label(F.col("fps"), F.col("colors"), F.col("px")).alias("label"))
+    return chosen(spark, d).select("job", "ladder", "idx", T.label(F.col("fps"), F.col("colors"), F.col("px")).alias("label"))
 
 
 @query("variant_key", R + "SELECT k1, k2, k3, k4, dense_rank() OVER (PARTITION BY k1 ORDER BY fps, box_w, box_h) AS shared FROM v_recipes")
