@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INFO_VERSION = 6
@@ -81,18 +85,34 @@ def sweep_ttl(rows: DataFrame, ttl_us: int, grace_us: int) -> DataFrame:
     return aged.withColumn("why", why).where((F.col("age") > grace_us) & F.col("why").isNotNull())
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where the session names none, one of a local session's own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/reelframe-{label}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def running_total(rows: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Sum of ``value`` up to each row in a global order, without one task that holds all rows.
 
-    Rows are range-partitioned; totals of the partitions, one row each, give every partition
-    its base, and windows run inside partitions. Ties in ``order`` must be broken by it.
+    Rows are range-partitioned and written with their partition's number, so that totals and
+    rows agree whatever is run again; totals of the partitions, one row each, give every
+    partition its base, and windows run inside partitions. Ties in ``order`` must be broken by
+    it. Columns of ``rows`` may have any other name than ``out``.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranged.withColumn(out, F.sum(value).over(w))
-    totals = inside.groupBy("_part").agg(F.max(F.struct(*order)).alias("_last"), F.sum(value).alias("_sum"))
-    base = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_last")) - F.col("_sum")).alias("_base"))
-    return inside.join(F.broadcast(base), "_part").withColumn(out, F.col(out) + F.col("_base")).drop("_part", "_base")
+    spark, taken = rows.sparkSession, {c.lower() for c in rows.columns}
+    part, base, last, total = (next(n for n in (f"{b}{'_' * k}" for k in range(1, len(taken) + 2)) if n not in taken) for b in ("part", "base", "last", "total"))
+    at = f"{shared_folder(spark, 'ranges')}/rows"
+    ranged = rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    ranged.write.parquet(at)
+    held = spark.read.schema(ranged.schema).parquet(at)
+    totals = held.groupBy(part).agg(F.max(F.struct(*order)).alias(last), F.sum(value).alias(total))
+    bases = totals.select(part, (F.sum(total).over(Window.orderBy(last)) - F.col(total)).alias(base))
+    inside = held.withColumn(out, F.sum(value).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.join(F.broadcast(bases), part).withColumn(out, F.col(out) + F.col(base)).drop(part, base)
 
 
 def sweep_size(rows: DataFrame, order: list[str], cap: int) -> DataFrame:

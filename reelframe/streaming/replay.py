@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where the session names none, one of a local session's own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.gettempdir()}/reelframe-streams"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..operators.storage import shared_folder
 
 
 def feed(rows: DataFrame, batch: str, batches: int, folder: str) -> None:
@@ -38,7 +27,7 @@ def replay(rows: DataFrame, batch: str, batches: int, query: Callable[[DataFrame
     it was; the sink's files are read back as a table.
     """
     spark = rows.sparkSession
-    at = shared_folder(spark)
+    at = shared_folder(spark, "stream")
     feed(rows, batch, batches, f"{at}/in")
     stream = spark.readStream.schema(rows.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     asked = query(stream)
