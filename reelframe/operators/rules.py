@@ -304,3 +304,51 @@ def still_rules(facts: DataFrame) -> DataFrame:
         rule("static.emote-dims", "warn", unknown | _side(EMOTE_SIDE), when=target == "emote"),
         rule("static.sticker", F.when(png & ~fits, "warn").otherwise("error"), png & fits, when=target == "sticker"),
     ])
+
+
+def transparency(blocks: DataFrame) -> DataFrame:
+    """clip, format, target, certain, assumed, uncovered, transparent: what makes an animation see-through.
+
+    Frames with clear pixels, flagged frames whose pixels can't be read, and a first frame that
+    leaves part of the canvas out. Files without an image have no row.
+    """
+    numbered = blocks.withColumn("image", _before(F.col("kind") == "image"))
+    images = numbered.groupBy(*KEY, "image").agg(
+        F.max_by(F.struct("width", "height", "x", "y", "used"), F.when(F.col("kind") == "image", F.col("ord"))).alias("shape"),
+        F.max_by("transparent", F.when(F.col("kind") == "gce", F.col("ord"))).alias("clear"), F.max_by(F.struct("width", "height"), F.when(F.col("kind") == "header", F.col("ord"))).alias("canvas"),
+    )
+    shown, read = F.col("shape").isNotNull() & F.col("clear").isNotNull(), F.col("shape.used").isNotNull()
+    first = F.min_by("shape", F.when(F.col("shape").isNotNull(), F.col("image")))
+    found = images.groupBy(*KEY).agg(F.count_if(shown & read & F.array_contains("shape.used", F.col("clear"))).alias("certain"), F.count_if(shown & ~read).alias("assumed"), first.alias("s"), F.max("canvas").alias("c")).where(F.col("s").isNotNull())
+    uncovered = (F.col("s.x") != 0) | (F.col("s.y") != 0) | (F.col("s.width") != F.col("c.width")) | (F.col("s.height") != F.col("c.height"))
+    return found.select(*FILE, "certain", "assumed", uncovered.alias("uncovered"), ((F.col("certain") + F.col("assumed") > 0) | uncovered).alias("transparent"))
+
+
+def coverage(frames: DataFrame) -> DataFrame:
+    """clip, frame_idx, uncovered: pixels of the canvas that no frame shows while this one is up.
+
+    ``frames``: clip, frame_idx, x, y, w, h, disposal, width, height (of the canvas). Once shown, a
+    frame's rectangle stays, is cleared (2) or becomes again what it was (3). The edges of a
+    clip's rectangles cut its canvas into cells; a frame is an event of each cell inside it, and
+    what a cell is until its next event follows from the last one that didn't restore it. A
+    change of a cell counts at its frame, and a running sum gives the area: no canvas is built.
+    """
+    c = F.col
+    cut = frames.select("clip", "frame_idx", "disposal", F.greatest(F.lit(0), c("x")).alias("x0"), F.least("width", c("x") + c("w")).alias("x1"), F.greatest(F.lit(0), c("y")).alias("y0"), F.least("height", c("y") + c("h")).alias("y1"))
+
+    def cells(a: str, b: str) -> DataFrame:
+        edges = cut.where(c(a) < c(b)).select("clip", F.explode(F.array(a, b)).alias(f"{a}_from")).distinct()
+        return edges.withColumn(f"{a}_to", F.lead(f"{a}_from").over(Window.partitionBy("clip").orderBy(f"{a}_from"))).where(c(f"{a}_to").isNotNull())
+
+    inside = cut.join(cells("x0", "x1"), "clip").where((c("x0_from") >= c("x0")) & (c("x0_to") <= c("x1")))
+    inside = inside.join(cells("y0", "y1"), "clip").where((c("y0_from") >= c("y0")) & (c("y0_to") <= c("y1")))
+    cell = Window.partitionBy("clip", "x0_from", "y0_from").orderBy("frame_idx")
+    area = ((c("x0_to") - c("x0_from")) * (c("y0_to") - c("y0_from"))).cast("long")
+    stays = F.coalesce(F.last(F.when(c("disposal") != 3, c("disposal") != 2), ignorenulls=True).over(cell.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+    events = inside.select("clip", "frame_idx", area.alias("area"), stays.alias("stays"), F.lead("frame_idx").over(cell).alias("next"))
+    ends = F.when(c("stays"), c("next")).otherwise(c("frame_idx") + 1)
+    changes = events.select("clip", F.explode(F.array(F.struct(c("frame_idx").alias("frame_idx"), c("area").alias("change")), F.struct(ends.alias("frame_idx"), (-c("area")).alias("change")))).alias("e")).select("clip", "e.*").where(c("frame_idx").isNotNull())
+    moved = changes.groupBy("clip", "frame_idx").agg(F.sum("change").alias("change"))
+    canvas = frames.select("clip", "frame_idx", (c("width") * c("height")).cast("long").alias("whole"))
+    covered = F.sum(F.coalesce("change", F.lit(0))).over(Window.partitionBy("clip").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0))
+    return canvas.join(moved, ["clip", "frame_idx"], "left").select("clip", "frame_idx", (c("whole") - covered).alias("uncovered"))

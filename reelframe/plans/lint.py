@@ -333,3 +333,33 @@ SELECT clip, target, c.rule, c.level, c.ok FROM v WHERE c.shown""")
 def apng_lint(spark, d):
     """Rules of sound and damaged APNGs, from their chunk table; the container's own problems are png_grammar's."""
     return U.png_rules(B.png_parts(C.pngs(spark, d))).where("rule <> 'apng.container'").select("clip", "target", "rule", "level", "ok")
+
+
+@query("gif_transparency", f"""WITH {C.scripts_sql(C.GIFS)}, i AS (SELECT *, count(*) FILTER (kind = 'image') OVER (PARTITION BY clip ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS image FROM tok),
+f AS (SELECT clip, target, image, arg_max(CASE WHEN {_byte(3)} % 2 = 1 THEN {_byte(6)} ELSE -1 END, ord) FILTER (kind = 'gce') AS clear, any_value(note) FILTER (kind = 'image') AS used, any_value(substr(hex, 3, 16)) FILTER (kind = 'image') AS rect FROM i GROUP BY clip, target, image)
+SELECT clip, target, count(*) FILTER (clear >= 0 AND contains(used, clear::VARCHAR)) AS certain, count(*) FILTER (clear >= 0 AND used = '?') AS assumed, arg_min(rect, image) <> '0000000004000200' AS uncovered,
+ count(*) FILTER (clear >= 0 AND (used = '?' OR contains(used, clear::VARCHAR))) > 0 OR arg_min(rect, image) <> '0000000004000200' AS transparent FROM f WHERE rect IS NOT NULL GROUP BY clip, target""")
+def gif_transparency(spark, d):
+    """Which frames see through the canvas, surely or as far as they can be read, and whether the first leaves some of it out."""
+    return U.transparency(B.gif_blocks(C.gifs(spark, d))).drop("format")
+
+
+_RECTS = "f AS (SELECT l_orderkey AS clip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, l_partkey % 7 - 1 AS x, l_suppkey % 5 - 1 AS y, l_partkey % 5 + CASE WHEN l_linenumber = 1 THEN 5 ELSE 1 END AS w, l_quantity::BIGINT % 4 + CASE WHEN l_linenumber = 1 THEN 3 ELSE 1 END AS h, (l_quantity::BIGINT + l_suppkey) % 4 AS disposal FROM lineitem)"
+
+
+@query("canvas_coverage", f"""WITH {_RECTS}, p AS (SELECT f.*, px, py FROM f, (SELECT unnest(range(8)) AS px), (SELECT unnest(range(6)) AS py)),
+e AS (SELECT *, px >= x AND px < x + w AND py >= y AND py < y + h AS hit FROM p),
+s AS (SELECT *, last_value(CASE WHEN hit AND disposal <> 3 THEN disposal <> 2 END IGNORE NULLS) OVER (PARTITION BY clip, px, py ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT clip, i AS frame_idx, count(*) FILTER (NOT hit AND NOT coalesce(before, false)) AS uncovered FROM s GROUP BY clip, i""")
+def canvas_coverage(spark, d):
+    """An order's lines as frames of 8 x 6 pixels: the area that shows through while each is up; SQL counts pixels."""
+    from pyspark.sql import Window
+
+    line, q = V.read(spark, d, "lineitem"), F.col("l_quantity").cast("long")
+    first = F.col("l_linenumber") == 1
+    frames = line.select(
+        F.col("l_orderkey").alias("clip"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1).cast("long").alias("frame_idx"),
+        (F.col("l_partkey") % 7 - 1).alias("x"), (F.col("l_suppkey") % 5 - 1).alias("y"), (F.col("l_partkey") % 5 + F.when(first, 5).otherwise(1)).alias("w"), (q % 4 + F.when(first, 3).otherwise(1)).alias("h"),
+        ((q + F.col("l_suppkey")) % 4).alias("disposal"), F.lit(8).cast("long").alias("width"), F.lit(6).cast("long").alias("height"),
+    )
+    return U.coverage(frames)
