@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,38 @@ def reconcile_alpha(scanned: DataFrame, stated: DataFrame) -> DataFrame:
     """
     both = scanned.select("clip", F.col("has_alpha").alias("scanned")).join(stated.select("clip", F.col("has_alpha").alias("stated")), "clip", "full_outer")
     return both.where(~F.col("scanned").eqNullSafe(F.col("stated"))).select("clip", "stated", "scanned", F.coalesce("scanned", "stated").alias("found"))
+
+
+#: Frames of a sequence whose headers are looked at, and of those whose pixels are.
+HEADERS, SCANS = 200, 5
+
+
+def _spread(at: Column, count: Column, most: int) -> Column:
+    """Whether place ``at`` of 0..count-1 is one of at most ``most`` evenly spread ones, first and last among them."""
+    m = F.least(count, F.lit(most)).cast("long")
+    near = F.ceil(at * (m - 1) / F.greatest(count - 1, F.lit(1))).cast("long")
+    return F.when(m > 1, F.floor(near * (count - 1) / (m - 1)).cast("long") == at).otherwise(at == 0)
+
+
+def probe_sequences(frames: DataFrame, headers: int = HEADERS, scans: int = SCANS) -> DataFrame:
+    """clip, frames, width, height, mixed, has_alpha of image sequences.
+
+    ``frames``: clip, frame_idx (from 0), width, height, may_alpha (the header admits it), alpha
+    (what a scan of the pixels found, null where it failed). Sizes come from at most
+    ``headers`` evenly spread frames: the sequence is as large as the largest, and mixed if any
+    differs. Alpha is what at most ``scans`` frames spread over those that admit it show; where
+    every scan fails it is taken for granted. Which frames are looked at is arithmetic on their
+    places, so no frame is joined with a sample.
+    """
+    clip = Window.partitionBy("clip")
+    counted = frames.withColumn("_n", F.count("*").over(clip))
+    seen = counted.where(_spread(F.col("frame_idx"), F.col("_n"), headers))
+    admits = F.coalesce("may_alpha", F.lit(False))
+    ranked = seen.withColumns({"_r": F.count_if(admits).over(clip.orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)), "_k": F.count_if(admits).over(clip)})
+    looked = ranked.withColumn("_scan", admits & _spread(F.col("_r"), F.col("_k"), scans))
+    found = looked.groupBy("clip").agg(
+        F.max("_n").alias("frames"), F.max("width").alias("width"), F.max("height").alias("height"), F.min("width").alias("_w"), F.min("height").alias("_h"),
+        F.count_if("_scan").alias("_scans"), F.count_if(F.col("_scan") & F.col("alpha").isNotNull()).alias("_read"), F.count_if(F.col("_scan") & F.col("alpha")).alias("_clear"),
+    )
+    mixed = (F.col("_w") != F.col("width")) | (F.col("_h") != F.col("height"))
+    return found.select("clip", "frames", "width", "height", mixed.alias("mixed"), ((F.col("_clear") > 0) | ((F.col("_scans") > 0) & (F.col("_read") == 0))).alias("has_alpha"))

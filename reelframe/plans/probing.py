@@ -37,3 +37,21 @@ def alpha_reconcile(spark, d):
     one = px.withColumn("clip", F.col("clip") * 1000 + F.col("frame_idx"))
     stated = one.where("frame_idx % 11 <> 5").select("clip", (F.col("frame_idx") % 3 != 0).alias("has_alpha")).distinct()
     return O.reconcile_alpha(X.alpha_scan(one.where("frame_idx % 7 <> 3")), stated)
+
+
+_SEQ_H, _SEQ_S = 40, 5
+
+
+@query("sequence_probe", V.over("v_frames") + f""", s AS (SELECT clip, frame_idx AS i, CASE WHEN event_id % 97 = 0 THEN 64 ELSE 128 + clip % 3 END AS w, CASE WHEN event_id % 89 = 0 THEN 200 ELSE 96 END AS h, event_id % 4 = 1 AS may, CASE WHEN clip % 5 <> 0 THEN event_id % 24 = 1 END AS alpha, count(*) OVER (PARTITION BY clip) AS n FROM v_frames),
+k AS (SELECT DISTINCT clip, n, CASE WHEN n < 2 THEN 0 ELSE j * (n - 1) // (least(n, {_SEQ_H}) - 1) END AS i FROM (SELECT DISTINCT clip, n FROM s), (SELECT unnest(range({_SEQ_H})) AS j) WHERE j < n),
+l AS (SELECT s.*, row_number() OVER (PARTITION BY clip, may ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY clip, may) AS m FROM s JOIN k USING (clip, n, i)),
+a AS (SELECT clip, count(*) AS scans, count(alpha) AS read, count(*) FILTER (alpha) AS clear FROM l WHERE may AND r IN (SELECT CASE WHEN l.m < 2 THEN 0 ELSE j * (l.m - 1) // (least(l.m, {_SEQ_S}) - 1) END FROM (SELECT unnest(range({_SEQ_S})) AS j) WHERE j < l.m) GROUP BY clip)
+SELECT clip, any_value(n) AS frames, max(w) AS width, max(h) AS height, min(w) <> max(w) OR min(h) <> max(h) AS mixed, coalesce(any_value(clear) > 0 OR (any_value(scans) > 0 AND any_value(read) = 0), false) AS has_alpha FROM l LEFT JOIN a USING (clip) GROUP BY clip""")
+def sequence_probe(spark, d):
+    """Size, mix of sizes and alpha of image sequences from an even sample of their frames."""
+    e = F.col("event_id")
+    f = V.frames(spark, d).select(
+        "clip", "frame_idx", F.when(e % 97 == 0, 64).otherwise(128 + F.col("clip") % 3).alias("width"), F.when(e % 89 == 0, 200).otherwise(96).alias("height"),
+        (e % 4 == 1).alias("may_alpha"), F.when(F.col("clip") % 5 != 0, e % 24 == 1).alias("alpha"),
+    )
+    return O.probe_sequences(f, _SEQ_H, _SEQ_S)
