@@ -23,13 +23,19 @@ VERSION = 1
 RECIPE = f"sources array<string>, ops array<struct<kind: string, params: variant>>, output struct<{OUTPUT.replace(' ', ': ').replace(',: ', ', ')}>"
 
 
-def canonical(json: Column) -> Column:
+#: Members of an output that change the geometry of a preview.
+PREVIEW = ("format", "width", "height", "fit", "fps")
+
+
+def canonical(json: Column, members: tuple[str, ...] | None = None) -> Column:
     """The one JSON text of a recipe: version 1, members in fixed order, parameters as given with their keys sorted.
 
+    With ``members`` the output keeps only these.
+
     The text is read into typed values and written anew. Null parameters and output members at
     their zero value are left out; nulls inside parameters stay. Null where the text isn't a recipe.
     """
-    return F.transform(F.array(F.from_json(json, RECIPE)), _written)[0]
+    return F.transform(F.array(F.from_json(json, RECIPE)), lambda r: _written(r, members))[0]
 
 
 #: Where a number may need another spelling, and a JSON text cut into its strings, its numbers and the rest.
@@ -65,7 +71,7 @@ def fps_spelled(output: Column) -> Column:
     return F.when(rate.rlike(r"[.eE]|[0-9]{16}"), F.replace(output, F.concat(F.lit('"fps":'), rate), F.concat(F.lit('"fps":'), plain_number(F.nullif(rate, F.lit("")))))).otherwise(output)
 
 
-def _written(recipe: Column) -> Column:
+def _written(recipe: Column, members: tuple[str, ...] | None = None) -> Column:
     """Canonical text of a recipe's typed value. A lambda's variable stands for the value, so that the JSON text is parsed once."""
 
     def member(name: str, kind: str) -> Column:
@@ -76,7 +82,7 @@ def _written(recipe: Column) -> Column:
             return F.when(F.try_variant_get(value, "$", "double") != 0, value)
         return F.nullif(value, F.lit({"string": "", "bigint": 0, "boolean": False}[kind]))
 
-    output = F.struct(*[member(*m.split(" ")).alias(m.split(" ")[0]) for m in OUTPUT.split(", ")])
+    output = F.struct(*[member(*m.split(" ")).alias(m.split(" ")[0]) for m in OUTPUT.split(", ") if members is None or m.split(" ")[0] in members])
     ops = F.transform(recipe["ops"], lambda op: F.struct(F.coalesce(op["kind"], F.lit("")).alias("kind"), F.when(~F.is_variant_null(op["params"]), op["params"]).alias("params")))
     text = F.concat(
         F.lit(f'{{"v":{VERSION},"sources":'), F.coalesce(F.to_json(recipe["sources"]), F.lit("null")),
@@ -92,6 +98,11 @@ def result_key(recipe_hash: Column, pipeline: int, rules: int) -> Column:
     return F.sha2(F.concat_ws("\n", recipe_hash, F.lit(str(pipeline)), F.lit(str(rules))), 256)
 
 
+def still_key(json: Column, seconds: Column, most_w: Column) -> Column:
+    """The key of a preview's frame: its recipe as far as it changes the picture, the time in whole milliseconds, the width."""
+    return F.sha2(F.concat(canonical(json, PREVIEW), F.lit("|t="), F.format_string("%.3f", seconds), F.lit("|w="), most_w.cast("string")), 256)
+
+
 def recipe_error(sources: Column, hash_: Column, fmt: Column, target: Column) -> Column:
     """The first rule that a recipe breaks, null if none."""
     return F.when(sources == 0, "sources").when(~hash_.rlike("^[0-9a-f]{64}$"), "hash").when(~fmt.isin(*FORMATS), "format").when(~target.isin(*TARGETS), "target")

@@ -29,6 +29,15 @@ def recipe_hash(spark, d):
     return r.select("k1", "k2", "k3", "k4", F.sha2(C.canonical(raw), 256).alias("hash"))
 
 
+@query("still_key", R + """SELECT k1, k2, k3, k4, sha256('{"v":1,"sources":["s' || h || '"],"ops":[{"kind":"rotate","params":{"degrees":90}}],"output":{"format":"' || format || '","width":' || w || ',"fps":' || q || '}}' || '|t=' || printf('%.3f', floor(start * 1000 + 0.5) / 1000) || '|w=' || box_w) AS key FROM v_recipes""")
+def still_key(spark, d):
+    """Previews that differ in nothing that shows have one key: colours and loops don't count."""
+    r = V.recipes(spark, d)
+    raw = F.concat(F.lit('{"output":{"colors":64,"fps":'), F.col("q"), F.lit('.0,"width":'), F.col("w"), F.lit(',"loop":'), F.col("n"), F.lit(',"format":"'), F.col("format"), F.lit('"},"ops":[{"kind":"rotate","params":{"degrees":90.0}}],"sources":["s'), F.col("h"), F.lit('"]}'))
+    t = F.floor(F.col("start") * 1000 + 0.5) / 1000
+    return r.select("k1", "k2", "k3", "k4", C.still_key(raw, t, F.col("box_w")).alias("key"))
+
+
 @query("result_key", "SELECT doc_id, sha256(sha256(coalesce(text, '')) || chr(10) || '3' || chr(10) || '7') AS key FROM documents")
 def result_key(spark, d):
     t = V.read(spark, d, "documents")
