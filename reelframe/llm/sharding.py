@@ -16,13 +16,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, attach
 
 #: The shards * LARGE largest groups are scheduled on the driver.
 LARGE = 512
+#: Buckets in which they are looked for.
+BUCKETS = 16
 #: Groups that one task schedules, about, until there are MOST_TASKS tasks.
 GROUPS_A_TASK, MOST_TASKS = 4096, 512
 #: Rows of one part in which slots are counted, about.
@@ -61,7 +63,10 @@ def schedule(groups: DataFrame, shards: int) -> DataFrame:
     """``groups`` (digest, bytes, n) with a column shard."""
     spark = groups.sparkSession
     count = groups.count()
-    large = groups.orderBy(F.desc("bytes"), "digest").limit(shards * LARGE).collect()
+    # The largest of each of a few buckets first, so that the driver gets as many rows whatever the number of tasks.
+    place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("digest"), F.lit(BUCKETS))).orderBy(F.desc("bytes"), "digest"))
+    largest = groups.withColumn("place", place).where(F.col("place") <= shards * LARGE).drop("place")
+    large = largest.orderBy(F.desc("bytes"), "digest").limit(shards * LARGE).collect()
     loads = Loads([0] * shards)
     placed = loads.place(r["bytes"] for r in large)
     first = spark.createDataFrame([(bytes(r["digest"]), r["bytes"], r["n"], s) for r, s in zip(large, placed, strict=True)], "digest binary, bytes long, n long, shard int")
