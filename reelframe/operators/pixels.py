@@ -53,8 +53,8 @@ def alpha_threshold(px: DataFrame, least: int = 128) -> DataFrame:
     return px.withColumn("a", F.when(F.col("a") >= least, 255).otherwise(0))
 
 
-def alpha_scan(px: DataFrame) -> DataFrame:
-    return px.groupBy("clip").agg((F.min("a") < 255).alias("has_alpha"), F.min("a").alias("least"))
+def alpha_scan(px: DataFrame, by: tuple[str, ...] = ("clip",)) -> DataFrame:
+    return px.groupBy(*by).agg((F.min("a") < 255).alias("has_alpha"), F.min("a").alias("least"))
 
 
 def palette_histogram(px: DataFrame, bits: int = 5) -> DataFrame:

@@ -33,10 +33,11 @@ def stream_match(spark, d):
 SELECT coalesce(s.clip, t.clip) AS clip, stated, scanned, coalesce(scanned, stated) AS found FROM s FULL JOIN t ON s.clip = t.clip WHERE scanned IS DISTINCT FROM stated""")
 def alpha_reconcile(spark, d):
     """What pixels show against what containers state: a row where they differ."""
-    px = V.channels(spark, d)
-    one = px.withColumn("clip", F.col("clip") * 1000 + F.col("frame_idx"))
-    stated = one.where("frame_idx % 11 <> 5").select("clip", (F.col("frame_idx") % 3 != 0).alias("has_alpha")).distinct()
-    return O.reconcile_alpha(X.alpha_scan(one.where("frame_idx % 7 <> 3")), stated)
+    px, number = V.channels(spark, d), (F.col("clip") * 1000 + F.col("frame_idx")).alias("clip")
+    stated = px.where("frame_idx % 11 <> 5").select(number, (F.col("frame_idx") % 3 != 0).alias("has_alpha")).distinct()
+    # Frames are scanned one by one: from a thousand frames on, numbers of different clips meet.
+    scanned = X.alpha_scan(px.where("frame_idx % 7 <> 3"), ("clip", "frame_idx")).select(number, "has_alpha")
+    return O.reconcile_alpha(scanned, stated)
 
 
 _SEQ_H, _SEQ_S = 40, 5
