@@ -161,34 +161,36 @@ def facts(files: DataFrame, formats: tuple[str, ...] = ("gif", "apng", "webp"))
     return reduce(DataFrame.unionByName, out)
 
 
+def _damaged(clip: int, fmt: str, data: bytes) -> list[tuple]:
+    g = gif.parse(data)
+    kind, images = clip % 8, g.images
+    first = images[0][0] if images else None
+    if kind == 0:
+        g.trailer = False
+    elif kind == 1:
+        g.blocks = [b for b in g.blocks if b.kind != "loop"]
+    elif kind == 2:
+        g.blocks.insert(1, gif.Block("comment", b"\x21\xfe\x02hi\0"))
+    elif kind in (3, 4):
+        for i, b in enumerate(g.blocks):
+            if b.kind == "gce":
+                args = (b.delay, 0, b.transparent) if kind == 3 else (0, b.disposal, b.transparent)
+                g.blocks[i] = gif.Block("gce", gif.gce(*args), *args)
+    elif kind == 5:
+        g.head = b"GIF87a" + g.head[6:]
+    elif kind == 6:
+        own = iter(images)
+        for i, b in enumerate(g.blocks):
+            if b.kind == "gce":
+                image, _ = next(own)
+                args = (b.delay, b.disposal, -1 if image is first else int(gif.indices(image)[0, 0]))
+                g.blocks[i] = gif.Block("gce", gif.gce(*args), *args)
+    return [(clip, fmt, g.bytes()[:-9] if kind == 7 else g.bytes())]
+
+
 def damage(files: DataFrame) -> DataFrame:
     """Break GIFs by clip: no trailer, no loop block, a comment, disposal 0, delay 0, an 87a header, a first image without the flag that a later one needs, a cut."""
-    def one(clip: int, fmt: str, data: bytes) -> list[tuple]:
-        g = gif.parse(data)
-        kind = clip % 8
-        if kind == 0:
-            g.trailer = False
-        elif kind == 1:
-            g.blocks = [b for b in g.blocks if b.kind != "loop"]
-        elif kind == 2:
-            g.blocks.insert(1, gif.Block("comment", b"\x21\xfe\x02hi\0"))
-        elif kind in (3, 4):
-            for i, b in enumerate(g.blocks):
-                if b.kind == "gce":
-                    args = (b.delay, 0, b.transparent) if kind == 3 else (0, b.disposal, b.transparent)
-                    g.blocks[i] = gif.Block("gce", gif.gce(*args), *args)
-        elif kind == 5:
-            g.head = b"GIF87a" + g.head[6:]
-        elif kind == 6:
-            own = iter(g.images)
-            for i, b in enumerate(g.blocks):
-                if b.kind == "gce":
-                    image, _ = next(own)
-                    args = (b.delay, b.disposal, -1 if image is g.images[0][0] else int(gif.indices(image)[0, 0]))
-                    g.blocks[i] = gif.Block("gce", gif.gce(*args), *args)
-        return [(clip, fmt, g.bytes()[:-9] if kind == 7 else g.bytes())]
-
-    return files.mapInPandas(_each(one, ["clip", "format", "content"]), FILES)
+    return files.mapInPandas(_each(_damaged, ["clip", "format", "content"]), FILES)
 
 
 def fix_files(files: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
 """Queries on tables longer than the small ones, against DuckDB."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
 import pytest
 
+from reelframe.codecs import gif, png
+from reelframe.operators import blocks, media
 from reelframe.plans import catalog
 from test_queries import rows
 
@@ -28,3 +33,18 @@ def same_as_sql(spark, tmp_path):
 def test_alpha_of_clips_with_over_a_thousand_frames(same_as_sql, sf_dir):
     vectors = f"SELECT r * 1000 + row_number() OVER (ORDER BY vec_id) AS vec_id, embedding, vec_id % 2 AS label FROM '{sf_dir}/embeddings.parquet', range(5) AS t(r)"
     same_as_sql("alpha_reconcile", embeddings=vectors)
+
+
+def _long_gif(n: int) -> bytes:
+    frame = np.zeros((4, 4), np.uint8)
+    return gif.write([frame] * n, np.array([[0, 0, 0], [9, 9, 9]], np.uint8), [10] * n, 1)
+
+
+def test_damage_lists_the_images_of_a_file_a_fixed_number_of_times(monkeypatch):
+    """Not once an image: a file of 61,000 frames was at it for an hour."""
+    calls, listed = [], gif.Gif.images.fget
+    monkeypatch.setattr(gif.Gif, "images", property(lambda g: calls.append(1) or listed(g)))
+    for n in (10, 40):
+        calls.clear()
+        media._damaged(6, "gif", _long_gif(n))
+        assert len(calls) < 3
