@@ -1,14 +1,16 @@
-"""Block tables: the blocks of GIFs and the chunks of WebPs and PNGs as rows, by lateral joins with table functions.
+"""Block tables: the blocks of GIFs and the chunks of WebPs and PNGs as rows.
 
-A table function only reads: it walks a file's bytes and yields what stands there, also where
+A reader only reads: it walks a file's bytes and yields what stands there, also where
 the file is broken. What the blocks mean for a file is left to DataFrame expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched, chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,14 @@ class GifBlocks:
     """Header, blocks and trailer of a GIF; ``used`` has the palette indices of the first image and of flagged ones, null where they can't be decoded."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
-        g = gif.parse(bytes(content or b""))
+        data = bytes(content or b"")
+        g = gif.Gif(data[:13])
+        blocks = gif.walk(data, g)
+        # What the header says is known from the first block on.
+        ahead = next(blocks, None)
         yield (0, "header", g.width, g.height, None, None, g.background, len(g.palette) // 3, *[None] * 6)
         at, first, control = 0, True, None
-        for at, b in enumerate(g.blocks, 1):
+        for at, b in enumerate(chain([ahead] if ahead else [], blocks), 1):
             if b.kind == "gce":
                 control = b
                 yield (at, "gce", *[None] * 6, b.delay, b.disposal, None if b.transparent < 0 else b.transparent, None, None, None)
@@ -58,13 +64,27 @@ class PngParts:
             yield (at, *c)
 
 
+#: Rows of a block table that go out at once: a file may have any number of blocks.
+ROWS = 2048
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+
+
 def _joined(files: DataFrame, reader: type, returns: str) -> DataFrame:
     named = files.select("clip", "format", F.coalesce("target", F.lit("")).alias("target") if "target" in files.columns else F.lit("").alias("target"), F.octet_length("content").cast("long").alias("bytes"), "content")
-    return named.lateralJoin(F.udtf(reader, returnType=returns)(F.col("content").outer())).drop("content")
+    names, types = zip(*(f.split(" ") for f in returns.split(", ")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for rows in batched(reader().eval(batch.column("content")[i].as_py()), ROWS):
+                    own = [batch.column(c).take(pa.array([i] * len(rows))) for c in (*FILE, "bytes")]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, _ARROW[t]) for v, t in zip(zip(*rows, strict=True), types, strict=True))], [*FILE, "bytes", *names])
+
+    return named.mapInArrow(run, f"clip {files.schema['clip'].dataType.simpleString()}, format string, target string, bytes long, {returns}")
 
 
 def gif_blocks(files: DataFrame) -> DataFrame:
-    """clip, format, target, bytes and a row for each block of ``files`` (clip, format, content, target if any)."""
+    """clip, format, target, bytes and a row for each block of ``files`` (clip, format, content, target if any); a reader's rows go out as it walks."""
     return _joined(files, GifBlocks, GIF_BLOCK)
 
 

@@ -26,10 +26,11 @@ def clips_of(px: DataFrame, w: int, h: int) -> DataFrame:
     return rows.select("clip", "frame_idx", F.unhex(F.concat_ws("", F.transform("px", lambda s: s["v"]))).alias("rgba"))
 
 
-def _encode(fmt: str, frames: list[np.ndarray], colors: int) -> bytes:
+def _encode(fmt: str, frames: np.ndarray, colors: int) -> bytes:
     if fmt == "gif":
-        opaque = [np.dstack((f[..., :3], np.where(f[..., 3] >= 128, 255, 0))).astype(np.uint8) for f in frames]
-        flat = np.concatenate([f.reshape(-1, 4) for f in opaque])
+        opaque = np.array(frames)
+        opaque[..., 3] = np.where(opaque[..., 3] >= 128, 255, 0)
+        flat = opaque.reshape(-1, 4)
         seen = flat[flat[:, 3] > 0][:, :3]
         clear = len(seen) < len(flat)
         cols, counts = np.unique(seen, axis=0, return_counts=True) if len(seen) else (np.zeros((1, 3), np.uint8), np.ones(1, np.int64))
@@ -40,7 +41,7 @@ def _encode(fmt: str, frames: list[np.ndarray], colors: int) -> bytes:
         return gif.write(idx, table, [10] * len(idx), mark)
     if fmt in ("apng", "png"):
         return png.write(frames, [(1, 10)] * len(frames))
-    return plugin(fmt)(frames)
+    return plugin(fmt)(list(frames))
 
 
 def encode_clips(px: DataFrame, w: int, h: int, fmt: str, colors: int = 64) -> DataFrame:
@@ -50,7 +51,7 @@ def encode_clips(px: DataFrame, w: int, h: int, fmt: str, colors: int = 64) -> D
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
-        frames = [np.frombuffer(b, np.uint8).reshape(h, w, 4) for b in pdf["rgba"]]
+        frames = np.frombuffer(b"".join(pdf["rgba"]), np.uint8).reshape(-1, h, w, 4)
         return pd.DataFrame({"clip": [key[0]], "format": [fmt], "content": [_encode(fmt, frames, colors)]})
 
     return clips_of(px, w, h).groupBy("clip").applyInPandas(one, FILES)
@@ -111,26 +112,50 @@ def still_facts(files: DataFrame) -> DataFrame:
     return read.select("clip", "format", "target", F.octet_length("content").cast("long").alias("bytes"), F.col("h.width").cast("int").alias("width"), F.col("h.height").cast("int").alias("height"), "h.alpha", "h.animated", "h.problem")
 
 
-def _decoded(fmt: str, data: bytes) -> tuple[list[np.ndarray], list]:
+def _shown(fmt: str, data: bytes) -> Iterator[np.ndarray]:
     if fmt == "gif":
-        return gif.decode(data)
-    return png.read(data) if fmt in ("apng", "png") else plugin(fmt)(data)
+        return (f for f, _ in gif.shown(data))
+    return png.shown(data) if fmt in ("apng", "png") else iter(plugin(fmt)(data)[0])
+
+
+#: Bytes of decoded frames that are held at once, and what a frame takes beside its pixels.
+HELD, BESIDE = 8 << 20, 256
+
+
+def _in_parts(frames: Iterator[np.ndarray]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """(number, width, height, pixels) of frames, a bounded number at a time."""
+    out, size = [], 0
+    for i, p in enumerate(frames):
+        out.append((i, p.shape[1], p.shape[0], p.tobytes()))
+        size += p.nbytes + BESIDE
+        if size >= HELD:
+            yield out
+            out, size = [], 0
+    yield out
 
 
 def decode_files(files: DataFrame) -> DataFrame:
     """Frames as packed RGBA rows (clip, format, frame_idx, width, height, rgba, error); a file that can't be decoded is one row with its error."""
     names = ["clip", "format", "frame_idx", "width", "height", "rgba", "error"]
 
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"frame_idx": "Int64", "width": "Int32", "height": "Int32"})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            # One file's frames at a time: a batch of files may hold many.
             for c, k, b in zip(f["clip"], f["format"], f["content"], strict=True):
+                parts, more = [], False
                 try:
-                    px, _ = _decoded(k, bytes(b))
-                    rows = [(c, k, i, p.shape[1], p.shape[0], p.tobytes(), None) for i, p in enumerate(px)]
+                    # A file of several parts is gone through first: if it can't be decoded, none of its frames counts.
+                    for part in _in_parts(_shown(k, bytes(b))):
+                        parts, more = [part], more or bool(parts)
+                    if more:
+                        parts = _in_parts(_shown(k, bytes(b)))
                 except Exception as e:  # noqa: BLE001 - one bad file is a row, whatever its codec raises
-                    rows = [(c, k, None, None, None, None, str(e) or type(e).__name__)]
-                yield pd.DataFrame(rows, columns=names).astype({"frame_idx": "Int64", "width": "Int32", "height": "Int32"})
+                    yield framed([(c, k, None, None, None, None, str(e) or type(e).__name__)])
+                    continue
+                for part in parts:
+                    yield framed([(c, k, *r, None) for r in part])
 
     return files.mapInPandas(run, "clip long, format string, frame_idx long, width int, height int, rgba binary, error string")
 

@@ -48,3 +48,23 @@ def test_damage_lists_the_images_of_a_file_a_fixed_number_of_times(monkeypatch):
         calls.clear()
         media._damaged(6, "gif", _long_gif(n))
         assert len(calls) < 3
+
+
+def test_files_are_walked_and_decoded_without_holding_their_blocks_or_frames():
+    n = 8000
+    files = {"gif": _long_gif(n), "apng": png.write(np.zeros((n, 4, 4, 4), np.uint8))}
+    for fmt, reader, rows in (("gif", blocks.GifBlocks, 2 * n + 3), ("apng", blocks.PngParts, 2 * n + 3)):
+        tracemalloc.start()
+        assert sum(1 for _ in reader().eval(files[fmt])) == rows
+        assert sum(p.nbytes for p in media._shown(fmt, files[fmt])) == n * 64
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < len(files[fmt]) + (1 << 20)
+
+
+def test_a_long_file_that_breaks_at_its_end_is_one_row(spark, monkeypatch):
+    """Frames go out in parts, but none of a file that can't be decoded to its end."""
+    data = _long_gif(40_000)
+    files = spark.createDataFrame([(1, "gif", data), (2, "gif", data[:-6])], media.FILES)
+    got = media.decode_files(files).groupBy("clip").agg({"frame_idx": "max", "rgba": "count", "error": "max"}).collect()
+    assert {r.clip: (r["max(frame_idx)"], r["count(rgba)"], r["max(error)"]) for r in got} == {1: (39_999, 40_000, None), 2: (None, 0, "cut")}
