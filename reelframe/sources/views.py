@@ -17,16 +17,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task sorts.
+ROWS = 500_000
+
+
+def placed(table: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
+    """Rows by ``key``, in more parts the longer the table is, so that what a task sorts doesn't grow with it.
+
+    Short tables stay where they are: the first window or grouping by ``key`` places them.
+    """
+    parts = -(-table.count() // rows)
+    return table.repartition(parts, key) if parts > table.sparkSession.sparkContext.defaultParallelism else table
+
+
 def micros(ts):
     return F.unix_micros(ts.cast("timestamp"))
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """clip, frame_idx, pts_us, dur_us, value: a user's events play 36,000 times faster."""
-    ev = read(spark, d, "events").select("event_id", "user_id", "value", micros(F.col("ts")).alias("us"))
-    order = Window.partitionBy("user_id").orderBy("us", "event_id")
-    per = Window.partitionBy("user_id")
-    out = ev.select(F.col("user_id").alias("clip"), (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), ((F.col("us") - F.min("us").over(per)) / 36000).cast("long").alias("pts_us"), "event_id", "value")
+    ev = read(spark, d, "events").select("event_id", F.col("user_id").alias("clip"), "value", micros(F.col("ts")).alias("us"))
+    order = Window.partitionBy("clip").orderBy("us", "event_id")
+    per = Window.partitionBy("clip")
+    out = placed(ev, "clip").select("clip", (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), ((F.col("us") - F.min("us").over(per)) / 36000).cast("long").alias("pts_us"), "event_id", "value")
     return out.withColumn("dur_us", F.lead("pts_us").over(Window.partitionBy("clip").orderBy("frame_idx")) - F.col("pts_us"))
 
 
@@ -87,25 +100,25 @@ def job_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def curve(spark: SparkSession, d: str) -> DataFrame:
     """clip, rung, base: an order's lines are the rungs of a ladder; size(knob) = base * (1000 - 4 knob) / 1000."""
-    line = read(spark, d, "lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("base"), "l_linenumber", "l_partkey", "l_suppkey")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "base")
-    return line.select(F.col("l_orderkey").alias("clip"), (F.row_number().over(w) - 1).cast("long").alias("rung"), "base")
+    line = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("clip"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("base"), "l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("clip").orderBy("l_linenumber", "l_partkey", "l_suppkey", "base")
+    return placed(line, "clip").select("clip", (F.row_number().over(w) - 1).cast("long").alias("rung"), "base")
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
     """job, seq, ts_ms, stage, percent: a conversation is a job's event log."""
     c = read(spark, d, "conversations")
     step = F.char_length(F.coalesce("text", F.lit(""))) % 80
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "len")
-    out = c.select("conv_id", "turn", "role", step.cast("long").alias("step"), F.char_length(F.coalesce("text", F.lit(""))).alias("len"))
-    return out.select(F.col("conv_id").alias("job"), (F.row_number().over(w) - 1).cast("long").alias("seq"), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("ts_ms"), F.col("role").alias("stage"), (F.col("step") * 5 / 4).cast("long").alias("percent"))
+    w = Window.partitionBy("job").orderBy("turn", "role", "len")
+    out = c.select(F.col("conv_id").alias("job"), "turn", "role", step.cast("long").alias("step"), F.char_length(F.coalesce("text", F.lit(""))).alias("len"))
+    return placed(out, "job").select("job", (F.row_number().over(w) - 1).cast("long").alias("seq"), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("ts_ms"), F.col("role").alias("stage"), (F.col("step") * 5 / 4).cast("long").alias("percent"))
 
 
 def delays(spark: SparkSession, d: str) -> DataFrame:
     """clip, i, delay: an order's lines as frames with delays in centiseconds."""
-    line = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("base"), F.col("l_quantity").cast("long").alias("q"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "base")
-    return line.select(F.col("l_orderkey").alias("clip"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.when(F.col("q") == 50, F.lit(65530)).when(F.col("q") == 49, F.lit(-4)).otherwise(F.col("q") % 12).cast("long").alias("delay"))
+    line = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("clip"), "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("base"), F.col("l_quantity").cast("long").alias("q"))
+    w = Window.partitionBy("clip").orderBy("l_linenumber", "l_partkey", "l_suppkey", "base")
+    return placed(line, "clip").select("clip", (F.row_number().over(w) - 1).cast("long").alias("i"), F.when(F.col("q") == 50, F.lit(65530)).when(F.col("q") == 49, F.lit(-4)).otherwise(F.col("q") % 12).cast("long").alias("delay"))
 
 
 def _list(items: list[str]) -> str:
