@@ -329,26 +329,41 @@ def coverage(frames: DataFrame) -> DataFrame:
 
     ``frames``: clip, frame_idx, x, y, w, h, disposal, width, height (of the canvas). Once shown, a
     frame's rectangle stays, is cleared (2) or becomes again what it was (3). The edges of a
-    clip's rectangles cut its canvas into cells; a frame is an event of each cell inside it, and
-    what a cell is until its next event follows from the last one that didn't restore it. A
-    change of a cell counts at its frame, and a running sum gives the area: no canvas is built.
+    clip's rectangles, no more than its canvas has, cut it into cells; a frame is an event of each
+    cell inside it, and what a cell is until its next event follows from the last one that didn't
+    restore it. A change of a cell counts at its frame, and a running sum gives the area: no
+    canvas is built. All steps are by clip, so rows move once, and not if they lie by clip already.
     """
     c = F.col
-    cut = frames.select("clip", "frame_idx", "disposal", F.greatest(F.lit(0), c("x")).alias("x0"), F.least("width", c("x") + c("w")).alias("x1"), F.greatest(F.lit(0), c("y")).alias("y0"), F.least("height", c("y") + c("h")).alias("y1"))
-
-    def cells(a: str, b: str) -> DataFrame:
-        edges = cut.where(c(a) < c(b)).select("clip", F.explode(F.array(a, b)).alias(f"{a}_from")).distinct()
-        return edges.withColumn(f"{a}_to", F.lead(f"{a}_from").over(Window.partitionBy("clip").orderBy(f"{a}_from"))).where(c(f"{a}_to").isNotNull())
+    clip = Window.partitionBy("clip")
+    cut = frames.select(
+        "clip", "frame_idx", "disposal", (c("width") * c("height")).cast("long").alias("whole"),
+        F.greatest(F.lit(0), c("x")).alias("x0"), F.least("width", c("x") + c("w")).alias("x1"), F.greatest(F.lit(0), c("y")).alias("y0"), F.least("height", c("y") + c("h")).alias("y1"),
+    )
 
-    inside = cut.join(cells("x0", "x1"), "clip").where((c("x0_from") >= c("x0")) & (c("x0_to") <= c("x1")))
-    inside = inside.join(cells("y0", "y1"), "clip").where((c("y0_from") >= c("y0")) & (c("y0_to") <= c("y1")))
-    cell = Window.partitionBy("clip", "x0_from", "y0_from").orderBy("frame_idx")
-    area = ((c("x0_to") - c("x0_from")) * (c("y0_to") - c("y0_from"))).cast("long")
+    def edges(a: str, b: str) -> Column:
+        own = lambda v: F.collect_set(F.when(c(a) < c(b), c(v))).over(clip)
+        return F.array_sort(F.array_union(own(a), own(b)))
+
+    def cells(edges: str, a: str, b: str, shown: Column) -> Column:
+        """Starts and lengths of a clip's cells between ``a`` and ``b``."""
+        within = F.when(shown, F.filter(edges, lambda v: v.between(c(a), c(b)))).otherwise(F.array())
+        return F.transform(F.slice(within, 1, F.greatest(F.size(within) - 1, F.lit(0))), lambda v, i: F.struct(v.alias("at"), (F.get(within, i + 1) - v).alias("size")))
+
+    shown = (c("x0") < c("x1")) & (c("y0") < c("y1"))
+    cut = cut.withColumns({"xs": edges("x0", "x1"), "ys": edges("y0", "y1")})
+    # A frame without cells stays as one row.
+    inside = cut.withColumn("across", F.explode_outer(cells("xs", "x0", "x1", shown))).withColumn("down", F.explode_outer(cells("ys", "y0", "y1", shown)))
+    inside = inside.select("clip", "frame_idx", "disposal", "whole", c("across.at").alias("x"), c("down.at").alias("y"), F.coalesce((c("across.size") * c("down.size")).cast("long"), F.lit(0)).alias("area"))
+    cell = Window.partitionBy("clip", "x", "y").orderBy("frame_idx")
     stays = F.coalesce(F.last(F.when(c("disposal") != 3, c("disposal") != 2), ignorenulls=True).over(cell.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    events = inside.select("clip", "frame_idx", area.alias("area"), stays.alias("stays"), F.lead("frame_idx").over(cell).alias("next"))
+    events = inside.select("clip", "frame_idx", "whole", "area", stays.alias("stays"), F.lead("frame_idx").over(cell).alias("next"))
     ends = F.when(c("stays"), c("next")).otherwise(c("frame_idx") + 1)
-    changes = events.select("clip", F.explode(F.array(F.struct(c("frame_idx").alias("frame_idx"), c("area").alias("change")), F.struct(ends.alias("frame_idx"), (-c("area")).alias("change")))).alias("e")).select("clip", "e.*").where(c("frame_idx").isNotNull())
-    moved = changes.groupBy("clip", "frame_idx").agg(F.sum("change").alias("change"))
-    canvas = frames.select("clip", "frame_idx", (c("width") * c("height")).cast("long").alias("whole"))
-    covered = F.sum(F.coalesce("change", F.lit(0))).over(Window.partitionBy("clip").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0))
-    return canvas.join(moved, ["clip", "frame_idx"], "left").select("clip", "frame_idx", (c("whole") - covered).alias("uncovered"))
+    none = F.lit(None).cast("long")
+    changes = events.select("clip", F.explode(F.array(
+        F.struct(c("frame_idx").alias("frame_idx"), c("area").alias("change"), c("whole").alias("whole")), F.struct(ends.alias("frame_idx"), (-c("area")).alias("change"), none.alias("whole")),
+    )).alias("e")).select("clip", "e.*").where(c("frame_idx").isNotNull())
+    moved = changes.groupBy("clip", "frame_idx").agg(F.sum("change").alias("change"), F.max("whole").alias("whole"))
+    covered = F.sum("change").over(clip.orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0))
+    # Changes may lie between frames or behind the last one.
+    return moved.select("clip", "frame_idx", "whole", (c("whole") - covered).alias("uncovered")).where(c("whole").isNotNull()).drop("whole")

@@ -355,10 +355,11 @@ def canvas_coverage(spark, d):
     """An order's lines as frames of 8 x 6 pixels: the area that shows through while each is up; SQL counts pixels."""
     from pyspark.sql import Window
 
-    line, q = V.read(spark, d, "lineitem"), F.col("l_quantity").cast("long")
-    first = F.col("l_linenumber") == 1
-    frames = line.select(
-        F.col("l_orderkey").alias("clip"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1).cast("long").alias("frame_idx"),
+    q, first = F.col("l_quantity").cast("long"), F.col("l_linenumber") == 1
+    line = V.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("clip"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    # A frame has about ten cells.
+    frames = V.placed(line, "clip", V.ROWS // 5).select(
+        "clip", (F.row_number().over(Window.partitionBy("clip").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1).cast("long").alias("frame_idx"),
         (F.col("l_partkey") % 7 - 1).alias("x"), (F.col("l_suppkey") % 5 - 1).alias("y"), (F.col("l_partkey") % 5 + F.when(first, 5).otherwise(1)).alias("w"), (q % 4 + F.when(first, 3).otherwise(1)).alias("h"),
         ((q + F.col("l_suppkey")) % 4).alias("disposal"), F.lit(8).cast("long").alias("width"), F.lit(6).cast("long").alias("height"),
     )

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 from reelframe.codecs import gif, png
-from reelframe.operators import blocks, media
+from reelframe.operators import blocks, media, rules
 from reelframe.plans import catalog
+from reelframe.sources import views
 from test_queries import rows
 
 
@@ -68,3 +69,26 @@ def test_a_long_file_that_breaks_at_its_end_is_one_row(spark, monkeypatch):
     files = spark.createDataFrame([(1, "gif", data), (2, "gif", data[:-6])], media.FILES)
     got = media.decode_files(files).groupBy("clip").agg({"frame_idx": "max", "rgba": "count", "error": "max"}).collect()
     assert {r.clip: (r["max(frame_idx)"], r["count(rgba)"], r["max(error)"]) for r in got} == {1: (39_999, 40_000, None), 2: (None, 0, "cut")}
+
+
+@pytest.mark.parametrize("name", ["canvas_coverage", "drop_every_n"])
+def test_rows_move_once_and_into_more_parts_the_longer_the_table(spark, sf_dir, capsys, name):
+    parts = []
+    with pytest.MonkeyPatch.context() as m:
+        for rows_a_task in (1 << 30, 500, 250):
+            m.setattr(views, "ROWS", rows_a_task)
+            m.setattr(views.placed, "__defaults__", (rows_a_task,))
+            df = catalog.QUERIES[name](spark, sf_dir)
+            df.explain()
+            moved = [line.split("hashpartitioning(")[1] for line in capsys.readouterr().out.splitlines() if "Exchange" in line]
+            assert len(moved) == 1
+            parts.append(int(moved[0].split(")")[0].rsplit(",", 1)[1]))
+    assert parts[0] == 4 and parts[2] >= 2 * parts[1] - 1 > 20
+
+
+def test_coverage_of_frames_with_gaps_and_outside(spark):
+    """(number, x, y, w, h, disposal) on a canvas of 4 x 2: numbers may have gaps, a frame may lie outside."""
+    rects = [(0, 0, 0, 2, 2, 2), (2, 0, 0, 1, 1, 1), (3, 9, 9, 1, 1, 1), (5, 3, 1, 4, 4, 3), (6, 0, 0, 0, 1, 1)]
+    frames = spark.createDataFrame([(None, *r, 4, 2) for r in rects] + [(1, *r, 4, 2) for r in rects], "clip long, frame_idx long, x long, y long, w long, h long, disposal long, width long, height long")
+    got = sorted((r.frame_idx, r.uncovered) for r in rules.coverage(frames).collect())
+    assert got == [(i, n) for i, n in [(0, 4), (2, 7), (3, 7), (5, 6), (6, 7)] for _ in range(2)]
