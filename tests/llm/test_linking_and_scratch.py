@@ -3,6 +3,7 @@
 import os
 import random
 import threading
+import uuid
 
 import numpy as np
 import pytest
@@ -104,3 +105,24 @@ def test_links_inside_lists_join_what_all_pairs_join(spark):
             assert roots.get(i, i) == roots.get(i + 1, i + 1)
         else:
             assert roots.get(i, i) != roots.get(i + 1, i + 1)
+
+
+def test_pairs_of_many_short_lists_are_verified_side_by_side(spark, tmp_path):
+    """300 lists of three items each, two of them linked: few calls of ``same``, all links."""
+    postings = [(k, 3 * k + i, 0, 0) for k in range(300) for i in range(3)]
+    df = spark.createDataFrame(postings, "key long, id long, p long, q long").repartition(2)
+    calls = str(tmp_path)
+
+    def contents(ids, n):
+        return ids.withColumn("content", (F.col("id") % 3).cast("string").cast("binary"))
+
+    def same(xs, ys):
+        with open(os.path.join(calls, uuid.uuid4().hex), "w") as f:
+            f.write(str(len(xs)))
+        return np.array([{x, y} == {b"0", b"2"} for x, y in zip(xs, ys, strict=True)], bool)
+
+    none = spark.createDataFrame([], "id long, root long")
+    links = linking.links_inside(df, none, lambda x, y: x[0] == y[0], contents, same, F.col("q").bitwiseAND(3), Scratch(spark, "test-side"))
+    assert {(r.a, r.b) for r in links.collect()} == {(3 * k, 3 * k + 2) for k in range(300)}
+    sizes = [int(open(os.path.join(calls, f)).read()) for f in os.listdir(calls)]
+    assert sum(sizes) == 900 and len(sizes) <= 64

@@ -529,3 +529,19 @@ def test_licenses(spark, docs, nothing):
     want = con.execute(f"SELECT doc_id, license_id, notices, n_notices FROM ({licenses.oracle_sql()})").fetchall()
     assert sorted(want, key=key) == got
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(nothing).count() == 0
+
+
+def test_long_pairs_near_their_limit_are_told_apart():
+    """Pairs at, just under and just over the limit, with edits at one end or spread, beside pairs that are let go early."""
+    rnd = random.Random(5)
+    xs, ys = [], []
+    for _ in range(240):
+        a = rnd.choices("abcdefgh ", k=rnd.randint(300, 420))
+        b, n = a[:], len(a) // 5 + rnd.choice([-2, -1, 0, 1, 2, 40])
+        start = rnd.choice([0, 0, len(a) - n, len(a) // 3])
+        for at in rnd.sample(range(len(a)), n) if rnd.random() < 0.5 else range(start, min(start + n, len(a))):
+            b[at] = rnd.choice("XYZ")
+        xs.append("".join(a).encode())
+        ys.append("".join(b if rnd.random() < 0.8 else rnd.choices("abcdefgh ", k=len(a))).encode())
+    want = [line_dedup.edit_distance(x.decode(), y.decode()) * 5 <= max(len(x), len(y)) for x, y in zip(xs, ys, strict=True)]
+    assert 60 < sum(want) < 180 and line_dedup.alike(xs, ys).tolist() == want
