@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,12 @@ def canonical(json: Column, members: tuple[str, ...] | None = None) -> Column:
     The text is read into typed values and written anew. Null parameters and output members at
     their zero value are left out; nulls inside parameters stay. Null where the text isn't a recipe.
     """
-    return F.transform(F.array(F.from_json(json, RECIPE)), lambda r: _written(r, members))[0]
+    return bound(F.from_json(json, RECIPE), lambda r: _written(r, members))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 #: Where a number may need another spelling, and a JSON text cut into its strings, its numbers and the rest.
@@ -56,19 +63,27 @@ def plain_number(token: Column) -> Column:
         small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), whole, rest)
         return F.concat(sign, F.when((power >= 21) | (power < -6), scientific).when(power == 0, dotted(whole, rest)).when(power > 0, large).otherwise(small))
 
-    return F.transform(F.array(token.cast("double").cast("string")), spelled)[0]
+    return bound(token.cast("double").cast("string"), spelled)
 
 
 def plain_numbers(json: Column) -> Column:
     """Numbers outside strings spelled as ``plain_number`` does."""
-    tokens = F.transform(F.regexp_extract_all(json, F.lit(TOKENS), F.lit(1)), lambda t: F.when(t.rlike("^-?[0-9]"), plain_number(t)).otherwise(t))
-    return F.when(json.rlike(UNUSUAL), F.concat_ws("", tokens)).otherwise(json)
+
+    def spelled(text: Column) -> Column:
+        tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(1)), lambda t: F.when(t.rlike("^-?[0-9]"), plain_number(t)).otherwise(t))
+        return F.when(text.rlike(UNUSUAL), F.concat_ws("", tokens)).otherwise(text)
+
+    return bound(json, spelled)
 
 
 def fps_spelled(output: Column) -> Column:
     """An output's text with its rate spelled as ``plain_number`` does; its other numbers are whole and stay exact."""
-    rate = F.regexp_extract(output, r'"fps":(-?[0-9][-+.eE0-9]*)', 1)
-    return F.when(rate.rlike(r"[.eE]|[0-9]{16}"), F.replace(output, F.concat(F.lit('"fps":'), rate), F.concat(F.lit('"fps":'), plain_number(F.nullif(rate, F.lit("")))))).otherwise(output)
+
+    def spelled(text: Column, rate: Column) -> Column:
+        number = F.when(rate != "", plain_number(rate))
+        return F.when(rate.rlike(r"[.eE]|[0-9]{16}"), F.replace(text, F.concat(F.lit('"fps":'), rate), F.concat(F.lit('"fps":'), number))).otherwise(text)
+
+    return bound(output, lambda text: bound(F.regexp_extract(text, r'"fps":(-?[0-9][-+.eE0-9]*)', 1), lambda rate: spelled(text, rate)))
 
 
 def _written(recipe: Column, members: tuple[str, ...] | None = None) -> Column:

@@ -169,3 +169,12 @@ def test_lanczos_equals_the_kernel_on_arrays(spark):
         assert abs(got - want)[solid].max() <= 1 and abs(got[..., 3] - want[..., 3]).max() <= 1
         if (h, w) == (th, tw):
             assert (got[f[..., 3] > 0] == f[f[..., 3] > 0]).all()
+
+
+def test_a_recipe_writes_each_json_value_once(spark):
+    """Sources, edits and output are written once each, however often their texts are looked at."""
+    df = spark.createDataFrame([('{"output":{"format":"gif","fps":1e-7}}',)], "j string").repartition(1)
+    out = df.select(recipes.canonical(F.col("j")).alias("c"))
+    assert out.first().c == '{"v":1,"sources":null,"ops":[],"output":{"format":"gif","fps":1e-7}}'
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("to_json(") + plan.count("structstojson") <= 3
